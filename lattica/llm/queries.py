@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import linededup, quality, simhash, sql
+from lattica.llm import bpe, linededup, quality, simhash, sql
 from lattica.llm.shared import table
 
 
@@ -19,6 +20,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
 }
 
