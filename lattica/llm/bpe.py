@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
@@ -36,23 +35,25 @@ MAX_WORDS = 250_000
 MAX_ARCS = 500_000
 
 
-#: From here on, the regex module may know letters and numbers of a later Unicode than the vocabulary's own library.
-_LATER = "\u0530"
+#: Code points (hex, or ranges) that the regex module takes as letters or numbers of a later Unicode, while
+#: the vocabulary's own library does not know them and takes them as symbols.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
+    "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F "
+    "12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+_LATER_FROM = "\u0530"
 
 
 @lru_cache(maxsize=1)
 def _careful() -> regex.Pattern:
-    """PATTERN with letters and numbers as the unicodedata module knows them."""
-    spans: list[list[int]] = []
-    for c in range(ord(_LATER), 0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    unknown = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
-    letter, number = rf"[\p{{L}}--[{unknown}]]", rf"[\p{{N}}--[{unknown}]]"
-    other = rf"[[^\s\p{{L}}\p{{N}}]||[{unknown}]]"
+    """PATTERN without the later letters and numbers."""
+    later = "".join("-".join(f"\\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER.split())
+    letter, number = rf"[\p{L}--[{later}]]", rf"[\p{N}--[{later}]]"
+    other = rf"[[^\s\p{L}\p{N}]||[{later}]]"
     return regex.compile(
         PATTERN.replace(r"[^\s\p{L}\p{N}]", "OTHER").replace(r"\p{L}", letter).replace(r"\p{N}", number).replace("OTHER", other),
         flags=regex.V1,
@@ -215,7 +216,7 @@ class Automaton:
     def _pieces(self, text: str) -> Iterable[int]:
         out: list[int] = []
         known = self._words
-        for word in (self._pre if max(text, default="") < _LATER else _careful()).findall(text):
+        for word in (self._pre if max(text, default="") < _LATER_FROM else _careful()).findall(text):
             tokens = known.get(word)
             if tokens is None:
                 tokens = self.encode_word(word.encode())
@@ -230,7 +231,7 @@ class Automaton:
         if not text:
             return ()
         if self._crowded.search(text):  # white space beside white space: words are not simply parted by spaces
-            pre = self._pre if max(text) < _LATER else _careful()
+            pre = self._pre if max(text) < _LATER_FROM else _careful()
             return chain.from_iterable(map(self._first.__getitem__, pre.findall(text)))
         first, *rest = text.split(" ")
         return chain(self._first[first] if first else (), chain.from_iterable(map(self._next.__getitem__, rest)))
