@@ -52,8 +52,8 @@ _LATER_FROM = "\u0530"
 def _careful() -> regex.Pattern:
     """PATTERN without the later letters and numbers."""
     later = "".join("-".join(f"\\U{int(x, 16):08X}" for x in span.split("-")) for span in LATER.split())
-    letter, number = rf"[\p{L}--[{later}]]", rf"[\p{N}--[{later}]]"
-    other = rf"[[^\s\p{L}\p{N}]||[{later}]]"
+    letter, number = rf"[\p{{L}}--[{later}]]", rf"[\p{{N}}--[{later}]]"
+    other = rf"[[^\s\p{{L}}\p{{N}}]||[{later}]]"
     return regex.compile(
         PATTERN.replace(r"[^\s\p{L}\p{N}]", "OTHER").replace(r"\p{L}", letter).replace(r"\p{N}", number).replace("OTHER", other),
         flags=regex.V1,
