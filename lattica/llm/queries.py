@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, linededup, quality, simhash, sql
+from lattica.llm import bpe, linededup, quality, secrets, simhash, sql
 from lattica.llm.shared import table
 
 
@@ -28,13 +28,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": sql.LINE_DEDUP,
+    "op7_secret_scan": sql.SECRET_SCAN,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lattica.llm import secrets
+
 #: The six characters that the contracts strip or split at.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -24,3 +26,38 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, {_quoted(r.kind)} AS kind, {place} AS place, {r.least} AS least,
+               unnest(string_split_regex(t, {_quoted(r.pattern)})) AS gap,
+               unnest(regexp_extract_all(t, {_quoted(r.pattern)}) || [NULL]) AS hit,
+               unnest(regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) || [NULL]) AS counts,
+               unnest(range(len(regexp_extract_all(t, {_quoted(r.pattern)})) + 1)) AS k
+        FROM texts WHERE regexp_matches(t, {_quoted(r.pattern)})"""
+    for place, r in enumerate(secrets.RULES)
+)
+SECRET_SCAN = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), hits AS ({_MATCHES}
+), placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, place ORDER BY k) AS stop FROM hits WHERE hit IS NOT NULL
+), spans AS (
+  SELECT doc_id, kind, place, CAST(stop - length(hit) AS BIGINT) AS start,
+         kind || ':' || CAST(CAST(stop - length(hit) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS span
+  FROM placed WHERE length(counts) >= least
+), found AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS c,
+         count(*) FILTER (WHERE kind = 'hex') AS h,
+         string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base,
+         string_agg(span, ',' ORDER BY start, place) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
