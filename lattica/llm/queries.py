@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, linededup, quality, secrets, simhash, sql
+from lattica.llm import bpe, decontam, linededup, quality, secrets, simhash, sql
 from lattica.llm.shared import table
 
 
@@ -32,15 +32,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": sql.LINE_DEDUP,
     "op7_secret_scan": sql.SECRET_SCAN,
+    "op9_benchmark_decontamination": sql.DECONTAMINATION,
 }

@@ -61,3 +61,29 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
 """
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_SHINGLES = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))"
+DECONTAMINATION = f"""
+WITH item AS (
+  SELECT item_id, {_SHINGLES} AS sh, len(w) - 4 AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5
+), doc AS (
+  SELECT doc_id, {_SHINGLES} AS sh, len(w) - 4 AS total FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5
+), ish AS (SELECT item_id, n, unnest(sh) AS h FROM item
+), icount AS (SELECT item_id, n, h, count(*) AS c FROM ish GROUP BY ALL
+), dsh AS (SELECT doc_id, total, unnest(sh) AS h, unnest(range(len(sh))) AS pos FROM doc
+), hit AS (SELECT doc_id, total, item_id, n, pos, i.h, c FROM dsh d JOIN icount i ON d.h = i.h
+), win AS (SELECT DISTINCT doc_id, item_id, n, least(n, total) AS m, least(pos, greatest(total - n, 0)) AS start FROM hit
+), inside AS (
+  SELECT w.doc_id, w.item_id, w.n, w.m, w.start, h.h, least(count(*), any_value(h.c)) AS common
+  FROM win w JOIN hit h ON w.doc_id = h.doc_id AND w.item_id = h.item_id AND h.pos >= w.start AND h.pos < w.start + w.n
+  GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, start, CAST(sum(common) AS DOUBLE) / CAST(any_value(m) + any_value(n) - sum(common) AS DOUBLE) AS similarity
+  FROM inside GROUP BY doc_id, item_id, start
+)
+SELECT doc_id, item_id, max(similarity) AS similarity,
+       CAST(min(start) FILTER (WHERE similarity = best) AS INTEGER) AS start
+FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS best FROM scored)
+WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
