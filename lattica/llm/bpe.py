@@ -15,6 +15,7 @@ that token; repeated rows and null ids are encoded like any other; an empty tabl
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -31,7 +32,7 @@ from lattica.llm import shared
 #: The pattern that pre-splits text for byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the tables of words and of transitions at which they start anew.
-MAX_WORDS = 250_000
+MAX_WORDS = 400_000
 MAX_ARCS = 500_000
 
 
@@ -68,18 +69,23 @@ def byte_letters() -> list[str]:
 
 
 class _Words(dict):
-    """Pre-split text -> its tokens, filled as it is asked."""
+    """Pre-split text -> its tokens, filled as it is asked; what was asked before the last time that it was full stays
+    at hand in a second table."""
 
-    def __init__(self, make, prefix: str):
+    def __init__(self, make):
         super().__init__()
-        self._make, self._prefix = make, prefix
+        self._make, self._old = make, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        tokens = self._old.get(piece)
+        if tokens is None:
+            tokens = tuple(self._make(piece))
+            if len(piece) >= 64:
+                return tokens
         if len(self) >= MAX_WORDS:
+            self._old = dict(self)
             self.clear()
-        tokens = tuple(self._make(self._prefix + piece))
-        if len(piece) < 64:
-            self[piece] = tokens
+        self[piece] = tokens
         return tokens
 
 
@@ -97,6 +103,7 @@ class Automaton:
     def __setstate__(self, state):
         self.labels, self.merges, self.special = state
         self._compile()
+        gc.freeze()  # the tables stay; the collector need not walk them again and again
 
     @classmethod
     def from_json(cls, text: str) -> Automaton:
@@ -114,7 +121,7 @@ class Automaton:
     def _compile(self) -> None:
         self._split = {}  # (u, v) -> time at which the state after u lost the arc v
         self._parts = {}  # token -> (time, u, v) of the gadget that made it
-        self._arcs: dict[tuple[int, int], bool] = {}  # the transition table, as far as it was asked for
+        self._arcs: dict[int, bool] = {}  # the transition table, as far as it was asked for
         for time, (u, v, made) in enumerate(self.merges):
             if made in self._parts or not self._arc_at(u, v, time):
                 continue  # no path u, v is left for this gadget
@@ -123,17 +130,24 @@ class Automaton:
         reached = {i for i in self.labels if i in self._parts or len(self.labels[i]) == 1}
         self._token = {self.labels[i]: i for i in reached}
         self._size = {i: len(x) for i, x in self.labels.items()}
-        self._reach: dict[bytes, int] = {}  # first two bytes -> length of the longest token
         self._shorter: dict[int, int | None] = {}  # token -> the next shorter one that begins it
-        for label, i in self._token.items():
-            self._reach[label[:2]] = max(len(label), self._reach.get(label[:2], 1))
-            self._shorter[i] = next((self._token[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self._token), None)
+        self._step: dict[int, tuple[int, int | None]] = {}  # node << 8 | byte -> node and token, of the tree of labels
+        self._starts: dict[bytes, int | None] = {}
+        for label, i in sorted(self._token.items()):
+            node, key, last = 0, 0, None
+            for byte in label:
+                key = node << 8 | byte
+                node, t = self._step.setdefault(key, (len(self._step) + 1, None))
+                last = last if t is None else t
+            self._step[key] = (node, i)
+            self._shorter[i] = last
         self._text = {i: str(i) for i in self.labels}
         self._pre = regex.compile(PATTERN)
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._crowded = re.compile(r"\s\s")
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._first, self._next = _Words(self._pieces, ""), _Words(self._pieces, " ")
+        self._words = _Words(lambda word: self.encode_word(word.encode()))
+        self._first = _Words(self._pieces)
+        self._next = _Words(self._spaced)
 
     def _lost(self, p: int, t: int, before: int) -> bool:
         """Whether the state after p had lost the arc t before a time: p's own splits, or those it got from its right
@@ -158,23 +172,32 @@ class Automaton:
 
     def arc(self, p: int, t: int) -> bool:
         """Whether t may follow p."""
-        known = self._arcs.get((p, t))
+        known = self._arcs.get(p << 20 | t)
         return self._learn(p, t) if known is None else known
 
     def _learn(self, p: int, t: int) -> bool:
         if len(self._arcs) >= MAX_ARCS:
             self._arcs.clear()
-        known = self._arcs[p, t] = self._arc_at(p, t, len(self.merges))
+        known = self._arcs[p << 20 | t] = self._arc_at(p, t, len(self.merges))
         return known
 
-    def _longest_at(self, word: bytes, at: int) -> int | None:
-        """The longest token that the word goes on with."""
-        find = self._token.get
-        for end in range(min(len(word), at + self._reach.get(word[at : at + 2], 1)), at, -1):
-            t = find(word[at:end])
+    def _longest_at(self, rest: bytes) -> int | None:
+        """The longest token that rest begins with; remembered by its first bytes where these decide."""
+        step = self._step
+        node, best, seen, found = 0, None, 0, None
+        for byte in rest:
+            seen += 1
+            found = step.get(node << 8 | byte)
+            if found is None:
+                break
+            node, t = found
             if t is not None:
-                return t
-        return None
+                best = t
+        if seen <= 8 and (found is None or len(rest) < 8):
+            if len(self._starts) >= MAX_ARCS:
+                self._starts.clear()
+            self._starts[rest[:8]] = best
+        return best
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The tokens of one pre-split word: from each state the longest arc that the word allows, stepping back where
@@ -182,17 +205,15 @@ class Automaton:
         whole = self._token.get(word)
         if whole is not None:
             return (whole,)
-        arcs, shorter, size = self._arcs, self._shorter, self._size
+        arcs, shorter, size, starts, longest_at = self._arcs, self._shorter, self._size, self._starts, self._longest_at
         path: list[int] = []
-        at, state, dead = 0, None, set()
-        t = self._longest_at(word, 0)
+        dead: set[int] = set()
+        at, state = 0, -1
+        t = starts.get(word[:8]) or longest_at(word)
         while True:
             while t is not None:
-                end = at + size[t]
-                if end not in dead:
-                    if state is None:
-                        break
-                    known = arcs.get((state, t))
+                if at + size[t] not in dead:
+                    known = arcs.get(state << 20 | t) if path else True
                     if known is None:
                         known = self._learn(state, t)
                     if known:
@@ -200,32 +221,31 @@ class Automaton:
                 t = shorter[t]
             if t is not None:
                 path.append(t)
-                if end == len(word):
+                at += size[t]
+                if at == len(word):
                     return tuple(path)
-                at, state = end, t
-                t = self._longest_at(word, at)
+                state = t
+                t = starts.get(word[at : at + 8]) or longest_at(word[at:])
                 continue
             if not path:
                 raise ValueError(f"no path spells {word!r}")
             dead.add(at)
             t = path.pop()
             at -= size[t]
-            state = path[-1] if path else None
+            state = path[-1] if path else -1
             t = shorter[t]
 
     def _pieces(self, text: str) -> Iterable[int]:
-        out: list[int] = []
-        known = self._words
-        for word in (self._pre if max(text, default="") < _LATER_FROM else _careful()).findall(text):
-            tokens = known.get(word)
-            if tokens is None:
-                tokens = self.encode_word(word.encode())
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                if len(word) < 64:
-                    known[word] = tokens
-            out += tokens
-        return out
+        pre = self._pre if max(text) < _LATER_FROM else _careful()
+        return chain.from_iterable(map(self._words.__getitem__, pre.findall(text)))
+
+    def _spaced(self, piece: str) -> Iterable[int]:
+        """The tokens of a space and a piece without spaces; most are a word, or a word and a sign."""
+        if piece.isalpha():
+            return self._words[" " + piece]
+        if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
+            return self._words[" " + piece[:-1]] + self._words[piece[-1]]
+        return self._pieces(" " + piece)
 
     def _plain(self, text: str) -> Iterable[int]:
         if not text:
