@@ -1,6 +1,736 @@
-"""Registered queries of the observation x variable engine, with their SQL."""
+"""Registered queries of the observation x variable engine, each over its whole tables, with the SQL that gives the same
+rows where SQL can express it. Doubles are rounded to six places in both."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import dense
+from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
+from lattica.plans import pipelines
+from lattica.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded; a negative zero becomes zero."""
+    return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name; sql's doubles are rounded here."""
+
+    def register(function):
+        QUERIES[function.__name__] = lambda spark, sf_dir: rounded(function(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# the matrices in SQL: x the layer, o observations, v variables, d with the zeros
+
+_CB = """
+x AS (SELECT o_custkey AS obs_id, p_brand AS var_id, sum(l_quantity) AS value FROM lineitem
+      JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+o AS (SELECT c_custkey AS obs_id, c_name AS obs_name, c_nationkey AS g, n_regionkey AS region, c_mktsegment AS segment, c_acctbal AS balance
+      FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+v AS (SELECT DISTINCT p_brand AS var_id FROM part),
+d AS (SELECT o.obs_id, v.var_id, coalesce(x.value, 0.0) AS value FROM o CROSS JOIN v LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = v.var_id),
+u AS (SELECT obs_id, sum(value) AS u FROM x GROUP BY obs_id)
+"""
+_SB = """
+x AS (SELECT l_suppkey AS obs_id, p_brand AS var_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+o AS (SELECT s_suppkey AS obs_id, s_name AS obs_name, s_nationkey AS g, n_regionkey AS type FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+v AS (SELECT DISTINCT p_brand AS var_id FROM part),
+d AS (SELECT o.obs_id, v.var_id, coalesce(x.value, 0.0) AS value FROM o CROSS JOIN v LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = v.var_id),
+u AS (SELECT obs_id, sum(value) AS u FROM x GROUP BY obs_id)
+"""
+_E = """
+e AS (SELECT vec_id AS obs_id, unnest(range(len(embedding))) AS var_id, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
+"""
+
+
+def _cb(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    return data, data.layer(), data.obs, data.var
+
+
+def _sb(spark, sf_dir):
+    data = tables.supplier_brand(spark, sf_dir)
+    return data, data.layer(), data.obs, data.var
+
+
+# marginals -------------------------------------------------------------------------------------------------------
+
+_REDUCE = """
+SELECT {per}, round(sum(value), 6) AS total, round(sum(value * value), 6) AS total_squared, count(*) FILTER (WHERE value <> 0) AS nnz,
+       round(avg(value), 6) AS mean, round(max(value), 6) AS maximum, round(min(value), 6) AS minimum,
+       round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS stdev,
+       round(CASE WHEN avg(value) = 0 THEN 1.0 ELSE var_pop(value) / avg(value) END, 6) AS normalized_variance,
+       round(CASE WHEN min(value) > 0 THEN exp(avg(ln(nullif(greatest(value, 0), 0)))) ELSE 0.0 END, 6) AS geomean
+FROM d GROUP BY {per}
+"""
+
+
+@query(f"WITH {_CB} {_REDUCE.format(per='obs_id')}")
+def reduce_per_observation(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return marginals.reduce_per(x, obs, "obs_id", var.count())
+
+
+@query(f"WITH {_CB} {_REDUCE.format(per='var_id')}")
+def reduce_per_variable(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return marginals.reduce_per(x, var, "var_id", obs.count())
+
+
+@query(
+    f"""WITH {_CB} SELECT obs_id, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.5), 6) AS median,
+    round(quantile_cont(value, 0.9), 6) AS q90 FROM d GROUP BY obs_id"""
+)
+def quantiles_per_observation(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return marginals.quantiles_per(x, obs, "obs_id", var.count(), {"q10": 0.1, "median": 0.5, "q90": 0.9})
+
+
+@query(f"""WITH {_E} SELECT var_id, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS median FROM e GROUP BY var_id""")
+def quantiles_of_signed_variables(spark, sf_dir):
+    data = tables.embeddings(spark, sf_dir)
+    return marginals.quantiles_per(data.layer(), data.var, "var_id", data.obs.count(), {"q25": 0.25, "median": 0.5})
+
+
+@query(
+    f"""WITH {_CB}, r AS (SELECT var_id, value, row_number() OVER (PARTITION BY var_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY var_id) AS n FROM d)
+    SELECT var_id, round(max(value) FILTER (WHERE i = 3), 6) AS third, round(max(value) FILTER (WHERE i = n - 4), 6) AS third_largest FROM r GROUP BY var_id"""
+)
+def rank_per_variable(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    n = obs.count()
+    return marginals.values_at_ranks(x, var, "var_id", n, {"third": 3, "third_largest": n - 4})
+
+
+@query(f"WITH {_E} SELECT obs_id, round(avg(value), 6) AS nanmean, round(max(value), 6) AS nanmax, round(min(value), 6) AS nanmin FROM e GROUP BY obs_id")
+def nan_reduce(spark, sf_dir):
+    return marginals.nan_reduce_per(tables.embeddings(spark, sf_dir).layer(), "obs_id")
+
+
+@query(f"WITH {_CB} SELECT var_id, round(sum(value) / (SELECT sum(value) FROM x), 6) AS fraction FROM d GROUP BY var_id")
+def fraction_per_variable(spark, sf_dir):
+    _, x, _, var = _cb(spark, sf_dir)
+    return marginals.fraction_per(x, var, "var_id")
+
+
+@query(f"WITH {_CB} SELECT x.obs_id, var_id, round(value / u, 6) AS value FROM x JOIN u ON x.obs_id = u.obs_id")
+def fraction_by_observation(spark, sf_dir):
+    return marginals.fraction_by(_cb(spark, sf_dir)[1], "obs_id")
+
+
+@query(f"WITH {_CB} SELECT x.obs_id, var_id, round(value * abs(balance), 6) AS value FROM x JOIN o ON x.obs_id = o.obs_id")
+def scale_by_observation(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return marginals.scale_by(x, obs.select("obs_id", F.abs("balance").alias("scale")), "obs_id", "scale")
+
+
+@query(
+    f"""WITH {_CB} SELECT round(sum(value), 6) AS total, count(*) FILTER (WHERE value <> 0) AS nnz, round(avg(value), 6) AS mean,
+    round(max(value), 6) AS maximum, round(min(value), 6) AS minimum FROM d"""
+)
+def whole_matrix(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return marginals.whole(x, obs.count(), var.count())
+
+
+@query(
+    """WITH n AS (SELECT p_size AS bin, count(*) AS c FROM part GROUP BY 1)
+    SELECT CAST(r AS BIGINT) AS bin, coalesce(c, 0) AS count FROM unnest(range(greatest(60, (SELECT max(bin) + 1 FROM n)))) t(r) LEFT JOIN n ON bin = r"""
+)
+def bincount(spark, sf_dir):
+    return marginals.bincount(tables.table(spark, sf_dir, "part"), "p_size", 60)
+
+
+_IN = "SELECT obs_id FROM o WHERE region = 1"
+
+
+@query(
+    f"""WITH {_CB}, m AS (SELECT d.*, coalesce(region = 1, FALSE) AS i FROM d JOIN o ON d.obs_id = o.obs_id),
+    r AS (SELECT *, rank() OVER (PARTITION BY var_id ORDER BY value) + (count(*) OVER (PARTITION BY var_id, value) - 1) / 2.0 AS mid FROM m)
+    SELECT var_id, round((avg(value) FILTER (WHERE i) + 0.5) / (avg(value) FILTER (WHERE NOT i) + 0.5), 6) AS fold,
+    round((sum(mid) FILTER (WHERE i) - count(*) FILTER (WHERE i) * (count(*) FILTER (WHERE i) + 1) / 2.0)
+      / (count(*) FILTER (WHERE i) * count(*) FILTER (WHERE NOT i)), 6) AS auroc FROM r GROUP BY var_id"""
+)
+def folds_and_aurocs(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return marginals.folds_and_aurocs(x, obs, var, obs.where("region = 1"), 0.5)
+
+
+# masks -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_CB}, t AS (SELECT var_id, sum(value) AS s, var_pop(value) / avg(value) AS nv FROM d GROUP BY var_id),
+    r AS (SELECT var_id, value, row_number() OVER (PARTITION BY var_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY var_id) AS n FROM d),
+    k AS (SELECT var_id, max(value) FILTER (WHERE i = n - 4) AS top FROM r GROUP BY var_id),
+    f AS (SELECT d.var_id, max(value / u) AS hi, min(coalesce(value / u, 0)) AS lo FROM d LEFT JOIN u ON d.obs_id = u.obs_id GROUP BY d.var_id)
+    SELECT t.var_id, s >= 1500 AS high_total, top >= 150 AS high_top, s / (SELECT sum(value) FROM x) >= 0.04 AS high_fraction,
+    nv >= 40 AS high_normalized_variance, hi >= 1e-4 AND log2((hi + 1e-5) / (lo + 1e-5)) >= 2 AS marker
+    FROM t JOIN k ON t.var_id = k.var_id JOIN f ON t.var_id = f.var_id"""
+)
+def statistical_masks(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    n = obs.count()
+    parts = [
+        masks.high_total(x, var, n, 1500), masks.high_top(x, var, n, 3, 150), masks.high_fraction(x, var, 0.04),
+        masks.high_normalized_variance(x, var, n, 40), masks.markers(x, var, n),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "var_id")
+    return out
+
+
+@query(
+    """SELECT DISTINCT p_brand AS var_id, lower(p_brand) IN ('brand#11', 'brand#12') OR regexp_full_match(p_brand, 'brand#[23].', 'i') AS lateral_gene,
+    (lower(p_brand) IN ('brand#11', 'brand#12') OR regexp_full_match(p_brand, 'brand#[23].', 'i')) AND NOT regexp_full_match(p_brand, '.*5', 'i') AS noisy_gene FROM part"""
+)
+def named_masks(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    for name in ("lateral_gene", "noisy_gene"):
+        data = masks.mark_variables(data, name, ["BRAND#11", "Brand#12"], ["brand#[23]."])
+    return masks.mark_variables(data, "noisy_gene", patterns=[".*5"], op="remove").var
+
+
+@query("SELECT c_custkey AS obs_id, NOT ((c_acctbal > 0) AND c_nationkey <> 0 OR c_nationkey > 20) AS mask FROM customer")
+def combined_masks(spark, sf_dir):
+    obs = _cb(spark, sf_dir)[2].withColumn("rich", F.col("balance") > 0).withColumn("late", F.col("metacell") > 20)
+    return obs.select("obs_id", masks.combine(obs.columns, ["rich", "&metacell", "&~absent?", "|late"], invert=True).alias("mask"))
+
+
+@query(
+    f"""WITH {_CB}, t AS (SELECT o.obs_id, coalesce(sum(value), 0) AS s, coalesce(sum(value) FILTER (WHERE var_id LIKE 'Brand#1_'), 0) AS e
+    FROM o LEFT JOIN x ON o.obs_id = x.obs_id GROUP BY o.obs_id)
+    SELECT obs_id, s >= 400 AND s <= 3000 AND coalesce(e / nullif(s, 0), 0) <= 0.25 AS properly_sampled_cell FROM t"""
+)
+def properly_sampled(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    data = masks.mark_variables(data, "excluded_gene", patterns=["brand#1."])
+    return masks.properly_sampled_obs(data, 400, 3000, 0.25)
+
+
+@query(
+    f"""WITH {_CB}, t AS (SELECT o.obs_id, coalesce(sum(value), 0) AS s, coalesce(sum(value) FILTER (WHERE var_id LIKE 'Brand#1_'), 0) AS e
+    FROM o LEFT JOIN x ON o.obs_id = x.obs_id GROUP BY o.obs_id),
+    k AS (SELECT obs_id FROM t WHERE s >= 400 AND s <= 3000 AND coalesce(e / nullif(s, 0), 0) <= 0.25)
+    SELECT x.obs_id, var_id, value FROM x JOIN k ON x.obs_id = k.obs_id WHERE var_id NOT LIKE 'Brand#1_'"""
+)
+def clean_data(spark, sf_dir):
+    data = pipelines.exclude_variables(tables.customer_brand(spark, sf_dir), patterns=["brand#1."], bursty=False)
+    return pipelines.clean(pipelines.exclude_observations(data, 400, 3000, 0.25)).layer()
+
+
+@query(
+    f"""WITH {_CB}, t AS (SELECT var_id, max(value) AS top FROM x GROUP BY var_id)
+    SELECT obs_id, x.var_id, value FROM x JOIN t ON x.var_id = t.var_id WHERE NOT (top < 190 AND value < 20)"""
+)
+def sparsified(spark, sf_dir):
+    return masks.sparsify(_cb(spark, sf_dir)[1], 190, 20)
+
+
+@query()
+def bursty_lonely(spark, sf_dir):
+    return pipelines.bursty_lonely(tables.customer_brand(spark, sf_dir), least_samples=200)
+
+
+# groups ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CB} SELECT g AS group_id, var_id, sum(value) AS value FROM x JOIN o ON x.obs_id = o.obs_id WHERE g >= 0 GROUP BY ALL")
+def sum_groups(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return grouping.sum_groups(x, obs, "metacell")
+
+
+@query(
+    f"""WITH {_CB}, c AS (SELECT g AS group_id, segment, count(*) AS n FROM o GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY group_id) AS s, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, segment) AS k FROM c),
+    l AS (SELECT g AS group_id, arg_max(segment, obs_id) AS last FROM o GROUP BY g)
+    SELECT r.group_id, CASE WHEN n / s >= 0.25 THEN segment ELSE 'mixed' END AS segment, last FROM r JOIN l ON r.group_id = l.group_id WHERE k = 1"""
+)
+def group_annotations(spark, sf_dir):
+    obs = _cb(spark, sf_dir)[2]
+    last = grouping.unique(obs, "metacell", "segment").withColumnRenamed("segment", "last")
+    return grouping.majority(obs, "metacell", "segment", 0.25, "mixed").join(last, "group_id")
+
+
+@query(
+    f"""WITH {_CB}, w AS (SELECT g, segment, sum(abs(balance)) AS w FROM o GROUP BY ALL),
+    h AS (SELECT g, segment, row_number() OVER (PARTITION BY g ORDER BY w DESC, segment) AS k FROM w),
+    s AS (SELECT g, balance, row_number() OVER (PARTITION BY g ORDER BY abs(balance) DESC, obs_id) AS k FROM o)
+    SELECT o.g AS group_id, round(sum(abs(balance) * region) / sum(abs(balance)), 6) AS weighted, round(avg(CAST(segment = 'BUILDING' AS INT)), 6) AS share,
+    any_value(h.segment) AS heaviest, round(any_value(s.b), 6) AS strongest
+    FROM o JOIN (SELECT g, segment FROM h WHERE k = 1) h ON h.g = o.g JOIN (SELECT g, balance AS b FROM s WHERE k = 1) s ON s.g = o.g GROUP BY o.g""".replace("any_value(h.segment)", "any_value(h.segment)").replace("avg(CAST(segment", "avg(CAST(o.segment")
+)
+def group_aggregates(spark, sf_dir):
+    obs = _cb(spark, sf_dir)[2].withColumn("w", F.abs("balance")).withColumnRenamed("metacell", "group_id")
+    heaviest = grouping.highest_weight(obs, "group_id", "w", "segment").withColumnRenamed("segment", "heaviest")
+    sums = obs.groupBy("group_id").agg(
+        grouping.weighted_mean("w", "region").alias("weighted"),
+        grouping.fraction_of("segment", "BUILDING").alias("share"),
+        grouping.strongest("balance", "obs_id").alias("strongest"),
+    )
+    return sums.join(heaviest, "group_id")
+
+
+@query("SELECT c_custkey AS obs_id, CASE WHEN c_acctbal < 0 THEN -1 ELSE CAST(dense_rank() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_nationkey) - 1 AS INTEGER) END AS metacell FROM customer")
+def compressed_groups(spark, sf_dir):
+    obs = _cb(spark, sf_dir)[2].select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")).alias("metacell"))
+    return grouping.compress(obs, "metacell").select("obs_id", F.col("metacell").cast("int").alias("metacell"))
+
+
+@query()
+def group_names(spark, sf_dir):
+    return grouping.group_names(_cb(spark, sf_dir)[2], "metacell")
+
+
+_PROFILE = """
+t AS (SELECT u.obs_id, u, g, log2(u) AS w, (1.0 / 16) / u AS r FROM u JOIN o ON u.obs_id = o.obs_id WHERE g >= 0),
+b AS (SELECT g, sum(w) AS sw, sum(w * ln(r)) AS b FROM t GROUP BY g),
+n AS (SELECT t.g, x.var_id, sum(w * (ln(value / u + r) - ln(r))) AS d FROM x JOIN t ON x.obs_id = t.obs_id GROUP BY ALL),
+raw AS (SELECT n.g, var_id, greatest(exp((b + d) / sw) - exp(b / sw), 0) AS f FROM n JOIN b ON n.g = b.g WHERE sw > 0),
+p AS (SELECT g AS group_id, var_id, f / sum(f) OVER (PARTITION BY g) AS value FROM raw)
+"""
+
+
+@query(f"WITH {_CB}, {_PROFILE} SELECT group_id, var_id, round(value, 6) AS value FROM p WHERE value > 0")
+def grouped_profile(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return grouping.profile(x, obs, "metacell")
+
+
+# conveyance ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS obs_id, coalesce(n_name, 'none') AS n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def convey_group_to_obs(spark, sf_dir):
+    groups = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), "n_name")
+    return convey.group_to_obs(_cb(spark, sf_dir)[2], groups, "metacell", "n_name", "none")
+
+
+@query(
+    f"""WITH {_CB}, c AS (SELECT g AS group_id, segment, count(*) AS n FROM o GROUP BY ALL)
+    SELECT group_id, segment FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, segment) AS k FROM c) WHERE k = 1"""
+)
+def convey_obs_to_group(spark, sf_dir):
+    return convey.obs_to_group(_cb(spark, sf_dir)[2], "metacell", "segment")
+
+
+@query(f"WITH {_CB} SELECT g AS group_id, segment, round(count(*) / sum(count(*)) OVER (PARTITION BY g), 6) AS fraction FROM o GROUP BY g, segment")
+def convey_fractions_to_group(spark, sf_dir):
+    return convey.fractions_to_group(_cb(spark, sf_dir)[2], "metacell", "segment")
+
+
+@query("SELECT s_suppkey AS obs_id, coalesce(c_mktsegment, 'none') AS segment FROM supplier LEFT JOIN customer ON replace(s_name, 'Supplier', 'Customer') = c_name")
+def convey_obs_to_obs(spark, sf_dir):
+    target = _sb(spark, sf_dir)[2].withColumn("obs_name", F.replace("obs_name", F.lit("Supplier"), F.lit("Customer")))
+    return convey.obs_to_obs(_cb(spark, sf_dir)[2], target, "segment", default="none")
+
+
+@query("SELECT c_custkey AS obs_id, CASE WHEN c_nationkey < 5 THEN c_nationkey * 10 ELSE c_nationkey END AS metacell, -1 AS level FROM customer")
+def apply_annotations(spark, sf_dir):
+    obs = _cb(spark, sf_dir)[2].select("obs_id", "metacell")
+    part = obs.where("metacell < 5").select("obs_id", (F.col("metacell") * 10).alias("metacell"))
+    return convey.apply_annotations(obs, part, "obs_id", {"metacell": 0, "level": -1, "other": convey.SKIP})
+
+
+# ranks and windows -----------------------------------------------------------------------------------------------
+
+_RELATIVE = """
+m AS (SELECT var_id, avg(value) AS mean, CASE WHEN avg(value) = 0 THEN 0.0 ELSE log2(var_pop(value) / avg(value)) END AS lv FROM d GROUP BY var_id),
+k AS (SELECT *, row_number() OVER (ORDER BY mean, var_id) - 1 AS i, count(*) OVER () AS n FROM m),
+r AS (SELECT a.var_id, a.lv, median(b.lv) AS md FROM k a JOIN k b ON b.i >= least(greatest(a.i - {h}, 0), greatest(a.n - {w}, 0))
+      AND b.i < least(greatest(a.i - {h}, 0), greatest(a.n - {w}, 0)) + {w} GROUP BY a.var_id, a.lv)
+"""
+
+
+@query(f"WITH {_CB}, {_RELATIVE.format(h=4, w=9)} SELECT var_id, round(lv - md, 6) AS relative_variance FROM r")
+def relative_variance(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return ranking.relative_variance(x, var, "var_id", obs.count(), 9)
+
+
+@query(f"WITH {_CB} SELECT obs_id, var_id, CAST(row_number() OVER (PARTITION BY obs_id ORDER BY value DESC, var_id) AS DOUBLE) AS value FROM x")
+def rank_matrix(spark, sf_dir):
+    return ranking.rank_matrix(_cb(spark, sf_dir)[1], "obs_id", False)
+
+
+@query(f"WITH {_CB}, r AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY value DESC, var_id) AS k FROM x) SELECT obs_id, var_id, value FROM r WHERE k <= 3")
+def top_per_observation(spark, sf_dir):
+    return ranking.top_per(_cb(spark, sf_dir)[1], 3, "obs_id")
+
+
+_FOLDS = """
+c AS (SELECT var_id, sum(value) / (SELECT sum(value) FROM x) AS e FROM d GROUP BY var_id),
+f AS (SELECT d.obs_id, d.var_id, CASE WHEN e = 0 THEN 0.0 ELSE log2((coalesce(value / u, 0) + 1e-4) / (e + 1e-4)) END AS value
+      FROM d LEFT JOIN u ON d.obs_id = u.obs_id JOIN c ON d.var_id = c.var_id)
+"""
+
+
+@query(f"WITH {_CB}, {_FOLDS} SELECT obs_id, var_id, round(value, 6) AS value FROM f")
+def distinct_folds(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return quality.distinct_folds(x, obs, var, 1e-4)
+
+
+@query(
+    f"""WITH {_SB}, {_FOLDS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY obs_id ORDER BY abs(value) DESC, var_id) AS INTEGER) AS rank FROM f)
+    SELECT obs_id, rank, var_id, round(value, 6) AS value FROM r WHERE rank <= 5"""
+)
+def top_distinct_variables(spark, sf_dir):
+    _, x, obs, var = _sb(spark, sf_dir)
+    return ranking.distinct_variables(quality.distinct_folds(x, obs, var, 1e-4), 5)
+
+
+# sampling --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_SB}, t AS (SELECT x.obs_id, var_id, value, u FROM x JOIN u ON x.obs_id = u.obs_id),
+    k AS (SELECT obs_id, var_id, unnest(range(1, CAST(value AS INTEGER) + 1)) AS unit FROM t WHERE u > 750),
+    r AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY md5(concat_ws(':', '7', obs_id, var_id, unit)), var_id, unit) AS place FROM k)
+    SELECT obs_id, var_id, CAST(count(*) AS DOUBLE) AS value FROM r WHERE place <= 750 GROUP BY obs_id, var_id
+    UNION ALL SELECT obs_id, var_id, value FROM t WHERE u <= 750"""
+)
+def downsampled(spark, sf_dir):
+    return sampling.downsample(_sb(spark, sf_dir)[1], 750, 7)
+
+
+@query(f"WITH {_CB} SELECT obs_id, sum(value) AS total, count(*) AS nnz FROM x GROUP BY obs_id")
+def shuffled_totals(spark, sf_dir):
+    _, x, _, var = _cb(spark, sf_dir)
+    return sampling.shuffle(x, var, 3).groupBy("obs_id").agg(F.sum("value").alias("total"), F.count("*").alias("nnz"))
+
+
+@query()
+def random_piles(spark, sf_dir):
+    return sampling.random_piles(_cb(spark, sf_dir)[2], 400, 5)
+
+
+# similarity and graphs -------------------------------------------------------------------------------------------
+
+_GROUPS = "s AS (SELECT g AS obs_id, var_id, sum(value) AS value FROM x JOIN o USING (obs_id) GROUP BY ALL)"
+_CORR = "SELECT a.obs_id AS src, b.obs_id AS dst, corr(a.value, b.value) AS w FROM {a} a JOIN {b} b ON a.var_id = b.var_id GROUP BY ALL"
+
+
+def _groups(spark, sf_dir):
+    """Customers' sums by nation: groups by brands."""
+    _, x, obs, var = _cb(spark, sf_dir)
+    sums = grouping.sum_groups(x, obs, "metacell").withColumnRenamed("group_id", "obs_id")
+    return sums, obs.select(F.col("metacell").alias("obs_id")).distinct(), var
+
+
+@query(f"WITH {_SB}, r AS ({_CORR.format(a='d', b='d')}) SELECT src, dst, round(abs(w), 6) AS weight FROM r WHERE src <> dst")
+def abs_pearson(spark, sf_dir):
+    _, x, obs, var = _sb(spark, sf_dir)
+    return similarity.similarity(x, obs, "obs_id", var, "abs_pearson")
+
+
+@query(
+    f"""WITH {_CB}, {_GROUPS}, r AS ({_CORR.format(a="s", b="s")}), m AS (SELECT src AS obs_id, dst AS var_id, CASE WHEN src = dst THEN 1.0 ELSE w END AS value FROM r),
+    q AS ({_CORR.format(a="m", b="m")}) SELECT src, dst, round(w, 6) AS weight FROM q WHERE src <> dst"""
+)
+def repeated_pearson(spark, sf_dir):
+    sums, groups, var = _groups(spark, sf_dir)
+    return similarity.similarity(sums, groups, "obs_id", var, "repeated_pearson")
+
+
+@query(
+    f"""WITH {_CB}, {_GROUPS}, f AS (SELECT obs_id, var_id, value / sum(value) OVER (PARTITION BY obs_id) AS value FROM s),
+    l AS (SELECT 1 / (1 + exp(50 * 0.01)) AS low)
+    SELECT a.obs_id AS src, b.obs_id AS dst, round(1 - avg(1 / (1 + exp(50 * (0.01 - abs(a.value - b.value)))) - low) / (1 - any_value(low)), 6) AS weight
+    FROM f a JOIN f b ON a.var_id = b.var_id CROSS JOIN l WHERE a.obs_id <> b.obs_id GROUP BY ALL"""
+)
+def logistics_similarity(spark, sf_dir):
+    sums, groups, var = _groups(spark, sf_dir)
+    return similarity.similarity(marginals.fraction_by(sums, "obs_id"), groups, "obs_id", var, "logistics", 0.01, 50)
+
+
+@query(f"WITH {_CB}, {_GROUPS}, y AS (SELECT l_suppkey AS obs_id, p_brand AS var_id, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), yd AS (SELECT s_suppkey AS obs_id, v.var_id, coalesce(value, 0.0) AS value FROM supplier CROSS JOIN v LEFT JOIN y ON y.obs_id = s_suppkey AND y.var_id = v.var_id), r AS ({_CORR.format(a='yd', b='s')}) SELECT src, dst, round(w, 6) AS weight FROM r")
+def cross_pearson(spark, sf_dir):
+    sums, groups, var = _groups(spark, sf_dir)
+    _, x, obs, _ = _sb(spark, sf_dir)
+    return similarity.cross_pearson(x, obs, sums, groups, var.count())
+
+
+@query(
+    f"""WITH {_CB}, y AS (SELECT o_custkey AS obs_id, p_brand AS var_id, count(*) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    j AS (SELECT d.obs_id, d.value AS a, coalesce(y.value, 0) AS b FROM d LEFT JOIN y ON d.obs_id = y.obs_id AND d.var_id = y.var_id)
+    SELECT obs_id, round(CASE WHEN var_pop(a) * var_pop(b) < 1e-9 THEN 0.0 ELSE corr(a, b) END, 6) AS correlation FROM j GROUP BY obs_id"""
+)
+def aligned_pearson(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    lines = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = tables.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("var_id"))
+    counts = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("o_custkey").alias("obs_id"), "var_id")
+        .agg(F.count("*").cast("double").alias("value"))
+    )
+    return similarity.aligned_pearson(x, counts, obs, "obs_id", var.count())
+
+
+@query(
+    f"""WITH {_CB}, j AS (SELECT d.obs_id, abs(d.value - 20.0 * least(d.value, 1)) AS gap FROM d)
+    SELECT obs_id, round(avg(1 / (1 + exp(0.5 * (8 - gap))) - 1 / (1 + exp(4.0))) / (1 - 1 / (1 + exp(4.0))), 6) AS distance FROM j GROUP BY obs_id"""
+)
+def aligned_logistics(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    other = x.select("obs_id", "var_id", F.lit(20.0).alias("value"))
+    return similarity.aligned_logistics(x, other, obs, var.count(), 8, 0.5)
+
+
+_KNN = f"""
+sim AS (SELECT src, dst, abs(w) AS w FROM ({_CORR.format(a="d", b="d")}) WHERE src <> dst),
+rk AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM sim),
+bal AS (SELECT a.src, a.dst, sqrt(a.r * b.r) AS b, 5 * sqrt(10) + 1 - sqrt(a.r * b.r) AS w FROM rk a JOIN rk b ON a.src = b.dst AND a.dst = b.src),
+best AS (SELECT src, dst, greatest(w, 1.0) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY b, dst) AS k FROM bal) WHERE k = 1),
+near AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM bal WHERE w > 0 UNION ALL SELECT * FROM best) GROUP BY ALL),
+inc AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w DESC, src) AS k FROM near) WHERE k <= 15),
+outg AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM inc) WHERE k <= 5),
+pr AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM outg UNION ALL SELECT * FROM best UNION ALL SELECT dst, src, w FROM best) GROUP BY ALL)
+"""
+
+
+@query(f"WITH {_SB}, {_KNN} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM pr")
+def knn_graph(spark, sf_dir):
+    _, x, obs, var = _sb(spark, sf_dir)
+    edges = similarity.similarity(x, obs, "obs_id", var, "abs_pearson")
+    balanced, best = graph.balance(graph.outgoing_ranks(rounded(edges, 12)), 5)
+    return graph.weigh(graph.prune(balanced, best, 5, obs.count()))
+
+
+@query(
+    f"""WITH {_SB}, {_KNN}, ed AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM pr),
+    en AS (SELECT ed.*, a.g AS gs, b.g AS gd FROM ed JOIN o a ON src = a.obs_id JOIN o b ON dst = b.obs_id),
+    ow AS (SELECT src AS id, sum(w) AS w FROM en WHERE gs = gd GROUP BY src), iw AS (SELECT dst AS id, sum(w) AS w FROM en WHERE gs = gd GROUP BY dst),
+    al AS (SELECT dst AS id, sum(w) AS w FROM ed GROUP BY dst),
+    s AS (SELECT g, 0.5 * log2(1e-6 + coalesce(ow.w, 0) * coalesce(iw.w, 0)) AS s, coalesce(log2(al.w), 0) AS l, u FROM o LEFT JOIN ow ON ow.id = obs_id
+          LEFT JOIN iw ON iw.id = obs_id LEFT JOIN al ON al.id = obs_id LEFT JOIN u ON u.obs_id = o.obs_id),
+    p AS (SELECT sum(s) AS s, count(*) AS n, sum(u) AS u FROM s GROUP BY g)
+    SELECT round((any_value(n.n) * log2(any_value(n.n)) - any_value(n.l) + sum(p.s - p.n * log2(p.n)
+      + p.n * CASE WHEN p.u < 20000 THEN log2(p.u / 20000) WHEN p.u > 100000 THEN log2(100000 / p.u) ELSE 0 END)) / any_value(n.n), 4) AS score
+    FROM p CROSS JOIN (SELECT count(*) AS n, sum(l) AS l FROM s) n"""
+)
+def stability_score(spark, sf_dir):
+    _, x, obs, _ = _sb(spark, sf_dir)
+    totals = x.groupBy("obs_id").agg(F.sum("value").alias("u"))
+    return rounded(graph.stability(knn_graph(spark, sf_dir), obs.join(totals, "obs_id", "left"), "metacell", "u", 20000.0, 50000.0, 100000.0), 4)
+
+
+# quality ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_CB}, t AS (SELECT g, var_id, sum(value) AS s FROM x JOIN o USING (obs_id) GROUP BY ALL HAVING sum(value) > 40),
+    c AS (SELECT o.g, o.obs_id, t.var_id, coalesce(value, 0) + 1 AS y FROM o JOIN t ON o.g = t.g LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = t.var_id),
+    p AS (SELECT g, var_id, log2(y / sum(y) OVER (PARTITION BY obs_id)) AS l FROM c)
+    SELECT g AS group_id, var_id, round(stddev_pop(l), 6) AS value FROM p GROUP BY ALL"""
+)
+def inner_stdev_logs(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return quality.stdev_logs(x, obs, "metacell")
+
+
+_DEVIANT = f"""{_PROFILE}, gt AS (SELECT o.g AS group_id, var_id, sum(value) AS t FROM x JOIN o USING (obs_id) GROUP BY ALL),
+df AS (SELECT o.obs_id, gt.group_id, gt.var_id, log2(coalesce(x.value, 0) + 1) - log2(u.u * coalesce(p.value, 0) + 1) AS value
+       FROM o JOIN u ON u.obs_id = o.obs_id JOIN gt ON gt.group_id = o.g LEFT JOIN p ON p.group_id = gt.group_id AND p.var_id = gt.var_id
+       LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = gt.var_id WHERE t >= 40)
+"""
+
+
+def _deviant(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return quality.deviant_folds(x, obs, grouping.profile(x, obs, "metacell"), grouping.sum_groups(x, obs, "metacell"), "metacell")
+
+
+@query(f"WITH {_CB}, {_DEVIANT} SELECT obs_id, group_id, var_id, round(value, 6) AS value FROM df")
+def deviant_folds(spark, sf_dir):
+    return _deviant(spark, sf_dir).drop("outlier")
+
+
+@query(
+    f"""WITH {_CB}, {_DEVIANT}, i AS (SELECT group_id, var_id, round(value, 6) AS value, row_number() OVER (PARTITION BY group_id, var_id ORDER BY abs(value) DESC, value DESC) AS k FROM df)
+    SELECT v.var_id, count(*) FILTER (WHERE value >= 3) AS count FROM v LEFT JOIN i ON v.var_id = i.var_id AND k = 1 GROUP BY v.var_id"""
+)
+def significant_inner_folds(spark, sf_dir):
+    return quality.significant_inner_folds(quality.inner_folds(_deviant(spark, sf_dir)), _cb(spark, sf_dir)[3])
+
+
+@query(
+    f"""WITH {_CB}, z AS (SELECT g, count(*) AS n, quantile_cont(u, 0.5) AS m FROM u JOIN o USING (obs_id) GROUP BY g),
+    f AS (SELECT g, var_id, sum(value / u) AS s, sum(value / u * value / u) AS q FROM x JOIN u USING (obs_id) JOIN o USING (obs_id) GROUP BY ALL),
+    k AS (SELECT f.g, var_id, greatest((q - s * s / n) / n, 0) / (s / n) * m AS v FROM f JOIN z ON f.g = z.g)
+    SELECT n_regionkey AS type, var_id, round(quantile_cont(v, 0.95), 6) AS value FROM k JOIN nation ON g = n_nationkey GROUP BY ALL"""
+)
+def type_normalized_variances(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    types = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.col("n_regionkey").alias("type"))
+    return quality.type_normalized_variances(x, obs, "metacell", types)
+
+
+_ATLAS = """
+q AS (SELECT obs_id, var_id, value FROM d WHERE obs_id % 5 = 0), a AS (SELECT obs_id, var_id, value FROM d WHERE obs_id % 5 <> 0),
+qf AS (SELECT obs_id, var_id, value / sum(value) OVER (PARTITION BY obs_id) AS value FROM q),
+af AS (SELECT obs_id, var_id, value / sum(value) OVER (PARTITION BY obs_id) AS value FROM a),
+ql AS (SELECT obs_id, var_id, log2(value + 1e-5) AS value FROM qf), al AS (SELECT obs_id, var_id, log2(value + 1e-5) AS value FROM af),
+cc AS (SELECT a.obs_id AS src, b.obs_id AS dst, corr(a.value, b.value) AS w FROM ql a JOIN al b ON a.var_id = b.var_id GROUP BY ALL),
+nn AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM cc) WHERE k <= 4),
+pj AS (SELECT src AS obs_id, var_id, power(2.0, avg(al.value)) - 1e-5 AS f FROM nn JOIN al ON al.obs_id = dst GROUP BY ALL),
+pf AS (SELECT obs_id, var_id, f / sum(f) OVER (PARTITION BY obs_id) AS value FROM pj)
+"""
+
+
+def _atlas(spark, sf_dir):
+    """(atlas, its observations, query, its observations, variables) of suppliers, split by id."""
+    _, x, obs, var = _sb(spark, sf_dir)
+    mine = F.col("obs_id") % 5 == 0
+    return x.where(~mine), obs.where(~mine), x.where(mine), obs.where(mine), var
+
+
+def _even_weights(spark, sf_dir):
+    near = projection.candidates(*_atlas(spark, sf_dir), count=4)
+    return near.select("src", "dst", F.lit(0.25).alias("weight"))
+
+
+@query(f"WITH {_SB}, {_ATLAS} SELECT src, dst FROM nn")
+def projection_candidates(spark, sf_dir):
+    return projection.candidates(*_atlas(spark, sf_dir), count=4).select("src", "dst")
+
+
+@query(f"WITH {_SB}, {_ATLAS} SELECT obs_id, var_id, round(value, 6) AS value FROM pf")
+def projected_fractions(spark, sf_dir):
+    return projection.projected_fractions(_even_weights(spark, sf_dir), marginals.fraction_by(_atlas(spark, sf_dir)[0], "obs_id"))
+
+
+_PFOLD = """pd AS (SELECT qf.obs_id, qf.var_id, log2(qf.value + 1e-5) - log2(pf.value + 1e-5) AS value FROM qf JOIN pf USING (obs_id, var_id) JOIN q USING (obs_id, var_id) WHERE q.value >= 40)"""
+
+
+def _projected_folds(spark, sf_dir):
+    _, _, q, _, _ = _atlas(spark, sf_dir)
+    projected = projection.projected_fractions(_even_weights(spark, sf_dir), marginals.fraction_by(_atlas(spark, sf_dir)[0], "obs_id"))
+    return quality.projected_folds(marginals.fraction_by(q, "obs_id"), projected, q)
+
+
+@query(f"WITH {_SB}, {_ATLAS}, {_PFOLD} SELECT obs_id, var_id, round(value, 6) AS value FROM pd")
+def projected_folds(spark, sf_dir):
+    return _projected_folds(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_SB}, {_ATLAS}, {_PFOLD}, m AS (SELECT obs_id, count(*) FILTER (WHERE abs(value) > 0.5) AS misfits FROM pd GROUP BY obs_id)
+    SELECT o.obs_id, coalesce(misfits, 0) AS misfits, coalesce(misfits, 0) <= 3 AS similar FROM o LEFT JOIN m ON o.obs_id = m.obs_id WHERE o.obs_id % 5 = 0"""
+)
+def similar_verdicts(spark, sf_dir):
+    _, _, _, query_obs, var = _atlas(spark, sf_dir)
+    return quality.similar_verdicts(_projected_folds(spark, sf_dir), query_obs, var, most_fold=0.5)
+
+
+@query(
+    f"""WITH {_SB}, {_ATLAS}, w AS (SELECT src AS obs_id, type, count(*) * 0.25 AS w FROM nn JOIN o ON o.obs_id = dst GROUP BY ALL)
+    SELECT obs_id, type FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY w DESC, type) AS k FROM w) WHERE k = 1"""
+)
+def projected_types(spark, sf_dir):
+    return convey.atlas_to_query(_even_weights(spark, sf_dir), _atlas(spark, sf_dir)[1], "type")
+
+
+@query(
+    f"""WITH {_SB}, {_ATLAS}, r AS (SELECT var_id, corr(qf.value, pf.value) AS c, sum(pf.value) / sum(qf.value) AS f FROM qf JOIN pf USING (obs_id, var_id) GROUP BY var_id)
+    SELECT var_id, round(CASE WHEN c >= 0.3 AND (f > 1.01 OR f < 1 / 1.01) THEN f ELSE 1.0 END, 6) AS factor FROM r"""
+)
+def correction_factors(spark, sf_dir):
+    _, _, q, query_obs, var = _atlas(spark, sf_dir)
+    projected = projection.projected_fractions(_even_weights(spark, sf_dir), marginals.fraction_by(_atlas(spark, sf_dir)[0], "obs_id"))
+    return projection.correction_factors(marginals.fraction_by(q, "obs_id"), projected, query_obs, var, 0.3, 0.01)
+
+
+@query()
+def projection_weights(spark, sf_dir):
+    return projection.weights(*_atlas(spark, sf_dir))
+
+
+@query()
+def projection_pipeline(spark, sf_dir):
+    return projection.project(*_atlas(spark, sf_dir))["projected_type"]
+
+
+# sequential algorithms -------------------------------------------------------------------------------------------
+
+
+@query()
+def outlier_matches(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    marked = obs.withColumn("metacell", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")))
+    sums = grouping.sum_groups(x, marked, "metacell")
+    return quality.outlier_matches(x, marked, var, sums, sums.select("group_id").distinct(), "metacell")
+
+
+@query()
+def gap_deviants(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return deviants.gaps(x, obs, var, "metacell", 1.0)
+
+
+@query()
+def vote_deviants(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return deviants.by_policy(deviants.fold_factors(x, obs, "metacell", 2.0), var.count(), obs.count(), "votes", 0.5)
+
+
+@query()
+def direct_groups(spark, sf_dir):
+    data = tables.supplier_brand(spark, sf_dir)
+    p = pipelines.Direct(target_size=10, least_size=3, target_umis=0, least_genes=10, top3=1, least_total=1, least_k=8, window=9)
+    return pipelines.direct(data, p).obs.select("obs_id", "metacell")
+
+
+@query()
+def divide_and_conquer_groups(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    p = pipelines.Direct(target_size=20, least_size=5, target_umis=0, least_genes=10, top3=1, least_total=1, least_k=10, window=9)
+    piles = pipelines.Piles(least=200, most=400, groups=10, most_levels=2)
+    return pipelines.divide_and_conquer(data, p, piles, with_rare=False, quick=True).obs.select("obs_id", "metacell", "metacell_level")
+
+
+@query()
+def rare_modules(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    found, _ = rare.rare_modules(x, obs, var, obs.count(), least_genes=2, least_cells=1, most_fraction=0.9, least_total=50, related_fold=1)
+    return found
+
+
+@query()
+def related_variables(spark, sf_dir):
+    data = masks.mark_variables(tables.supplier_brand(spark, sf_dir), "lateral_gene", ["Brand#11"])
+    return rare.related_variables(data.layer(), data.obs, data.var, data.obs.count(), most=8)
+
+
+@query()
+def group_coordinates(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    groups = pipelines.collect(data, zeros_quantile=None)
+    everything = groups.var.select("var_id", F.lit(True).alias("marker"))
+    return pipelines.coordinates(groups, everything, k=5)
+
+
+@query()
+def packed_bins(spark, sf_dir):
+    sizes = tables.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 8 + 1).alias("size")).orderBy("size")
+    found = [r[0] for r in sizes.collect()]  # a row a nation
+    return spark.createDataFrame([(float(s), b) for s, b in zip(found, dense.bin_pack(found, 220), strict=True)], "size double, bin int")
