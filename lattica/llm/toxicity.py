@@ -20,6 +20,7 @@ import re
 from dataclasses import dataclass, field
 from itertools import product
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ TARGETS = (
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says wrote told called claims sagte schrieb nannte dit écrit appelle dijo escribió llamó".split()
 
+_THREATS = frozenset(THREATS)
 _INSULT, _THREAT, _TARGET, _NEGATION, _REPORT, _OTHER = range(6)
 _WINDOW = 3  # words that a negation reaches
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -87,14 +89,21 @@ class Grammar:
             for x in begins:
                 if not shortest or not x.startswith(shortest[-1]):
                     shortest.append(x)
-            find = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, shortest)) + ")")
-            self._parts = (fixed, find, *(x.tolist() for x in compose()))
+            find = ahocorasick.Automaton()
+            for x in shortest:
+                find.add_word(x, len(x))
+            if shortest:
+                find.make_automaton()
+            begins = {x[:MIN_PREFIX] for x in begins}
+            self._parts = (fixed, find, *(x.tolist() for x in compose()), begins)
         return self._parts
 
     def __getstate__(self):
         return {"weights": self.weights, "slope": self.slope, "offset": self.offset, "_parts": None}
 
-    def _weight(self, word: str) -> float:
+    def _weight(self, word: str, begins: set[str]) -> float:
+        if word[:MIN_PREFIX] not in begins:
+            return 0.0
         found = self.weights.get(word)
         if found is not None:
             return found
@@ -105,12 +114,12 @@ class Grammar:
         return 0.0
 
     def clause(self, words: list[str]) -> float:
-        fixed, _, after, factor, final = self._tables()
+        fixed, _, after, factor, final, begins = self._tables()
         state, total = 0, 0.0
         for word in words:
-            weight = self._weight(word)
+            weight = self._weight(word, begins)
             c = _INSULT if weight else fixed.get(word, _OTHER)
-            if c == _OTHER and word in THREATS:
+            if c == _OTHER and word in _THREATS:
                 c, weight = _THREAT, 1.0
             total += weight * factor[state][c]
             state = after[state][c]
@@ -119,14 +128,14 @@ class Grammar:
     def total(self, text: str | None) -> float:
         """The sum of the clauses' scores over the whole text."""
         text = (text or "").lower()
-        find = self._tables()[1]
         total, done = 0.0, -1
-        for m in find.finditer(text):
-            if m.start() < done:
-                continue
-            begin = max(text.rfind(sign, max(done, 0), m.start()) for sign in ".!?;:\n")
+        for last, size in self._tables()[1].iter(text) if text else ():
+            start = last - size + 1
+            if start < done or (start and text[start - 1].isalpha()):
+                continue  # in a clause that was read, or within a word
+            begin = max(text.rfind(sign, max(done, 0), start) for sign in ".!?;:\n")
             begin = max(begin, done) + 1
-            end = _CLAUSE_END.search(text, m.start())
+            end = _CLAUSE_END.search(text, start)
             done = end.start() if end else len(text)
             total += self.clause(_WORD.findall(text, begin, done))
         return total
