@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": sql.LINE_DEDUP,
+    "op5_url_filters": sql.URL_FILTERS,
     "op7_secret_scan": sql.SECRET_SCAN,
     "op9_benchmark_decontamination": sql.DECONTAMINATION,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import secrets
+from lattica.llm import secrets, urlfilter
 
 #: The six characters that the contracts strip or split at.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -87,3 +87,54 @@ SELECT doc_id, item_id, max(similarity) AS similarity,
 FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS best FROM scored)
 WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """
+
+
+def _levels() -> str:
+    """The template tree, a step for each level: tree0 to treeN."""
+    steps = ["tree0 AS (SELECT host, shape, pages, string_split(shape, '/') AS s, '' AS t FROM shapes)"]
+    for k in range(urlfilter.LEVELS):
+        segment = f"s[{k + 2}]"
+        steps.append(
+            f"""node{k} AS (SELECT host, t, {segment} AS seg, sum(pages) AS here FROM tree{k} GROUP BY ALL),
+            named{k} AS (SELECT host, t, seg, CASE WHEN seg IS NULL THEN '' WHEN seg = '' OR (NOT contains(seg, '#') AND here >= {urlfilter.MIN_PAGES}
+              AND here >= {urlfilter.MIN_SHARE} * sum(here) OVER (PARTITION BY host, t)) THEN '/' || seg ELSE '/*' END AS step FROM node{k}),
+            tree{k + 1} AS (SELECT a.host, shape, pages, s, a.t || step AS t FROM tree{k} a
+              JOIN named{k} n ON a.host = n.host AND a.t = n.t AND {segment} IS NOT DISTINCT FROM seg)"""
+        )
+    return ",\n".join(steps)
+
+
+_RULE = " ".join(
+    f"""WHEN (host = {_quoted(r.split("/", 1)[0])} OR ends_with(host, {_quoted("." + r.split("/", 1)[0])}))
+        AND starts_with(path, {_quoted("/" + r.split("/", 1)[1])}) THEN {_quoted(r)}"""
+    for r in sorted(urlfilter.RULES, key=lambda r: (-len(r), r))
+)
+_BLOCKED = ", ".join(_quoted(r) for r, v in urlfilter.RULES.items() if v == "block")
+URL_FILTERS = f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^([^/?#]*)([^?#]*)', 2) AS path FROM cut
+), ruled AS (SELECT *, CASE {_RULE} END AS rule, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM parsed
+), shapes AS (
+  SELECT host, shape, count(*) AS pages, count(rule) AS labels, count(*) FILTER (WHERE rule IN ({_BLOCKED})) AS bad FROM ruled GROUP BY ALL
+), {_levels()}, placed AS (
+  SELECT a.host, a.shape, a.t || CASE WHEN len(s) > {urlfilter.LEVELS + 1} THEN '/**' ELSE '' END AS template, labels, bad
+  FROM tree{urlfilter.LEVELS} a JOIN shapes b ON a.host = b.host AND a.shape = b.shape
+), single AS (SELECT host, template, sum(labels) AS labels, sum(bad) AS bad, regexp_replace(template, '^/[^/*]+', '/*') AS kin FROM placed GROUP BY ALL
+), pooled AS (SELECT host, kin, sum(labels) AS n, sum(bad) AS b FROM single WHERE labels >= {urlfilter.MIN_LABELS} GROUP BY ALL
+), grp AS (
+  SELECT s.host, template, labels, bad, CASE WHEN labels >= {urlfilter.MIN_LABELS}
+    AND abs(bad / labels - b / n) <= {urlfilter.MAX_Z} * sqrt((b / n * (1 - b / n) + 1 / (n + 4)) / labels) THEN s.kin ELSE template END AS merged
+  FROM single s LEFT JOIN pooled p ON s.host = p.host AND s.kin = p.kin
+), stats AS (
+  SELECT host, merged, (sum(bad) + {urlfilter.PRIOR_WEIGHT} * coalesce((SELECT sum(bad) / nullif(sum(labels), 0) FROM single), 0))
+    / (sum(labels) + {urlfilter.PRIOR_WEIGHT}) AS purity FROM grp GROUP BY ALL
+), rated AS (
+  SELECT p.host, p.shape, g.merged AS template, purity FROM placed p JOIN grp g ON p.host = g.host AND p.template = g.template
+  JOIN stats s ON g.host = s.host AND g.merged = s.merged
+)
+SELECT page_id, r.host, path, rule, CASE WHEN coalesce(rule IN ({_BLOCKED}), purity >= {urlfilter.MIN_PURITY}) THEN 'block' ELSE 'allow' END AS verdict,
+       template, CAST(purity AS DOUBLE) AS purity
+FROM ruled r JOIN rated t ON r.host = t.host AND r.shape = t.shape
+"""
