@@ -3,12 +3,14 @@
 A message's lines are cut into quote levels (the number of leading `>`); a line of level 0 is the message's own. Own and
 quoted lines are normalised (lower case, runs of letters and digits) and hashed, and each quoted line is linked to the
 latest earlier message of its conversation that has it as its own line. A message replies to the message that most of its
-outermost quoted lines link to (the latest of several), and where none links, to the message before it. The result has
-one row a message, without quotes, with the path of replies from the first message; sorting a conversation by `path`
-gives it in the order of replies, so no task ever gathers a conversation.
+outermost quoted lines link to (the latest of several), and where none links, to the message before it. One that replies
+to another than the message before it opens a branch there. The result has one row a message, without quotes, with the
+path of branches that lead to it; sorting a conversation by `path` puts every branch right after the message that it
+replies to, so no task ever gathers a conversation.
 
 "The message before" and "the latest earlier message" are found in two steps, within spans of SPAN turns and then among
-the spans, so that a conversation of any length is dealt over many tasks. Paths double in length with each round.
+the spans, so that a conversation of any length is dealt over many tasks. Paths of branches double in length with each
+round; messages outside of branches take no part in the rounds.
 
 Defined results: a null or empty text has no lines and a null text stays null; rows with the same conversation and turn
 are one message for the links of others, each keeps its own row; a null conv_id or turn replies to nothing and is a path
@@ -53,7 +55,7 @@ def latest_before(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def replies(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, reply_to, n_linked of each message of messages(conv_id, turn, text) with neither of these null."""
+    """conv_id, turn, previous, reply_to, n_linked of each message of messages(conv_id, turn, text) with neither of these null."""
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     turns = known.select("conv_id", "turn").distinct()
     previous = latest_before(turns.withColumn("at", F.col("turn")), ["conv_id"], "at").select(
@@ -81,32 +83,40 @@ def replies(messages: DataFrame) -> DataFrame:
     best = F.max(F.when(F.col("outer") > 0, F.struct("outer", "found"))).alias("best")
     chosen = votes.groupBy("conv_id", "turn").agg(best, F.sum("quoted").alias("n_linked"))
     return previous.join(chosen, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", F.coalesce("best.found", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked")
+        "conv_id", "turn", "previous", F.coalesce("best.found", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked")
     )
 
 
-def paths(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """conv_id, turn, path (turns from the first message down to this one) of links(conv_id, turn, reply_to)."""
-    now = shared.written(links.select("conv_id", "turn", F.array("turn").alias("path"), F.col("reply_to").alias("up")), "paths")
+def branches(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """conv_id, head, path (for each branch on the way, the turn that it replies to and its first turn) of the branches
+    in links(conv_id, turn, head, reply_to, opens)."""
+    at = links.select("conv_id", F.col("turn").alias("reply_to"), F.col("head").alias("up"))
+    opened = links.where("opens").select("conv_id", F.col("turn").alias("head"), "reply_to")
+    now = shared.written(
+        opened.join(at, ["conv_id", "reply_to"], "left").select("conv_id", "head", F.array("reply_to", "head").alias("path"), "up"),
+        "branches",
+    )
     for _ in range(most_rounds):
         if not now.where("up IS NOT NULL").take(1):
-            return now.select("conv_id", "turn", "path")
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("path").alias("upper"), F.col("up").alias("next"))
-        now = shared.written(
-            now.join(above, ["conv_id", "up"], "left").select(
-                "conv_id", "turn", F.concat(F.coalesce("upper", F.array().cast("array<bigint>")), "path").alias("path"), F.col("next").alias("up")
-            ),
-            "paths",
+            return now.select("conv_id", "head", "path")
+        above = now.select("conv_id", F.col("head").alias("up"), F.col("path").alias("upper"), F.col("up").alias("next"))
+        longer = now.where("up IS NOT NULL").join(above, ["conv_id", "up"]).select(
+            "conv_id", "head", F.concat("upper", "path").alias("path"), F.col("next").alias("up")
         )
-    raise RuntimeError(f"replies did not settle in {most_rounds} rounds")
+        now = shared.written(now.where("up IS NULL").union(longer), "branches")
+    raise RuntimeError(f"branches did not settle in {most_rounds} rounds")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, depth, path, n_quoted, n_linked, text (without quotes), formatted."""
     chat = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
-    links = shared.written(replies(chat), "replies")
-    placed = links.join(paths(links), ["conv_id", "turn"]).select(
-        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "path", "n_linked"
+    known = replies(chat).withColumn("opens", F.col("n_linked") > 0)
+    known = known.withColumn("opens", F.col("opens") & (F.col("reply_to") != F.col("previous")))
+    known = known.withColumn("start", F.when(F.col("opens"), F.col("turn")))
+    known = latest_before(known, ["conv_id"], "start").withColumn("head", F.coalesce("start", "found"))
+    links = shared.written(known.select("conv_id", "turn", "head", "reply_to", "n_linked", "opens"), "replies")
+    placed = links.join(branches(links), ["conv_id", "head"], "left").select(
+        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), "n_linked"
     )
     lines = F.split("text", "\n")
     own = F.filter(lines, lambda x: _level(x) == 0)
@@ -117,8 +127,10 @@ def conversations(messages: DataFrame) -> DataFrame:
         "turn",
         "role",
         "reply_to",
-        F.greatest(F.coalesce(F.size("path"), F.lit(1)) - 1, F.lit(0)).alias("depth"),
-        F.array_join(F.transform(F.coalesce("path", F.array("turn")), lambda x: F.lpad(x.cast("string"), 10, "0")), ".").alias("path"),
+        F.coalesce(F.floor(F.size("path") / 2), F.lit(0)).cast("int").alias("depth"),
+        F.array_join(
+            F.transform(F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn")), lambda x: F.lpad(x.cast("string"), 10, "0")), "."
+        ).alias("path"),
         F.coalesce(F.size(lines) - F.size(own), F.lit(0)).cast("bigint").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         clean.alias("text"),
