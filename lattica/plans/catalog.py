@@ -423,7 +423,7 @@ def random_piles(spark, sf_dir):
 
 # similarity and graphs -------------------------------------------------------------------------------------------
 
-_GROUPS = "s AS (SELECT g AS obs_id, var_id, sum(value) AS value FROM x JOIN o USING (obs_id) GROUP BY ALL)"
+_GROUPS = "s AS (SELECT g AS obs_id, var_id, sum(value) AS value FROM d JOIN o USING (obs_id) GROUP BY ALL)"
 _CORR = "SELECT a.obs_id AS src, b.obs_id AS dst, corr(a.value, b.value) AS w FROM {a} a JOIN {b} b ON a.var_id = b.var_id GROUP BY ALL"
 
 
