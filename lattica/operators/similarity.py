@@ -117,6 +117,23 @@ def logistics(layer: DataFrame, axis: DataFrame, per: str, variables: list, loca
     return paired.groupBy("p", "q").applyInPandas(run, f"src {kind}, dst {kind}, weight double")
 
 
+def cross_logistics(first: DataFrame, first_obs: DataFrame, second: DataFrame, second_obs: DataFrame, n: int, location: float, slope: float) -> DataFrame:
+    """src (of the first), dst (of the second), weight: distances, from the non-zeros of either side: what both lack has
+    no gap, so a pair's sum is that of each side alone, corrected where both have a value."""
+    low = 1 / (1 + np.exp(slope * location))
+    term = lambda gap: 1 / (1 + F.exp(slope * (location - F.abs(gap)))) - low
+    alone = lambda x, obs, name: obs.select(F.col("obs_id").alias(name)).join(
+        x.groupBy(F.col("obs_id").alias(name)).agg(F.sum(term(F.col("value"))).alias(f"t_{name}")), name, "left"
+    )
+    x = first.select(F.col("obs_id").alias("src"), "var_id", F.col("value").alias("a"))
+    y = second.select(F.col("obs_id").alias("dst"), "var_id", F.col("value").alias("b"))
+    both = x.join(y, "var_id").groupBy("src", "dst").agg(F.sum(term(F.col("a") - F.col("b")) - term(F.col("a")) - term(F.col("b"))).alias("c"))
+    pairs = alone(first, first_obs, "src").crossJoin(alone(second, second_obs, "dst")).join(both, ["src", "dst"], "left")
+    zero = F.lit(0.0)
+    total = F.coalesce("t_src", zero) + F.coalesce("t_dst", zero) + F.coalesce("c", zero)
+    return pairs.select("src", "dst", (total / n / (1 - low)).alias("weight"))
+
+
 def similarity(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame, method: str = "abs_pearson", location: float = 0.8, slope: float = 0.5) -> DataFrame:
     """src, dst, weight by one of METHODS. "repeated" is the correlation of the rows of similarities, themselves
     included with 1; logistics similarity is 1 less the distance."""

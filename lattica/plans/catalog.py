@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import dense
+from lattica.functions import dense, scalars
 from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
 from lattica.plans import pipelines
 from lattica.sources import tables
@@ -670,6 +670,98 @@ def projection_pipeline(spark, sf_dir):
     return projection.project(*_atlas(spark, sf_dir))["projected_type"]
 
 
+@query(
+    f"""WITH {_SB}, {_ATLAS}, b AS (SELECT qf.var_id, log2(quantile_cont(qf.value, 0.02) + 1e-5) AS a0, log2(quantile_cont(qf.value, 0.98) + 1e-5) AS a1,
+    log2(quantile_cont(pf.value, 0.02) + 1e-5) AS b0, log2(quantile_cont(pf.value, 0.98) + 1e-5) AS b1 FROM qf JOIN pf USING (obs_id, var_id) GROUP BY qf.var_id)
+    SELECT var_id, CASE WHEN least(a1 - a0, b1 - b0) <= 0 THEN least(a1, b1) >= greatest(a0, b0)
+    ELSE (least(a1, b1) - greatest(a0, b0)) / least(a1 - a0, b1 - b0) >= 0.5 END AS overlaps FROM b"""
+)
+def range_overlaps(spark, sf_dir):
+    _, _, q, query_obs, var = _atlas(spark, sf_dir)
+    projected = projection.projected_fractions(_even_weights(spark, sf_dir), marginals.fraction_by(_atlas(spark, sf_dir)[0], "obs_id"))
+    return projection.range_overlaps(marginals.fraction_by(q, "obs_id"), projected, query_obs, var)
+
+
+@query(
+    f"""WITH {_SB}, {_ATLAS}, {_PFOLD}, n AS (SELECT type, count(*) AS n FROM o WHERE obs_id % 5 = 0 GROUP BY type),
+    k AS (SELECT type, var_id, count(*) FILTER (WHERE value > 0.1) AS k FROM pd JOIN o USING (obs_id) GROUP BY ALL)
+    SELECT k.type, var_id FROM k JOIN n ON k.type = n.type WHERE k >= 0.5 * n AND k > 0"""
+)
+def misfit_variables(spark, sf_dir):
+    _, _, _, query_obs, var = _atlas(spark, sf_dir)
+    return projection.misfit_variables(_projected_folds(spark, sf_dir), query_obs.select("obs_id", "type"), var, 0.1)
+
+
+_ESSENTIAL = {"a": ["Brand#1", "Brand#2", "Brand#3"], "b": ["Brand#3", "Brand#4"]}
+
+
+@query("SELECT 'a' AS type, 'a' AS other, CAST(3 AS BIGINT) AS least UNION ALL SELECT 'a', 'b', 3 UNION ALL SELECT 'b', 'b', 2")
+def least_essential(spark, sf_dir):
+    return projection.least_essential(masks.mark_by_type(_sb(spark, sf_dir)[3], _ESSENTIAL))
+
+
+@query(f"WITH {_CB} SELECT obs_id, var_id, round(log2(value + 1), 6) AS plus_one, round(CASE WHEN value > 0 THEN ln(value) END, 6) AS positive, round(coalesce(log10(nullif(value, 0)), log10(1.0) - 1), 6) AS below FROM d")
+def log_values(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    v = F.coalesce("value", F.lit(0.0))
+    cells = obs.select("obs_id").crossJoin(var.select("var_id")).join(x, ["obs_id", "var_id"], "left")
+    return cells.select(
+        "obs_id", "var_id", scalars.log_value(v, 2, 1).alias("plus_one"), scalars.log_value(v).alias("positive"), scalars.log_value(v, 10, -1, F.lit(1.0)).alias("below")
+    )
+
+
+@query(f"WITH {_CB}, r AS (SELECT a.var_id AS src, b.var_id AS dst, corr(a.value, b.value) AS w FROM d a JOIN d b ON a.obs_id = b.obs_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS hi, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS lo FROM r WHERE src <> dst) SELECT src, dst, round(w, 6) AS weight FROM k WHERE hi <= 3 OR lo <= 2")
+def variable_similarity_ends(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return similarity.ends(similarity.similarity(x, var, "var_id", obs, "pearson"), 3, 2)
+
+
+@query(
+    f"""WITH {_CB}, {_GROUPS}, f AS (SELECT obs_id, var_id, value / sum(value) OVER (PARTITION BY obs_id) AS value FROM s),
+    y AS (SELECT s_suppkey AS obs_id, v.var_id, coalesce(sum(l_quantity), 0.0) AS value FROM supplier CROSS JOIN v LEFT JOIN part ON p_brand = v.var_id LEFT JOIN lineitem ON l_partkey = p_partkey AND l_suppkey = s_suppkey GROUP BY ALL),
+    q AS (SELECT obs_id, var_id, value / sum(value) OVER (PARTITION BY obs_id) AS value FROM y), l AS (SELECT 1 / (1 + exp(50 * 0.01)) AS low)
+    SELECT a.obs_id AS src, b.obs_id AS dst, round(avg(1 / (1 + exp(50 * (0.01 - abs(a.value - b.value)))) - low) / (1 - any_value(low)), 6) AS weight
+    FROM q a JOIN f b ON a.var_id = b.var_id CROSS JOIN l GROUP BY ALL"""
+)
+def cross_logistics(spark, sf_dir):
+    sums, groups, var = _groups(spark, sf_dir)
+    _, x, obs, _ = _sb(spark, sf_dir)
+    return similarity.cross_logistics(marginals.fraction_by(x, "obs_id"), obs, marginals.fraction_by(sums, "obs_id"), groups, var.count(), 0.01, 50)
+
+
+@query(
+    f"""WITH {_SB}, r AS ({_CORR.format(a="d", b="d")}), z AS (SELECT g, count(*) AS n FROM o GROUP BY g)
+    SELECT a.g AS src, b.g AS dst, round(sum(w) / (any_value(za.n) * any_value(zb.n)), 6) AS weight FROM r JOIN o a ON src = a.obs_id JOIN o b ON dst = b.obs_id
+    JOIN z za ON za.g = a.g JOIN z zb ON zb.g = b.g WHERE src <> dst GROUP BY ALL"""
+)
+def convey_pairs_to_groups(spark, sf_dir):
+    _, x, obs, var = _sb(spark, sf_dir)
+    return convey.pairs_to_group_pairs(similarity.similarity(x, obs, "obs_id", var, "pearson"), obs, "metacell")
+
+
+@query(
+    f"""WITH {_CB}, h AS (SELECT DISTINCT g, var_id FROM x JOIN o USING (obs_id)),
+    c AS (SELECT o.obs_id, o.g AS group_id, h.var_id, coalesce(x.value, 0) AS v, u.u FROM o JOIN u ON u.obs_id = o.obs_id JOIN h ON h.g = o.g LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = h.var_id),
+    f AS (SELECT *, abs(log2((v + 1) / (u * median(v / u) OVER (PARTITION BY group_id, var_id) + 1))) AS value FROM c)
+    SELECT obs_id, group_id, var_id, round(value, 6) AS value FROM f WHERE value >= 2"""
+)
+def fold_factors(spark, sf_dir):
+    _, x, obs, _ = _cb(spark, sf_dir)
+    return deviants.fold_factors(x, obs, "metacell", 2.0)
+
+
+@query()
+def collected_zeros(spark, sf_dir):
+    return pipelines.collect(tables.customer_brand(spark, sf_dir)).layer("zeros")
+
+
+@query()
+def viewer_folds(spark, sf_dir):
+    data = tables.customer_brand(spark, sf_dir)
+    marked = data.with_obs(data.obs.select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")).alias("metacell")))
+    return pipelines.for_viewer(marked, pipelines.collect(marked, zeros_quantile=None))["inner_folds"]
+
+
 # sequential algorithms -------------------------------------------------------------------------------------------
 
 

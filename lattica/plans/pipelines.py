@@ -322,6 +322,26 @@ def coordinates(groups: Dataset, markers: DataFrame, dimensions: int = 2, k: int
     return groups.obs.sparkSession.createDataFrame(rows, f"obs_id {kind}, " + ", ".join(f"{c} double" for c in labels))
 
 
+def spread(points: DataFrame, fraction: float = 1 / 3, noise: float = 0.1, seed: int = 0, most: int = 10000) -> DataFrame:
+    """obs_id, x, y moved apart; the points are groups, bounded by `most`."""
+    rows = points.orderBy("obs_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a layout takes {most} groups at most")
+    moved = dense.spread_points(np.array([[r["x"], r["y"]] for r in rows]).reshape(-1, 2), fraction, noise, seed) if rows else []
+    kind = dict(points.dtypes)["obs_id"]
+    return points.sparkSession.createDataFrame([(r["obs_id"], float(x), float(y)) for r, (x, y) in zip(rows, moved, strict=True)], f"obs_id {kind}, x double, y double")
+
+
+def project_outliers(atlas: Dataset, outliers: Dataset, regularization: float = 1e-5, least: float = 40) -> tuple[DataFrame, DataFrame]:
+    """(obs_id, group_id) and (obs_id, var_id, value): the atlas member most like each outlier and the folds against it."""
+    odd = outliers.obs.withColumn("g", F.lit(-1))
+    named = lambda x: x.withColumnRenamed("obs_id", "group_id")
+    totals = named(atlas.layer("total_umis"))
+    matches = checkpointed(quality.outlier_matches(outliers.layer(), odd, outliers.var, totals, named(atlas.obs.select("obs_id")), "g", regularization))
+    folds = quality.deviant_folds(outliers.layer(), odd, named(atlas.layer()), totals, "g", matches, least)
+    return matches, folds.select("obs_id", "var_id", "value")
+
+
 def excluded_share(data: Dataset) -> DataFrame:
     """One row: the whole matrix' statistics, for a report."""
     return whole(data.layer(), data.obs.count(), data.var.count())
