@@ -208,8 +208,8 @@ def named_masks(spark, sf_dir):
 
 @query("SELECT c_custkey AS obs_id, NOT ((c_acctbal > 0) AND c_nationkey <> 0 OR c_nationkey > 20) AS mask FROM customer")
 def combined_masks(spark, sf_dir):
-    obs = _cb(spark, sf_dir)[2].withColumn("rich", F.col("balance") > 0).withColumn("late", F.col("metacell") > 20)
-    return obs.select("obs_id", masks.combine(obs.columns, ["rich", "&metacell", "&~absent?", "|late"], invert=True).alias("mask"))
+    obs = _cb(spark, sf_dir)[2].withColumn("rich", F.col("balance") > 0).withColumn("late", F.col("cluster") > 20)
+    return obs.select("obs_id", masks.combine(obs.columns, ["rich", "&cluster", "&~absent?", "|late"], invert=True).alias("mask"))
 
 
 @query(
@@ -253,7 +253,7 @@ def bursty_lonely(spark, sf_dir):
 @query(f"WITH {_CB} SELECT g AS group_id, var_id, sum(value) AS value FROM x JOIN o ON x.obs_id = o.obs_id WHERE g >= 0 GROUP BY ALL")
 def sum_groups(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return grouping.sum_groups(x, obs, "metacell")
+    return grouping.sum_groups(x, obs, "cluster")
 
 
 @query(
@@ -264,8 +264,8 @@ def sum_groups(spark, sf_dir):
 )
 def group_annotations(spark, sf_dir):
     obs = _cb(spark, sf_dir)[2]
-    last = grouping.unique(obs, "metacell", "segment").withColumnRenamed("segment", "last")
-    return grouping.majority(obs, "metacell", "segment", 0.25, "mixed").join(last, "group_id")
+    last = grouping.unique(obs, "cluster", "segment").withColumnRenamed("segment", "last")
+    return grouping.majority(obs, "cluster", "segment", 0.25, "mixed").join(last, "group_id")
 
 
 @query(
@@ -277,7 +277,7 @@ def group_annotations(spark, sf_dir):
     FROM o JOIN (SELECT g, segment FROM h WHERE k = 1) h ON h.g = o.g JOIN (SELECT g, balance AS b FROM s WHERE k = 1) s ON s.g = o.g GROUP BY o.g""".replace("any_value(h.segment)", "any_value(h.segment)").replace("avg(CAST(segment", "avg(CAST(o.segment")
 )
 def group_aggregates(spark, sf_dir):
-    obs = _cb(spark, sf_dir)[2].withColumn("w", F.abs("balance")).withColumnRenamed("metacell", "group_id")
+    obs = _cb(spark, sf_dir)[2].withColumn("w", F.abs("balance")).withColumnRenamed("cluster", "group_id")
     heaviest = grouping.highest_weight(obs, "group_id", "w", "segment").withColumnRenamed("segment", "heaviest")
     sums = obs.groupBy("group_id").agg(
         grouping.weighted_mean("w", "region").alias("weighted"),
@@ -287,15 +287,15 @@ def group_aggregates(spark, sf_dir):
     return sums.join(heaviest, "group_id")
 
 
-@query("SELECT c_custkey AS obs_id, CASE WHEN c_acctbal < 0 THEN -1 ELSE CAST(dense_rank() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_nationkey) - 1 AS INTEGER) END AS metacell FROM customer")
+@query("SELECT c_custkey AS obs_id, CASE WHEN c_acctbal < 0 THEN -1 ELSE CAST(dense_rank() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_nationkey) - 1 AS INTEGER) END AS cluster FROM customer")
 def compressed_groups(spark, sf_dir):
-    obs = _cb(spark, sf_dir)[2].select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")).alias("metacell"))
-    return grouping.compress(obs, "metacell").select("obs_id", F.col("metacell").cast("int").alias("metacell"))
+    obs = _cb(spark, sf_dir)[2].select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("cluster")).alias("cluster"))
+    return grouping.compress(obs, "cluster").select("obs_id", F.col("cluster").cast("int").alias("cluster"))
 
 
 @query()
 def group_names(spark, sf_dir):
-    return grouping.group_names(_cb(spark, sf_dir)[2], "metacell")
+    return grouping.group_names(_cb(spark, sf_dir)[2], "cluster")
 
 
 _PROFILE = """
@@ -310,7 +310,7 @@ p AS (SELECT g AS group_id, var_id, f / sum(f) OVER (PARTITION BY g) AS value FR
 @query(f"WITH {_CB}, {_PROFILE} SELECT group_id, var_id, round(value, 6) AS value FROM p WHERE value > 0")
 def grouped_profile(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return grouping.profile(x, obs, "metacell")
+    return grouping.profile(x, obs, "cluster")
 
 
 # conveyance ------------------------------------------------------------------------------------------------------
@@ -319,7 +319,7 @@ def grouped_profile(spark, sf_dir):
 @query("SELECT c_custkey AS obs_id, coalesce(n_name, 'none') AS n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def convey_group_to_obs(spark, sf_dir):
     groups = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), "n_name")
-    return convey.group_to_obs(_cb(spark, sf_dir)[2], groups, "metacell", "n_name", "none")
+    return convey.group_to_obs(_cb(spark, sf_dir)[2], groups, "cluster", "n_name", "none")
 
 
 @query(
@@ -327,12 +327,12 @@ def convey_group_to_obs(spark, sf_dir):
     SELECT group_id, segment FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, segment) AS k FROM c) WHERE k = 1"""
 )
 def convey_obs_to_group(spark, sf_dir):
-    return convey.obs_to_group(_cb(spark, sf_dir)[2], "metacell", "segment")
+    return convey.obs_to_group(_cb(spark, sf_dir)[2], "cluster", "segment")
 
 
 @query(f"WITH {_CB} SELECT g AS group_id, segment, round(count(*) / sum(count(*)) OVER (PARTITION BY g), 6) AS fraction FROM o GROUP BY g, segment")
 def convey_fractions_to_group(spark, sf_dir):
-    return convey.fractions_to_group(_cb(spark, sf_dir)[2], "metacell", "segment")
+    return convey.fractions_to_group(_cb(spark, sf_dir)[2], "cluster", "segment")
 
 
 @query("SELECT s_suppkey AS obs_id, coalesce(c_mktsegment, 'none') AS segment FROM supplier LEFT JOIN customer ON replace(s_name, 'Supplier', 'Customer') = c_name")
@@ -341,11 +341,11 @@ def convey_obs_to_obs(spark, sf_dir):
     return convey.obs_to_obs(_cb(spark, sf_dir)[2], target, "segment", default="none")
 
 
-@query("SELECT c_custkey AS obs_id, CASE WHEN c_nationkey < 5 THEN c_nationkey * 10 ELSE c_nationkey END AS metacell, -1 AS level FROM customer")
+@query("SELECT c_custkey AS obs_id, CASE WHEN c_nationkey < 5 THEN c_nationkey * 10 ELSE c_nationkey END AS cluster, -1 AS level FROM customer")
 def apply_annotations(spark, sf_dir):
-    obs = _cb(spark, sf_dir)[2].select("obs_id", "metacell")
-    part = obs.where("metacell < 5").select("obs_id", (F.col("metacell") * 10).alias("metacell"))
-    return convey.apply_annotations(obs, part, "obs_id", {"metacell": 0, "level": -1, "other": convey.SKIP})
+    obs = _cb(spark, sf_dir)[2].select("obs_id", "cluster")
+    part = obs.where("cluster < 5").select("obs_id", (F.col("cluster") * 10).alias("cluster"))
+    return convey.apply_annotations(obs, part, "obs_id", {"cluster": 0, "level": -1, "other": convey.SKIP})
 
 
 # ranks and windows -----------------------------------------------------------------------------------------------
@@ -430,8 +430,8 @@ _CORR = "SELECT a.obs_id AS src, b.obs_id AS dst, corr(a.value, b.value) AS w FR
 def _groups(spark, sf_dir):
     """Customers' sums by nation: groups by brands."""
     _, x, obs, var = _cb(spark, sf_dir)
-    sums = grouping.sum_groups(x, obs, "metacell").withColumnRenamed("group_id", "obs_id")
-    return sums, obs.select(F.col("metacell").alias("obs_id")).distinct(), var
+    sums = grouping.sum_groups(x, obs, "cluster").withColumnRenamed("group_id", "obs_id")
+    return sums, obs.select(F.col("cluster").alias("obs_id")).distinct(), var
 
 
 @query(f"WITH {_SB}, r AS ({_CORR.format(a='d', b='d')}) SELECT src, dst, round(abs(w), 6) AS weight FROM r WHERE src <> dst")
@@ -531,7 +531,7 @@ def knn_graph(spark, sf_dir):
 def stability_score(spark, sf_dir):
     _, x, obs, _ = _sb(spark, sf_dir)
     totals = x.groupBy("obs_id").agg(F.sum("value").alias("u"))
-    return rounded(graph.stability(knn_graph(spark, sf_dir), obs.join(totals, "obs_id", "left"), "metacell", "u", 20000.0, 50000.0, 100000.0), 4)
+    return rounded(graph.stability(knn_graph(spark, sf_dir), obs.join(totals, "obs_id", "left"), "cluster", "u", 20000.0, 50000.0, 100000.0), 4)
 
 
 # quality ---------------------------------------------------------------------------------------------------------
@@ -545,7 +545,7 @@ def stability_score(spark, sf_dir):
 )
 def inner_stdev_logs(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return quality.stdev_logs(x, obs, "metacell")
+    return quality.stdev_logs(x, obs, "cluster")
 
 
 _DEVIANT = f"""{_PROFILE}, gt AS (SELECT o.g AS group_id, var_id, sum(value) AS t FROM x JOIN o USING (obs_id) GROUP BY ALL),
@@ -557,7 +557,7 @@ df AS (SELECT o.obs_id, gt.group_id, gt.var_id, log2(coalesce(x.value, 0) + 1) -
 
 def _deviant(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return quality.deviant_folds(x, obs, grouping.profile(x, obs, "metacell"), grouping.sum_groups(x, obs, "metacell"), "metacell")
+    return quality.deviant_folds(x, obs, grouping.profile(x, obs, "cluster"), grouping.sum_groups(x, obs, "cluster"), "cluster")
 
 
 @query(f"WITH {_CB}, {_DEVIANT} SELECT obs_id, group_id, var_id, round(value, 6) AS value FROM df")
@@ -582,7 +582,7 @@ def significant_inner_folds(spark, sf_dir):
 def type_normalized_variances(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
     types = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.col("n_regionkey").alias("type"))
-    return quality.type_normalized_variances(x, obs, "metacell", types)
+    return quality.type_normalized_variances(x, obs, "cluster", types)
 
 
 _ATLAS = """
@@ -736,7 +736,7 @@ def cross_logistics(spark, sf_dir):
 )
 def convey_pairs_to_groups(spark, sf_dir):
     _, x, obs, var = _sb(spark, sf_dir)
-    return convey.pairs_to_group_pairs(similarity.similarity(x, obs, "obs_id", var, "pearson"), obs, "metacell")
+    return convey.pairs_to_group_pairs(similarity.similarity(x, obs, "obs_id", var, "pearson"), obs, "cluster")
 
 
 @query(
@@ -747,7 +747,7 @@ def convey_pairs_to_groups(spark, sf_dir):
 )
 def fold_factors(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return deviants.fold_factors(x, obs, "metacell", 2.0)
+    return deviants.fold_factors(x, obs, "cluster", 2.0)
 
 
 @query()
@@ -758,7 +758,7 @@ def collected_zeros(spark, sf_dir):
 @query()
 def viewer_folds(spark, sf_dir):
     data = tables.customer_brand(spark, sf_dir)
-    marked = data.with_obs(data.obs.select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")).alias("metacell")))
+    marked = data.with_obs(data.obs.select("obs_id", F.when(F.col("balance") < 0, -1).otherwise(F.col("cluster")).alias("cluster")))
     return pipelines.for_viewer(marked, pipelines.collect(marked, zeros_quantile=None))["inner_folds"]
 
 
@@ -768,28 +768,28 @@ def viewer_folds(spark, sf_dir):
 @query()
 def outlier_matches(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
-    marked = obs.withColumn("metacell", F.when(F.col("balance") < 0, -1).otherwise(F.col("metacell")))
-    sums = grouping.sum_groups(x, marked, "metacell")
-    return quality.outlier_matches(x, marked, var, sums, sums.select("group_id").distinct(), "metacell")
+    marked = obs.withColumn("cluster", F.when(F.col("balance") < 0, -1).otherwise(F.col("cluster")))
+    sums = grouping.sum_groups(x, marked, "cluster")
+    return quality.outlier_matches(x, marked, var, sums, sums.select("group_id").distinct(), "cluster")
 
 
 @query()
 def gap_deviants(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
-    return deviants.gaps(x, obs, var, "metacell", 1.0)
+    return deviants.gaps(x, obs, var, "cluster", 1.0)
 
 
 @query()
 def vote_deviants(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
-    return deviants.by_policy(deviants.fold_factors(x, obs, "metacell", 2.0), var.count(), obs.count(), "votes", 0.5)
+    return deviants.by_policy(deviants.fold_factors(x, obs, "cluster", 2.0), var.count(), obs.count(), "votes", 0.5)
 
 
 @query()
 def direct_groups(spark, sf_dir):
     data = tables.supplier_brand(spark, sf_dir)
     p = pipelines.Direct(target_size=10, least_size=3, target_umis=0, least_genes=10, top3=1, least_total=1, least_k=8, window=9)
-    return pipelines.direct(data, p).obs.select("obs_id", "metacell")
+    return pipelines.direct(data, p).obs.select("obs_id", "cluster")
 
 
 @query()
@@ -797,7 +797,7 @@ def divide_and_conquer_groups(spark, sf_dir):
     data = tables.customer_brand(spark, sf_dir)
     p = pipelines.Direct(target_size=20, least_size=5, target_umis=0, least_genes=10, top3=1, least_total=1, least_k=10, window=9)
     piles = pipelines.Piles(least=200, most=400, groups=10, most_levels=2)
-    return pipelines.divide_and_conquer(data, p, piles, with_rare=False, quick=True).obs.select("obs_id", "metacell", "metacell_level")
+    return pipelines.divide_and_conquer(data, p, piles, with_rare=False, quick=True).obs.select("obs_id", "cluster", "cluster_level")
 
 
 @query()

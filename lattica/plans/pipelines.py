@@ -143,7 +143,7 @@ def _pile_groups(part: pd.DataFrame, p: Direct) -> pd.DataFrame:
 
 
 def groups_of_piles(data: Dataset, piles: DataFrame, layer: DataFrame, selected: DataFrame, p: Direct = Direct()) -> DataFrame:
-    """obs_id, metacell: each pile of piles(obs_id, pile) is grouped as one task, over the selected variables of the
+    """obs_id, cluster: each pile of piles(obs_id, pile) is grouped as one task, over the selected variables of the
     layer; deviants leave and unconvincing groups are dissolved. Ids are unique over all piles."""
     kind = dict(data.obs.dtypes)["obs_id"]
     totals = data.obs_values(MAIN, total=True).withColumnRenamed(MAIN, "u")
@@ -155,25 +155,25 @@ def groups_of_piles(data: Dataset, piles: DataFrame, layer: DataFrame, selected:
         lambda key, part: run(part).assign(pile=key[0]), f"obs_id {kind}, candidate bigint, pile int"
     )
     top = found.agg((F.max("candidate") + 1).alias("k"))
-    named = found.crossJoin(F.broadcast(top)).select("obs_id", F.when(F.col("candidate") >= 0, F.col("pile") * F.col("k") + F.col("candidate")).otherwise(-1).alias("metacell"))  # one row
-    named = checkpointed(grouping.compress(named, "metacell").select("obs_id", F.col("metacell").cast("bigint").alias("metacell")))
-    gone = deviants.gaps(data.layer(), named, data.var, "metacell", p.least_fold).where("deviant")
-    return checkpointed(deviants.dissolve(data.layer(), named, "metacell", gone, p.target_size, p.least_size, p.target_umis))
+    named = found.crossJoin(F.broadcast(top)).select("obs_id", F.when(F.col("candidate") >= 0, F.col("pile") * F.col("k") + F.col("candidate")).otherwise(-1).alias("cluster"))  # one row
+    named = checkpointed(grouping.compress(named, "cluster").select("obs_id", F.col("cluster").cast("bigint").alias("cluster")))
+    gone = deviants.gaps(data.layer(), named, data.var, "cluster", p.least_fold).where("deviant")
+    return checkpointed(deviants.dissolve(data.layer(), named, "cluster", gone, p.target_size, p.least_size, p.target_umis))
 
 
 def direct(data: Dataset, p: Direct = Direct()) -> Dataset:
-    """All observations as one pile. Adds metacell and selected_gene."""
+    """All observations as one pile. Adds cluster and selected_gene."""
     layer, selected = select_variables(data, p)
     piles = data.obs.select("obs_id", F.lit(0).alias("pile"))
     found = groups_of_piles(data, piles, layer, selected, p)
     chosen = selected.select("var_id", F.lit(True).alias("selected_gene"))
-    return data.with_obs(found, {"metacell": -1}).with_var(chosen, {"selected_gene": False})
+    return data.with_obs(found, {"cluster": -1}).with_var(chosen, {"selected_gene": False})
 
 
 def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles(), with_rare: bool = True, quick: bool = False, **rare_options) -> Dataset:
     """Groups of rare modules first, then random piles; the groups found are piled by similarity (they are grouped
-    themselves) for the final piles, and what is left over is piled again, level by level. Adds metacell,
-    metacell_level, selected_gene and, with rare modules, rare_gene_module and cells_rare_gene_module."""
+    themselves) for the final piles, and what is left over is piled again, level by level. Adds cluster,
+    cluster_level, selected_gene and, with rare modules, rare_gene_module and cells_rare_gene_module."""
     layer, selected = select_variables(data, p)
     n = data.obs.count()
     results: list[DataFrame] = []
@@ -186,7 +186,7 @@ def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles
         if cells.take(1):
             both = selected.union(genes.select("var_id")).distinct()
             found = groups_of_piles(data, cells.withColumnRenamed("module", "pile"), layer, both, p)
-            results.append(found.where("metacell >= 0").withColumn("level", F.lit(0)))
+            results.append(found.where("cluster >= 0").withColumn("level", F.lit(0)))
             todo = todo.join(results[-1].select("obs_id"), "obs_id", "left_anti")
     size = sampling.target_pile_size(data.layer(), data.obs, p.target_size, p.target_umis, piles.least, piles.most, piles.groups)
     dealt = sampling.random_piles(todo, size, p.seed)
@@ -195,28 +195,28 @@ def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles
         found = groups_of_piles(left, checkpointed(dealt), layer.join(todo, "obs_id", "left_semi"), selected, p)
         if level == 1 and not quick and todo.count() > size:
             found = _regrouped(left, found, layer, selected, p, size)
-        results.append(found.where("metacell >= 0").withColumn("level", F.lit(level)))
+        results.append(found.where("cluster >= 0").withColumn("level", F.lit(level)))
         before = todo.count()
         todo = checkpointed(todo.join(results[-1].select("obs_id"), "obs_id", "left_anti"))
         rest = todo.count()
         if not rest or rest == before or rest < p.least_size:
             break
         dealt = sampling.random_piles(todo, size, p.seed + level)
-    joined = results[0].select("obs_id", "metacell", "level")
+    joined = results[0].select("obs_id", "cluster", "level")
     for part in results[1:]:
-        joined = joined.union(part.select("obs_id", "metacell", "level"))
-    ids = joined.select("level", "metacell").distinct()
+        joined = joined.union(part.select("obs_id", "cluster", "level"))
+    ids = joined.select("level", "cluster").distinct()
     from pyspark.sql.window import Window
 
-    ids = ids.select("level", "metacell", (F.row_number().over(Window.orderBy("level", "metacell")) - 1).alias("id"))  # a row a group
-    named = joined.join(ids, ["level", "metacell"]).select("obs_id", F.col("id").cast("bigint").alias("metacell"), F.col("level").alias("metacell_level"))
+    ids = ids.select("level", "cluster", (F.row_number().over(Window.orderBy("level", "cluster")) - 1).alias("id"))  # a row a group
+    named = joined.join(ids, ["level", "cluster"]).select("obs_id", F.col("id").cast("bigint").alias("cluster"), F.col("level").alias("cluster_level"))
     chosen = selected.select("var_id", F.lit(True).alias("selected_gene"))
-    return data.with_obs(checkpointed(named), {"metacell": -1, "metacell_level": -1}).with_var(chosen, {"selected_gene": False})
+    return data.with_obs(checkpointed(named), {"cluster": -1, "cluster_level": -1}).with_var(chosen, {"selected_gene": False})
 
 
 def _regrouped(data: Dataset, found: DataFrame, layer: DataFrame, selected: DataFrame, p: Direct, size: int) -> DataFrame:
     """Final groups of one level: the preliminary groups' sums are grouped, and each group of groups is a pile."""
-    sums = grouping.sum_groups(data.layer(), found, "metacell").withColumnRenamed("group_id", "obs_id")
+    sums = grouping.sum_groups(data.layer(), found, "cluster").withColumnRenamed("group_id", "obs_id")
     groups = sums.select("obs_id").distinct()
     small = Dataset(groups, data.var, {MAIN: checkpointed(sums)})
     count = max(1, groups.count() // max(1, size // p.target_size))
@@ -226,7 +226,7 @@ def _regrouped(data: Dataset, found: DataFrame, layer: DataFrame, selected: Data
     rows = one.join(totals, "obs_id").join(sums.join(selected, "var_id", "left_semi"), "obs_id").select("pile", "obs_id", F.col("var_id").cast("string").alias("var_id"), "value", "u")
     kind = dict(groups.dtypes)["obs_id"]
     super_groups = rows.groupBy("pile").applyInPandas(lambda part: _pile_groups(part, q), f"obs_id {kind}, candidate bigint")
-    piles = found.where("metacell >= 0").join(super_groups.withColumnRenamed("obs_id", "metacell"), "metacell")
+    piles = found.where("cluster >= 0").join(super_groups.withColumnRenamed("obs_id", "cluster"), "cluster")
     piles = piles.select("obs_id", F.when(F.col("candidate") >= 0, F.col("candidate")).otherwise(0).cast("int").alias("pile"))
     return groups_of_piles(data, checkpointed(piles), layer, selected, p)
 
@@ -234,7 +234,7 @@ def _regrouped(data: Dataset, found: DataFrame, layer: DataFrame, selected: Data
 # collected groups ------------------------------------------------------------------------------------------------
 
 
-def collect(data: Dataset, group: str = "metacell", geometric: bool = True, zeros_quantile: float = 0.1, seed: int = 0) -> Dataset:
+def collect(data: Dataset, group: str = "cluster", geometric: bool = True, zeros_quantile: float = 0.1, seed: int = 0) -> Dataset:
     """The groups as a dataset of their own: x the profile's fractions, total_umis and zeros layers, grouped and
     total_umis of each group."""
     totals = grouping.sum_groups(data.layer(), data.obs, group)
@@ -277,7 +277,7 @@ def zeros(layer: DataFrame, obs: DataFrame, var: DataFrame, group: str, quantile
 # the statistics of a viewer --------------------------------------------------------------------------------------
 
 
-def for_viewer(data: Dataset, groups: Dataset, group: str = "metacell", regularization: float = 1e-5, top: int = 50) -> dict[str, DataFrame]:
+def for_viewer(data: Dataset, groups: Dataset, group: str = "cluster", regularization: float = 1e-5, top: int = 50) -> dict[str, DataFrame]:
     """Markers, coordinates, outlier matches, deviant and inner folds with their counts, deviations of logs, and the most
     and least similar variables."""
     n = groups.obs.count()

@@ -47,7 +47,7 @@ def _orders_by(spark: SparkSession, sf_dir: str, var: str, name: str) -> Dataset
         .select(
             F.col("c_custkey").alias("obs_id"),
             F.col("c_name").alias("obs_name"),
-            F.col("c_nationkey").alias("metacell"),
+            F.col("c_nationkey").alias("cluster"),
             F.col("n_regionkey").alias("region"),
             F.col("c_mktsegment").alias("segment"),
             F.col("c_acctbal").alias("balance"),
@@ -72,7 +72,7 @@ def supplier_brand(spark: SparkSession, sf_dir: str) -> Dataset:
         .select(
             F.col("s_suppkey").alias("obs_id"),
             F.col("s_name").alias("obs_name"),
-            F.col("s_nationkey").alias("metacell"),
+            F.col("s_nationkey").alias("cluster"),
             F.col("n_regionkey").alias("type"),
         )
     )
@@ -84,7 +84,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> Dataset:
     vectors = table(spark, sf_dir, "embeddings")
     layer = vectors.select(F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("var_id", "value"))
     layer = layer.select("obs_id", F.col("var_id").cast("bigint"), F.col("value").cast("double"))
-    obs = vectors.select(F.col("vec_id").alias("obs_id"), F.col("label").alias("metacell"))
+    obs = vectors.select(F.col("vec_id").alias("obs_id"), F.col("label").alias("cluster"))
     return from_parts(obs, layer.select("var_id").distinct(), layer, "embeddings")
 
 
