@@ -74,10 +74,12 @@ def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Grammar:
-    """Weights of words ("trash") and of word beginnings ("trash*"), and the curve: probability from the summed score."""
+    """Weights of words ("trash") and of word beginnings ("trash*"), and the curve: probability from the summed score and
+    the number of words (chance hits grow with it)."""
 
     weights: dict[str, float]
     slope: float = 0.0
+    length: float = 0.0
     offset: float = -20.0
     _parts: tuple = field(default=None, repr=False)
 
@@ -99,7 +101,7 @@ class Grammar:
         return self._parts
 
     def __getstate__(self):
-        return {"weights": self.weights, "slope": self.slope, "offset": self.offset, "_parts": None}
+        return {"weights": self.weights, "slope": self.slope, "length": self.length, "offset": self.offset, "_parts": None}
 
     def _weight(self, word: str, begins: set[str]) -> float:
         if word[:MIN_PREFIX] not in begins:
@@ -141,7 +143,8 @@ class Grammar:
         return total
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * np.log1p(self.total(text)) + self.offset))))
+        margin = self.slope * np.log1p(self.total(text)) + self.length * np.log1p(len((text or "").split())) + self.offset
+        return float(1 / (1 + np.exp(-margin)))
 
 
 def features(text: str) -> set[str]:
@@ -201,22 +204,23 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
     grammar = Grammar(lexicon({r["x"]: (r["t"], r["c"]) for r in counted.collect()}, toxic, clean))
 
     def totals(columns):
-        return [(grammar.total(text.decode()), int(label == 1)) for text, label in zip(*columns, strict=True)]
+        return [(grammar.total(t.decode()), len(t.decode().split()), int(y == 1)) for t, y in zip(*columns, strict=True)]
 
-    scored = shared.rows_by_batch(sample, ["text", "toxic"], T.StructType.fromDDL("total double, y int"), totals).collect()
-    grammar.slope, grammar.offset = calibrate(np.array([r["total"] for r in scored]), np.array([r["y"] for r in scored]))
+    schema = T.StructType.fromDDL("total double, words int, y int")
+    found = sorted(tuple(r) for r in shared.rows_by_batch(sample, ["text", "toxic"], schema, totals).collect())
+    grammar.slope, grammar.length, grammar.offset = calibrate(*np.array(found).T)
     return grammar
 
 
-def calibrate(total: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and offset of the logistic curve over log(1 + total), by Newton's method."""
-    x = np.stack([np.log1p(total), np.ones(len(total))], axis=1)
-    w = np.zeros(2)
-    for _ in range(60):
+def calibrate(total: np.ndarray, words: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
+    """The logistic curve over log(1 + total) and log(1 + words), by Newton's method: slope, length and offset."""
+    x = np.stack([np.log1p(total), np.log1p(words), np.ones(len(total))], axis=1)
+    w = np.zeros(3)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(2), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(3), x.T @ (y - p) - ridge * w)
         w = w + np.clip(step, -2, 2)
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

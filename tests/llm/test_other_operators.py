@@ -255,7 +255,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_the_grammar_weighs_clauses():
-    grammar = toxicity.Grammar({"idiot": 3.0, "moron*": 2.0}, 1.0, 0.0)
+    grammar = toxicity.Grammar({"idiot": 3.0, "moron*": 2.0})
     plain, aimed = grammar.total("What an idiot."), grammar.total("You are an idiot.")
     assert aimed > plain > 0
     assert 0 < grammar.total("You are not an idiot.") < aimed
