@@ -32,8 +32,10 @@ from lattica.llm import shared
 #: The pattern that pre-splits text for byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the tables of words and of transitions at which they start anew.
-MAX_WORDS = 400_000
-MAX_ARCS = 500_000
+MAX_WORDS = 200_000
+MAX_ARCS = 250_000
+#: Bytes of a rest of a word by which its longest token is remembered.
+_START = 6
 
 
 #: Code points (hex, or ranges) that the regex module takes as letters or numbers of a later Unicode, while
@@ -119,15 +121,17 @@ class Automaton:
         )
 
     def _compile(self) -> None:
-        self._split = {}  # (u, v) -> time at which the state after u lost the arc v
-        self._parts = {}  # token -> (time, u, v) of the gadget that made it
+        count = max(self.labels, default=0) + 1
+        self._split: dict[int, int] = {}  # u << 20 | v -> time at which the state after u lost the arc v
+        self._made = [-1] * count  # token -> time of the gadget that made it, and its parts
+        self._left, self._right = [-1] * count, [-1] * count
         self._arcs: dict[int, bool] = {}  # the transition table, as far as it was asked for
         for time, (u, v, made) in enumerate(self.merges):
-            if made in self._parts or not self._arc_at(u, v, time):
+            if self._made[made] >= 0 or not self._arc_at(u, v, time):
                 continue  # no path u, v is left for this gadget
-            self._parts[made] = (time, u, v)
-            self._split[u, v] = time
-        reached = {i for i in self.labels if i in self._parts or len(self.labels[i]) == 1}
+            self._made[made], self._left[made], self._right[made] = time, u, v
+            self._split[u << 20 | v] = time
+        reached = {i for i in self.labels if self._made[i] >= 0 or len(self.labels[i]) == 1}
         self._token = {self.labels[i]: i for i in reached}
         self._size = {i: len(x) for i, x in self.labels.items()}
         self._shorter: dict[int, int | None] = {}  # token -> the next shorter one that begins it
@@ -149,26 +153,34 @@ class Automaton:
         self._first = _Words(self._pieces)
         self._next = _Words(self._spaced)
 
-    def _lost(self, p: int, t: int, before: int) -> bool:
-        """Whether the state after p had lost the arc t before a time: p's own splits, or those it got from its right
-        part until p was made."""
-        while True:
-            if self._split.get((p, t), before) < before:
-                return True
-            made = self._parts.get(p)
-            if made is None:
-                return False
-            before, p = min(before, made[0]), made[2]
-
     def _arc_at(self, p: int, t: int, before: int) -> bool:
-        """Whether the state after p had the arc t before a time: each gadget on the way to t found its left part."""
+        """Whether the state after p had the arc t before a time: each gadget on the way to t found its left part, and no
+        split had taken it, neither one of p's own nor one that p got from its right part until p was made."""
+        split, made, left, right = self._split, self._made, self._left, self._right
         while True:
-            if self._lost(p, t, before):
-                return False
-            made = self._parts.get(t)
-            if made is None:
+            state, until = p, before
+            while True:
+                lost = split.get(state << 20 | t)
+                if lost is not None and lost < until:
+                    return False
+                time = made[state]
+                if time < 0:
+                    break
+                if time < until:
+                    until = time
+                state = right[state]
+            time = made[t]
+            if time < 0:
                 return True
-            before, t = made[0] + 1, made[1]
+            before, t = time + 1, left[t]
+
+    def forget(self) -> None:
+        """Empties the tables that fill as words are asked for."""
+        for known in (self._words, self._first, self._next):
+            known.clear()
+            known._old = {}
+        self._arcs.clear()
+        self._starts.clear()
 
     def arc(self, p: int, t: int) -> bool:
         """Whether t may follow p."""
@@ -193,10 +205,10 @@ class Automaton:
             node, t = found
             if t is not None:
                 best = t
-        if seen <= 8 and (found is None or len(rest) < 8):
+        if seen <= _START and (found is None or len(rest) < _START):
             if len(self._starts) >= MAX_ARCS:
                 self._starts.clear()
-            self._starts[rest[:8]] = best
+            self._starts[rest[:_START]] = best
         return best
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
@@ -209,7 +221,7 @@ class Automaton:
         path: list[int] = []
         dead: set[int] = set()
         at, state = 0, -1
-        t = starts.get(word[:8]) or longest_at(word)
+        t = starts.get(word[:_START]) or longest_at(word)
         while True:
             while t is not None:
                 if at + size[t] not in dead:
@@ -225,7 +237,7 @@ class Automaton:
                 if at == len(word):
                     return tuple(path)
                 state = t
-                t = starts.get(word[at : at + 8]) or longest_at(word[at:])
+                t = starts.get(word[at : at + _START]) or longest_at(word[at:])
                 continue
             if not path:
                 raise ValueError(f"no path spells {word!r}")
@@ -242,9 +254,9 @@ class Automaton:
     def _spaced(self, piece: str) -> Iterable[int]:
         """The tokens of a space and a piece without spaces; most are a word, or a word and a sign."""
         if piece.isalpha():
-            return self._words[" " + piece]
+            return self.encode_word((" " + piece).encode())
         if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
-            return self._words[" " + piece[:-1]] + self._words[piece[-1]]
+            return self._next[piece[:-1]] + self._words[piece[-1]]
         return self._pieces(" " + piece)
 
     def _plain(self, text: str) -> Iterable[int]:
@@ -295,9 +307,13 @@ def _rows(docs: DataFrame, automaton: Automaton, ddl: str, row, columns: tuple[s
 
     def rows(values):
         machine = sent.value
-        return [row(machine, *v) for v in zip(*values, strict=True)]
+        gc.disable()  # what encoding makes has no cycles
+        try:
+            return [row(machine, *v) for v in zip(*values, strict=True)]
+        finally:
+            gc.enable()
 
-    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows)
+    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows, end=lambda: sent.value.forget())
 
 
 def encode_documents(docs: DataFrame, automaton: Automaton) -> DataFrame:

@@ -54,10 +54,11 @@ def cleanup(spark: SparkSession) -> None:
 
 
 def rows_by_batch(
-    df: DataFrame, columns: list[str], schema: T.StructType, rows: Callable[[list[list]], Iterable[tuple]]
+    df: DataFrame, columns: list[str], schema: T.StructType, rows: Callable[[list[list]], Iterable[tuple]], end: Callable[[], None] | None = None
 ) -> DataFrame:
     """mapInArrow over some columns: rows() gets each batch's columns as Python lists (text as bytes) and returns tuples
-    of the given schema. Batches are cut so that one holds at most some 16 MB of text, but always whole rows."""
+    of the given schema. Batches are cut so that one holds at most some 8 MB of text, but always whole rows. end() is
+    called after a task's last batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -65,18 +66,22 @@ def rows_by_batch(
     selected = df.select(*[F.col(c).cast("binary").alias(c) if types[c] == "string" else F.col(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small(batch):
-                out = list(rows([c.to_pylist() for c in part.columns]))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, type=f.type) for v, f in zip(zip(*out), arrow, strict=True)], schema=arrow
-                    )
+        try:
+            for batch in batches:
+                for part in small(batch):
+                    out = list(rows([c.to_pylist() for c in part.columns]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(v, type=f.type) for v, f in zip(zip(*out), arrow, strict=True)], schema=arrow
+                        )
+        finally:
+            if end:
+                end()
 
     return selected.mapInArrow(run, schema)
 
 
-def small(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def small(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `most` bytes or one row."""
     n = batch.num_rows
     if not n:
