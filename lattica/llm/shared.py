@@ -54,10 +54,11 @@ def cleanup(spark: SparkSession) -> None:
 
 
 def rows_by_batch(
-    df: DataFrame, columns: list[str], schema: T.StructType, rows: Callable[[list[list]], Iterable[tuple]], end: Callable[[], None] | None = None
+    df: DataFrame, columns: list[str], schema: T.StructType, rows: Callable[[list[list]], Iterable[tuple]], end: Callable[[], None] | None = None,
+    most: int = 8 << 20,
 ) -> DataFrame:
     """mapInArrow over some columns: rows() gets each batch's columns as Python lists (text as bytes) and returns tuples
-    of the given schema. Batches are cut so that one holds at most some 8 MB of text, but always whole rows. end() is
+    of the given schema. Batches are cut so that one holds at most some `most` bytes of text, but always whole rows. end() is
     called after a task's last batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -68,7 +69,7 @@ def rows_by_batch(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for part in small(batch):
+                for part in small(batch, most):
                     out = list(rows([c.to_pylist() for c in part.columns]))
                     if out:
                         yield pa.RecordBatch.from_arrays(

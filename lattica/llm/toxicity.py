@@ -17,6 +17,7 @@ score 0; repeated rows and null ids are scored like any other; an empty table gi
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -191,12 +192,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
         return Grammar({})
 
     def words(columns):
+        seen = Counter(), Counter()  # of texts that are not toxic and that are
         for text, label in zip(*columns, strict=True):
-            for x in features(text.decode()):
-                yield x, int(label == 1), int(label != 1)
+            seen[label == 1].update(features(text.decode()))
+        return [(x, seen[1][x], seen[0][x]) for x in seen[0] | seen[1]]
 
     counted = (
-        shared.rows_by_batch(sample, ["text", "toxic"], T.StructType.fromDDL("x string, t int, c int"), words)
+        shared.rows_by_batch(sample, ["text", "toxic"], T.StructType.fromDDL("x string, t int, c int"), words, most=1 << 20)
         .groupBy("x")
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .where(F.col("t") >= MIN_TOXIC_DOCUMENTS)
