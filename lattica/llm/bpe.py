@@ -1,13 +1,17 @@
 """Byte-level BPE by a tokenization automaton.
 
-The states of the automaton are the last tokens read, its arcs the tokens that may follow. It is compiled from the merge
+The automaton's states are the last tokens read, its arcs the tokens that may follow. It is compiled from the merge
 list by one gadget a merge, in the order of the merges: the gadget of (u, v) -> uv adds the arc uv wherever the path u, v
 exists, and then splits the state reached by u, so that v no longer follows there. A token made of (x, y) enters the
-state that y had when the merge was made. Arcs never need to be stored one by one: ``arc`` derives from the gadgets'
-times whether p may be followed by t, and keeps what it has derived in a transition table.
+state that y had when the merge was made. Arcs never need to be stored one by one: ``_arc_at`` derives from the gadgets'
+times whether p may be followed by t.
 
-Every prefix of a pre-split word is spelled by exactly one path, so encoding goes over the word's bytes once and takes at
-each position the only token that has an arc from the state at its start. Decoding emits the labels of the arcs.
+Every prefix of a pre-split word is spelled by exactly one path, so the automaton over tokens becomes a deterministic one
+over bytes. A state of that one is the set of arcs that may be under way: pairs of a node in the tree of labels and the
+token before it. A step over a byte moves all of them at once and marks the one arc that ends there: the last token of
+the prefix read so far. Its table of state x byte is filled as steps are first taken. Encoding a word is one step a byte,
+never going back; the marks, read from the word's end by the lengths of their tokens, are the path. Decoding emits the
+labels of the arcs.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; a special token's string in a text is
 that token; repeated rows and null ids are encoded like any other; an empty table gives no rows.
@@ -21,7 +25,8 @@ import json
 import re
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
+from operator import getitem
 
 import regex
 from pyspark.sql import DataFrame
@@ -31,11 +36,10 @@ from lattica.llm import shared
 
 #: The pattern that pre-splits text for byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the tables of words and of transitions at which they start anew.
+#: Entries of the tables of words, of arcs and of states at which they start anew.
 MAX_WORDS = 200_000
 MAX_ARCS = 250_000
-#: Bytes of a rest of a word by which its longest token is remembered.
-_START = 6
+MAX_STATES = 200_000
 
 
 #: Code points (hex, or ranges) that the regex module takes as letters or numbers of a later Unicode, while
@@ -91,6 +95,20 @@ class _Words(dict):
         return tokens
 
 
+class _State(dict):
+    """A state of the byte automaton: its row of the table (byte -> next state), the arcs under way and the mark."""
+
+    __slots__ = ("go", "mark", "step")
+
+    def __init__(self, go: tuple[tuple[int, int], ...], step):
+        super().__init__()
+        self.go, self.mark, self.step = go, go[-1][1], step
+
+    def __missing__(self, byte: int) -> _State:
+        found = self[byte] = self.step(self.go, byte)
+        return found
+
+
 class Automaton:
     """Compiled from labels (bytes of each token id), merges (pairs of ids and the id they make, in order) and special
     tokens (string -> id)."""
@@ -134,17 +152,18 @@ class Automaton:
         reached = {i for i in self.labels if self._made[i] >= 0 or len(self.labels[i]) == 1}
         self._token = {self.labels[i]: i for i in reached}
         self._size = {i: len(x) for i, x in self.labels.items()}
-        self._shorter: dict[int, int | None] = {}  # token -> the next shorter one that begins it
-        self._step: dict[int, tuple[int, int | None]] = {}  # node << 8 | byte -> node and token, of the tree of labels
-        self._starts: dict[bytes, int | None] = {}
-        for label, i in sorted(self._token.items()):
-            node, key, last = 0, 0, None
+        self._tree: dict[int, tuple[int, int | None]] = {}  # node << 8 | byte -> node and token, of the tree of labels
+        inner = set()
+        for label, i in self._token.items():
+            node, key = 0, 0
             for byte in label:
                 key = node << 8 | byte
-                node, t = self._step.setdefault(key, (len(self._step) + 1, None))
-                last = last if t is None else t
-            self._step[key] = (node, i)
-            self._shorter[i] = last
+                inner.add(node)
+                node = self._tree.setdefault(key, (len(self._tree) + 1, None))[0]
+            self._tree[key] = (node, i)
+        self._inner = inner  # nodes with something below them
+        self._states: dict[tuple, _State] = {}
+        self._restart()
         self._text = {i: str(i) for i in self.labels}
         self._pre = regex.compile(PATTERN)
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -174,78 +193,69 @@ class Automaton:
                 return True
             before, t = time + 1, left[t]
 
+    def _restart(self) -> None:
+        """The byte automaton with its first state only: the root of the tree, with no token before it."""
+        for state in self._states.values():
+            state.clear()
+        start = ((0, -1),)
+        self._start = _State(start, self._step)
+        self._states = {start: self._start}
+
     def forget(self) -> None:
-        """Empties the tables that fill as words are asked for."""
+        """Empties the tables of words and arcs, which fill as they are asked for."""
         for known in (self._words, self._first, self._next):
             known.clear()
             known._old = {}
         self._arcs.clear()
-        self._starts.clear()
 
     def arc(self, p: int, t: int) -> bool:
-        """Whether t may follow p."""
+        """Whether t may follow p (-1: the word's beginning)."""
+        if p < 0:
+            return True
         known = self._arcs.get(p << 20 | t)
-        return self._learn(p, t) if known is None else known
-
-    def _learn(self, p: int, t: int) -> bool:
-        if len(self._arcs) >= MAX_ARCS:
-            self._arcs.clear()
-        known = self._arcs[p << 20 | t] = self._arc_at(p, t, len(self.merges))
+        if known is None:
+            if len(self._arcs) >= MAX_ARCS:
+                self._arcs.clear()
+            known = self._arcs[p << 20 | t] = self._arc_at(p, t, len(self.merges))
         return known
 
-    def _longest_at(self, rest: bytes) -> int | None:
-        """The longest token that rest begins with; remembered by its first bytes where these decide."""
-        step = self._step
-        node, best, seen, found = 0, None, 0, None
-        for byte in rest:
-            seen += 1
-            found = step.get(node << 8 | byte)
+    def _step(self, go: tuple[tuple[int, int], ...], byte: int) -> _State:
+        """The next state: all arcs under way read the byte; the one that ends is the mark, and the next arc begins
+        after it."""
+        under_way, mark = [], -1
+        tree, inner = self._tree, self._inner
+        for node, before in go:
+            found = tree.get(node << 8 | byte)
             if found is None:
-                break
-            node, t = found
-            if t is not None:
-                best = t
-        if seen <= _START and (found is None or len(rest) < _START):
-            if len(self._starts) >= MAX_ARCS:
-                self._starts.clear()
-            self._starts[rest[:_START]] = best
-        return best
+                continue
+            child, token = found
+            if token is not None and mark < 0 and self.arc(before, token):
+                mark = token
+            if child in inner:
+                under_way.append((child, before))
+        if mark < 0:
+            raise ValueError(f"no path spells a word with the byte {byte:#x}")
+        under_way.append((0, mark))
+        key = tuple(under_way)
+        state = self._states.get(key)
+        if state is None:
+            if len(self._states) >= MAX_STATES:
+                self._restart()
+            state = self._states[key] = _State(key, self._step)
+        return state
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The tokens of one pre-split word: from each state the longest arc that the word allows, stepping back where
-        one leads nowhere. A prefix of the word has one path only, so a position that failed once has failed for good."""
+        """The tokens of one pre-split word: a step for each byte, then the marks from the end."""
         whole = self._token.get(word)
         if whole is not None:
             return (whole,)
-        arcs, shorter, size, starts, longest_at = self._arcs, self._shorter, self._size, self._starts, self._longest_at
-        path: list[int] = []
-        dead: set[int] = set()
-        at, state = 0, -1
-        t = starts.get(word[:_START]) or longest_at(word)
-        while True:
-            while t is not None:
-                if at + size[t] not in dead:
-                    known = arcs.get(state << 20 | t) if path else True
-                    if known is None:
-                        known = self._learn(state, t)
-                    if known:
-                        break
-                t = shorter[t]
-            if t is not None:
-                path.append(t)
-                at += size[t]
-                if at == len(word):
-                    return tuple(path)
-                state = t
-                t = starts.get(word[at : at + _START]) or longest_at(word[at:])
-                continue
-            if not path:
-                raise ValueError(f"no path spells {word!r}")
-            dead.add(at)
-            t = path.pop()
-            at -= size[t]
-            state = path[-1] if path else -1
-            t = shorter[t]
+        states = list(accumulate(word, getitem, initial=self._start))
+        at, path, size = len(word), [], self._size
+        while at:
+            token = states[at].mark
+            path.append(token)
+            at -= size[token]
+        return tuple(reversed(path))
 
     def _pieces(self, text: str) -> Iterable[int]:
         pre = self._pre if max(text) < _LATER_FROM else _careful()

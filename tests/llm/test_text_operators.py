@@ -193,6 +193,47 @@ def test_small_automata_merge_leftmost_first():
     assert machine.encode_word(b"aaaaa") == (2, 3)
 
 
+def plain_bpe(word, merges):
+    """Merge by merge over the whole word, leftmost first, as the definition has it."""
+    tokens = list(word)
+    for u, v, made in merges:
+        out = []
+        for t in tokens:
+            if out and out[-1] == u and t == v:
+                out[-1] = made
+            else:
+                out.append(t)
+        tokens = out
+    return tuple(tokens)
+
+
+def test_the_byte_automaton_marks_the_last_token_of_every_prefix():
+    rng = random.Random(21)
+    for _ in range(60):
+        labels, merges = {0: b"a", 1: b"b", 2: b"c"}, []
+        while len(merges) < 12:
+            u, v = rng.choice(list(labels)), rng.choice(list(labels))
+            if labels[u] + labels[v] not in labels.values():
+                merges.append((u, v, len(labels)))
+                labels[len(labels)] = labels[u] + labels[v]
+        machine = bpe.Automaton(labels, merges, {})
+        for _ in range(40):
+            word = bytes(rng.choices(b"abc", k=rng.randint(1, 14)))
+            state = machine._start
+            for n, byte in enumerate(word, 1):
+                state = state[byte]
+                assert state.mark == plain_bpe([b - 97 for b in word[:n]], merges)[-1]
+            assert machine.encode_word(word) == plain_bpe([b - 97 for b in word], merges)
+
+
+def test_the_byte_automaton_starts_anew_when_full(automaton, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 20)
+    machine = bpe.Automaton(automaton.labels, automaton.merges, automaton.special)
+    for text in ("unbelievably long enough a word", "x" * 300, "internationalisation"):
+        assert machine.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert len(machine._states) <= 20
+
+
 def test_bpe_digests_and_round_trip(spark, automaton, library):
     rows = documents()
     docs = frame(spark, rows, clash=True)
