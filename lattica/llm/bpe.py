@@ -141,7 +141,8 @@ class Automaton:
     def _compile(self) -> None:
         count = max(self.labels, default=0) + 1
         self._split: dict[int, int] = {}  # u << 20 | v -> time at which the state after u lost the arc v
-        self._made = [-1] * count  # token -> time of the gadget that made it, and its parts
+        # token -> time of the gadget that made it (-1: a byte, -2: no gadget), and its parts
+        self._made = [-1 if len(self.labels.get(i, b"")) == 1 else -2 for i in range(count)]
         self._left, self._right = [-1] * count, [-1] * count
         self._arcs: dict[int, bool] = {}  # the transition table, as far as it was asked for
         for time, (u, v, made) in enumerate(self.merges):
@@ -190,7 +191,7 @@ class Automaton:
                 state = right[state]
             time = made[t]
             if time < 0:
-                return True
+                return time == -1
             before, t = time + 1, left[t]
 
     def _restart(self) -> None:
