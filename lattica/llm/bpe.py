@@ -146,7 +146,7 @@ class Automaton:
         self._left, self._right = [-1] * count, [-1] * count
         self._arcs: dict[int, bool] = {}  # the transition table, as far as it was asked for
         for time, (u, v, made) in enumerate(self.merges):
-            if self._made[made] >= 0 or not self._arc_at(u, v, time):
+            if self._made[made] >= 0 or self._made[u] < -1 or not self._arc_at(u, v, time):
                 continue  # no path u, v is left for this gadget
             self._made[made], self._left[made], self._right[made] = time, u, v
             self._split[u << 20 | v] = time
