@@ -1,12 +1,14 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of a text is a blob, addressed by its SHA-256. The ledger holds, for each blob, the rule versions that it
-has been scanned by and the spans that they found; only pairs of a blob and a rule version that it lacks are scanned,
-each on one of the blob's paths, and the findings are joined back to all paths. Spans come from the lengths of what lies
-between a rule's matches, added up, so no row ever leaves the JVM.
+has been scanned by and the spans that each of them found; only pairs of a blob and a rule version that it lacks are
+scanned, each on one of the blob's paths, and the findings are joined back to all paths. What rule versions found that are
+no longer in use is dropped with them, so an updated ledger equals that of a fresh scan. Spans come from the lengths of
+what lies between a rule's matches, added up, so no row ever leaves the JVM.
 
 Defined results: a null text is the empty text; repeated rows each get the findings of their blob; a null doc_id is a
-path like any other; an empty table gives no rows.
+path like any other; blobs of the ledger that no row has any more stay in it; an empty table gives no rows. Spans are
+ordered by start and then by kind: the base kinds as listed in BASE, then the others in the order of the rules.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
-LEDGER = "blob string, scanned array<string>, spans array<struct<start: bigint, place: int, stop: bigint, kind: string>>"
+SPANS = "array<struct<start: bigint, stop: bigint, rule: string>>"
+LEDGER = f"blob string, scanned array<string>, spans {SPANS}"
 
 
 def _parts(text: Column, rule: Rule) -> Column:
@@ -76,24 +79,23 @@ def _spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     each = F.array(
         *[
             F.struct(
-                F.lit(r.kind).alias("kind"),
-                F.lit(place).alias("place"),
+                F.lit(r.key).alias("rule"),
                 F.lit(r.least).alias("least"),
                 F.when(F.array_contains("todo", r.key), _parts(F.col("text"), r)).alias("parts"),
             )
-            for place, r in enumerate(rules)
+            for r in rules
         ]
     )
     found = (
         texts.select("blob", F.explode(F.filter(each, lambda x: x["parts"].isNotNull())).alias("r"))
-        .select("blob", "r.kind", "r.place", "r.least", F.posexplode("r.parts").alias("k", "p"))
-        .select("blob", "kind", "place", "least", "k", "p.gap", "p.match", "p.counts")
+        .select("blob", "r.rule", "r.least", F.posexplode("r.parts").alias("k", "p"))
+        .select("blob", "rule", "least", "k", "p.gap", "p.match", "p.counts")
         .where("match IS NOT NULL")
-        .dropDuplicates(["blob", "place", "k"])
+        .dropDuplicates(["blob", "rule", "k"])
     )
-    before = Window.partitionBy("blob", "place").orderBy("k")
+    before = Window.partitionBy("blob", "rule").orderBy("k")
     placed = found.withColumn("stop", F.sum(F.col("gap") + F.col("match")).over(before)).where("counts >= least")
-    span = F.struct((F.col("stop") - F.col("match")).alias("start"), "place", "stop", "kind")
+    span = F.struct((F.col("stop") - F.col("match")).alias("start"), "stop", "rule")
     return placed.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
@@ -103,46 +105,67 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger (columns as LEDGER), brought up to date with the blobs of docs and these rules."""
-    keys = F.array(*[F.lit(r.key) for r in rules])
+    """The ledger (columns as LEDGER), brought up to date with the blobs of docs and these rules: superseded and removed
+    rules go with what they found, and each blob of docs is scanned by the rules that it lacks."""
+    keys = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
+    no_rules, no_spans = F.array().cast("array<string>"), F.array().cast(SPANS)
     path = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("path")
     first = paths.groupBy("blob").agg(F.min(path).alias("path"))
     if ledger is None:
         todo = first.withColumn("todo", keys)
     else:
-        todo = first.join(ledger.select("blob", "scanned"), "blob", "left").select(
-            "blob", "path", F.array_except(keys, F.coalesce("scanned", F.array().cast("array<string>"))).alias("todo")
+        ledger = ledger.select(
+            "blob",
+            F.array_intersect("scanned", keys).alias("had"),
+            F.filter(F.coalesce("spans", no_spans), lambda s: F.array_contains(keys, s["rule"])).alias("old"),
+        )
+        todo = first.join(ledger.select("blob", "had"), "blob", "left").select(
+            "blob", "path", F.array_except(keys, F.coalesce("had", no_rules)).alias("todo")
         )
     todo = todo.where(F.size("todo") > 0)
     texts = docs.select(path, F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     found = _spans(texts.join(todo.hint("shuffle_hash"), ["blob", "path"]), rules)
     new = todo.select("blob", F.col("todo").alias("scanned")).join(found, "blob", "left")
     if ledger is None:
-        return new
-    old = ledger.select("blob", F.col("scanned").alias("had"), F.col("spans").alias("old"))
-    none = F.array().cast("array<struct<start: bigint, place: int, stop: bigint, kind: string>>")
-    return old.join(new, "blob", "full").select(
+        return new.select("blob", "scanned", F.coalesce("spans", no_spans).alias("spans"))
+    return ledger.join(new, "blob", "full").select(
         "blob",
-        F.array_union(F.coalesce("had", F.array().cast("array<string>")), F.coalesce("scanned", F.array().cast("array<string>"))).alias("scanned"),
-        F.sort_array(F.concat(F.coalesce("old", none), F.coalesce("spans", none))).alias("spans"),
+        F.array_union(F.coalesce("had", no_rules), F.coalesce("scanned", no_rules)).alias("scanned"),
+        F.sort_array(F.concat(F.coalesce("old", no_spans), F.coalesce("spans", no_spans))).alias("spans"),
     )
 
 
-def digests(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    paths = shared.written(versions(docs), "paths")
-    found = scan(docs, paths, ledger, rules).where(F.size("spans") > 0).select("blob", F.col("spans").alias("found"))
-    base = len(BASE)
-    joined = paths.join(found, "blob", "left").withColumn(
-        "found", F.coalesce("found", F.array().cast("array<struct<start: bigint, place: int, stop: bigint, kind: string>>"))
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every path: the ledger's findings joined back."""
+    base = [r.kind for r in BASE]
+    kinds = base + [r.kind for r in rules if r.kind not in base]
+    listed = F.array(*[F.lit(k) for k in kinds])
+    kind = lambda s: F.substring_index(s["rule"], "@", 1)
+    placed = F.transform(
+        "spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, kind(s)).alias("place"), s["stop"].alias("stop"), kind(s).alias("kind"))
     )
+    some = ledger.where(F.size("spans") > 0).select("blob", F.sort_array(placed).alias("found"))
+    joined = shared.join_back(paths, some, ["blob"])
+    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start: bigint, place: bigint, stop: bigint, kind: string>>")))
     text = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
     )
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return joined.select(
         "doc_id",
-        *[count(r.kind) for r in BASE],
-        F.sha2(text(F.filter("found", lambda s: s["place"] < base)), 256).alias("base_sha256"),
+        *[count(k) for k in base],
+        F.sha2(text(F.filter("found", lambda s: s["place"] <= len(base))), 256).alias("base_sha256"),
         text(F.col("found")).alias("spans"),
     )
+
+
+def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """The findings of every row and the ledger to keep for the next time."""
+    paths = shared.written(versions(docs), "paths")
+    ledger = shared.written(scan(docs, paths, ledger, rules), "ledger")
+    return findings(paths, ledger, rules), ledger
+
+
+def digests(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
+    return update(docs, ledger, rules)[0]

@@ -27,10 +27,13 @@ _tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder of our own
+    serves a local session; on a cluster that would be the driver's disk only, so it is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lattica-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -46,6 +49,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key from which it is joined by itself, and how many rows are broadcast at most.
+HOT_ROWS = 2048
+MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def join_back(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = HOT_ROWS) -> DataFrame:
+    """big joined (left or inner) with small, which has at most one row a key. The rows of keys that hold more than `most`
+    rows of big stay where they are and get their few rows of small by broadcast, so no task gathers a hot key; there are
+    at most rows / `most` of such keys, and beyond MAX_BROADCAST_ROWS of them the join is an ordinary one."""
+    counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = written(counted.where(F.col("__rows") > most).select(*keys), "hot-keys")
+    found = hot.count()
+    if not found or found > MAX_BROADCAST_ROWS:
+        return big.join(small, keys, how)
+    theirs = written(hot.join(small, keys, how), "of-hot-keys")
+    cold = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
+    return cold.unionByName(big.join(F.broadcast(theirs), keys))
+
+
+def checked_broadcast(df: DataFrame, wide: list[str] | None = None) -> DataFrame:
+    """df marked for broadcast if it has few rows and, counting the arrays and strings in `wide`, few bytes; else as it is,
+    so that the join shuffles."""
+    size = F.lit(8 * len(df.columns))
+    for c in wide or ():
+        size = size + F.coalesce(F.length(c) if dict(df.dtypes)[c] in ("string", "binary") else 8 * F.size(c), F.lit(0))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("bytes")).first()
+    small = found["n"] <= MAX_BROADCAST_ROWS and (found["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    return F.broadcast(df) if small else df
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes the tables that written() has left in the shared folder; call it once their results have been used."""
     while _tables:

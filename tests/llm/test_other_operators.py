@@ -173,12 +173,38 @@ def test_the_ledger_scans_only_what_it_lacks(spark):
     known = {r.blob for r in first.collect()}
     for i, text, *_ in rows:
         blob = hashlib.sha256((text or "").encode()).hexdigest()
-        kinds = {s["kind"] for s in second[blob].spans or ()}
+        kinds = {s["rule"].split("@")[0] for s in second[blob].spans}
         want = {k for *_, k in plain_spans(text or "")}
         assert kinds == (want - {r.kind for r in secrets.BASE} if blob in known else want), i
         assert set(second[blob].scanned) == {r.key for r in secrets.RULES}
 
 
+def test_an_updated_ledger_equals_a_fresh_scan(spark):
+    rows = secret_texts()
+    docs = frame(spark, rows)
+    plain = lambda df: sorted(map(str, map(tuple, df.collect())))
+    entries = lambda df: sorted((r.blob, sorted(r.scanned), sorted(map(str, r.spans))) for r in df.collect())
+    found, ledger = secrets.update(docs)
+    raised = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least + (r.kind == "hex") * 10, r.version + (r.kind in ("assign", "hex"))) for r in secrets.RULES)
+    for rules in (raised, secrets.RULES[1:], tuple(reversed(secrets.RULES)), secrets.RULES[:4]):
+        again, updated = secrets.update(docs, ledger, rules)
+        fresh, whole = secrets.update(docs, None, rules)
+        assert plain(again) == plain(fresh) and entries(updated) == entries(whole)
+    assert plain(secrets.update(docs, ledger, tuple(reversed(secrets.BASE)) + secrets.ADDED)[0]) == plain(found)
+    changed = frame(spark, rows[:50] + [(0, "password: abcdef123 x", "en", "s", 1)])
+    assert plain(secrets.update(changed, ledger)[0]) == plain(secrets.digests(changed))
+
+
+def test_hot_blobs_are_joined_by_themselves(spark):
+    from lattica.llm import shared
+
+    big = spark.createDataFrame([(i, f"k{i % 7 if i % 3 else 0}") for i in range(600)] + [(700, None)], "i bigint, k string")
+    small = spark.createDataFrame([("k0", 1), ("k2", 2), ("none", 3)], "k string, v int")
+    for how in ("left", "inner"):
+        want = Counter(map(tuple, big.join(small, ["k"], how).select("i", "k", "v").collect()))
+        assert Counter(map(tuple, shared.join_back(big, small, ["k"], how, most=100).select("i", "k", "v").collect())) == want
+
+
 # decontamination
 
 
