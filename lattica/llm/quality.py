@@ -212,6 +212,7 @@ def training_set(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_RO
         .limit(most)
     )
     wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `most` rows
+    wanted = wanted.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated rows count once
     schema = T.StructType.fromDDL("y double, x array<double>")
 
     def rows(columns):

@@ -185,6 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
         .limit(most)
     )
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # `most` rows
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated rows count once
     sample = shared.written(sample, "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), sum(n for k, n in size.items() if k != 1)
