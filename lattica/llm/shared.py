@@ -69,6 +69,13 @@ def join_back(big: DataFrame, small: DataFrame, keys: list[str], how: str = "lef
     return cold.unionByName(big.join(F.broadcast(theirs), keys))
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """big joined (left or inner) with small, a written table of at most one row a key: by broadcast where it is small enough,
+    and as in join_back where it is not."""
+    side = checked_broadcast(small, [c for c, t in small.dtypes if t in ("string", "binary") or t.startswith("array")])
+    return join_back(big, small, keys, how) if side is small else big.join(side, keys, how)
+
+
 def checked_broadcast(df: DataFrame, wide: list[str] | None = None) -> DataFrame:
     """df marked for broadcast if it has few rows and, counting the arrays and strings in `wide`, few bytes; else as it is,
     so that the join shuffles."""

