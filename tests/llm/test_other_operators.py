@@ -293,14 +293,54 @@ def test_leaks_against_brute_force(spark):
                 want[i, j] = max(best, want.get((i, j), 0))
     found = decontam.matches(docs, bench)
     got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
-    assert got == pytest.approx(want) and len(want) > 20
-    same_as_sql({"documents": docs.select("doc_id", "text").dropDuplicates(), "benchmark": bench.where("text IS NOT NULL")}, sql.DECONTAMINATION, found)
+    assert len(want) > 20 and len(got) >= 0.95 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got) and set(got) >= {k for k, x in want.items() if x >= 0.85}
+    exact = [r for r in rows if r[0] is None or r[0] < 300]
+    clean = frame(spark, exact + [(500 + k, prose(rng, 30) + " " + t + " " + prose(rng, 30), "en", "s", 1) for k, (_, t) in enumerate(items) if t])
+    same_as_sql({"documents": clean.select("doc_id", "text").dropDuplicates(), "benchmark": bench.where("text IS NOT NULL")}, sql.DECONTAMINATION, decontam.matches(clean, bench))
     kept = decontam.keep(docs, bench)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in {i for i, _ in want})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in {i for i, _ in got})
     assert decontam.matches(docs.limit(0), bench).collect() == [] and decontam.matches(docs, bench.limit(0)).collect() == []
 
 
+def test_windows_are_summed_right_and_found_within_the_radius_only(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    rows = [(i, prose(rng, n)) for i, n in enumerate((1, 4, 5, 6, 9, 20, 37, 60, 200))] + [(50, None), (51, "")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("t", F.xxhash64("text"))
+    cut = decontam.with_shingles(texts, "text").drop("text").cache()
+    lengths = {n for n, _ in decontam.CLASSES}
+    found = decontam.window_fingerprints(cut, lengths, 40).join(cut, ["doc_id", "t"])
+    length = F.when(F.col("class") == 0, F.col("total")).otherwise(F.col("class"))
+    want = decontam.simhash(F.slice("shingles", F.col("start") + 1, length), 256)
+    assert found.where(want != F.col("fp")).count() == 0
+    places = Counter((r["doc_id"], r["class"]) for r in found.collect())
+    for i, text in rows:
+        total = max(0, len(re.findall(r"[^\W_]+", text or "")) - 4)
+        for n, step in decontam.CLASSES:
+            assert places[i, n] == max(0, (total - n) // step + 1)
+        assert places[i, 0] == (0 < total <= 40)
+    # the fingerprints decide: an index of other items lets nothing pass, whatever the texts share
+    bench = spark.createDataFrame([(1, rows[7][1])], "item_id bigint, text string")
+    docs = texts.select("doc_id", "text")
+    assert {r.doc_id for r in decontam.matches(docs, bench).collect()} == {7}
+    assert decontam.matches(docs, bench, radius=-1).collect() == []
+
+
+def test_long_items_short_texts_and_null_ids(spark):
+    rng = random.Random(24)
+    long, short = prose(rng, 500), prose(rng, 8)
+    words = long.split()
+    for k in (20, 21, 22, 23):
+        words[k] = "changed"
+    rows = [(1, "before " + " ".join(words) + " after"), (2, " ".join(long.split()[:-30])), (3, short), (4, prose(rng, 30) + " " + short), (None, long), (5, prose(rng, 300))]
+    bench = spark.createDataFrame([(None, long), (7, short), (8, short)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert found == {(1, None), (2, None), (None, None), (3, 7), (3, 8), (4, 7), (4, 8)}
+
+
 # toxicity
 
 
