@@ -4,8 +4,9 @@ Every line of at least `min_chars` code points gives a row (128-bit hash of its
 range-partitioned by (hash, doc_id) and sorted by hash, doc_id from the largest, position; so a hash that holds a third
 of all rows spreads over many partitions. A partition is streamed once with memory for a few documents: the first
 document of a hash keeps its lines, and those of the others go as soon as a fifth document shows that the key is
-frequent. A hash that touches an end of its partition may go on in the next; those ends (two of each partition) are put
-together first. What comes back is a bitmap of the lines that stay for every document that loses some, not text.
+frequent. A hash that touches an end of what one read split holds may go on in the next; those ends, two of each split, are
+put together in a table of their own, and lines of such a hash that the stream cannot decide are joined with it. What
+comes back is a bitmap of the lines that stay for every document that loses some, not text.
 
 Defined results: a null or empty text is one empty line; repeated rows with one doc_id are one document, and all of them
 keep or lose their lines together; rows with a null doc_id neither count nor lose lines; an empty table gives no rows.
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lattica.llm import shared
 
@@ -58,12 +60,15 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return shared.rows_by_batch(docs.where("doc_id IS NOT NULL"), ["doc_id", "text"], schema, rows)
 
 
-def _ends(lines: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
-    """(documents, largest doc_id) of the hashes at the ends of the read splits, of which there are two a split. A split
-    is a block of one written file; a task may read several of them, in any order."""
+def _split() -> F.Column:
+    """The read split of a row: a block of one written file. A task may read several of them, in any order."""
+    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split")
+
+
+def _ends(lines: DataFrame) -> DataFrame:
+    """high, low, documents, keeper (the largest doc_id) of the hashes at the ends of the read splits."""
     names = ["high", "low", "most", "least", "n"]
     schema = T.StructType.fromDDL(", ".join(f"{x} bigint" for x in names))
-    split = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[int]] = []
@@ -101,15 +106,11 @@ def _ends(lines: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], names)
 
-    out: dict[tuple[int, int], list[int]] = {}
-    for r in sorted(lines.select("high", "low", "doc_id", split).mapInArrow(run, schema).collect(), key=lambda r: -r["most"]):
-        have = out.get((r["high"], r["low"]))
-        if have is None:
-            out[r["high"], r["low"]] = [r["n"], r["most"], r["least"]]
-        else:
-            have[0] += r["n"] - (have[2] == r["most"])
-            have[2] = r["least"]
-    return {k: (v[0], v[1]) for k, v in out.items()}
+    ends = lines.select("high", "low", "doc_id", _split()).mapInArrow(run, schema)
+    # a document at the end of one split and the beginning of the next is one
+    before = F.lag("least").over(Window.partitionBy("high", "low").orderBy(F.desc("most"), F.desc("least")))
+    counted = ends.withColumn("own", F.col("n") - F.coalesce((before == F.col("most")).cast("bigint"), F.lit(0)))
+    return counted.groupBy("high", "low").agg(F.sum("own").alias("documents"), F.max("most").alias("keeper"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -121,34 +122,42 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
         .sortWithinPartitions("high", "low", F.desc("doc_id"), "position"),
         "lines",
     )
-    ends = _ends(lines)
-    schema = T.StructType.fromDDL("doc_id bigint, position int")
+    ends = shared.written(_ends(lines), "ends")
+    schema = T.StructType.fromDDL("high bigint, low bigint, doc_id bigint, position int, sure boolean")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = keeper = None
-        frequent, waits, seen, last = False, [], 0, None
+        key = split = keeper = last = None
+        first, frequent, seen = False, False, 0  # whether the hash is the first of its split
+        waits: list[tuple] = []
         for batch in batches:
-            gone: list[tuple[int, int]] = []
-            for high, low, doc, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (high, low):
-                    key, waits, seen, last = (high, low), [], 0, None
-                    n, keeper = ends.get(key, (0, doc))  # the first that comes is the largest
-                    frequent = n >= min_documents
+            out: list[tuple] = []
+            for high, low, doc, position, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != split or key != (high, low):
+                    if part != split:
+                        out += waits  # the last hash of a split may go on in the next
+                    first, split, key = part != split, part, (high, low)
+                    frequent, waits, seen, last, keeper = False, [], 0, None, doc  # the first that comes is the largest
+                if first:
+                    out.append((high, low, doc, position, False))
+                    continue
                 if doc != last:
                     seen, last = seen + 1, doc
                     if not frequent and seen >= min_documents:
                         frequent = True
-                        gone += waits
+                        out += [(*w[:4], True) for w in waits]
                         waits = []
                 if doc != keeper:
-                    (gone if frequent else waits).append((doc, position))
-            if gone:
-                ids, positions = zip(*gone, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(positions, pa.int32())], ["doc_id", "position"]
-                )
-
-    return lines.mapInArrow(run, schema)
+                    (out if frequent else waits).append((high, low, doc, position, frequent))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], schema.names)
+        if waits:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*waits, strict=True), types, strict=True)], schema.names)
+
+    marked = shared.written(lines.select("high", "low", "doc_id", "position", _split()).mapInArrow(run, schema), "marked-lines")
+    open_ends = marked.where(~F.col("sure")).join(shared.checked_broadcast(ends), ["high", "low"])
+    late = open_ends.where((F.col("documents") >= min_documents) & (F.col("doc_id") != F.col("keeper")))
+    return marked.where("sure").select("doc_id", "position").union(late.select("doc_id", "position"))
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:

@@ -183,16 +183,17 @@ def links(fps: DataFrame, radius: int = RADIUS, matching: int = MATCHING_BLOCKS,
     return _links(cells.join(large, ["a", "b"], "left_anti"), radius).union(_links(dealt, radius)).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of edges(x, y), the smallest node reachable. Every round takes the smallest label among
-    the neighbours and then jumps to that label's own label; rounds are written to the shared folder."""
+    the neighbours and then jumps to that label's own label, until none changes; labels only fall, so that comes, and paths
+    shorten by half with most jumps. Rounds are written to the shared folder."""
     both = edges.select(F.col("x").alias("u"), F.col("y").alias("v"))
     both = shared.written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = shared.written(
         both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")),
         "labels",
     )
-    for _ in range(most_rounds):
+    while True:
         offered = (
             both.join(labels.select(F.col("node").alias("v"), "root"), "v")
             .groupBy(F.col("u").alias("node"))
@@ -208,7 +209,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         labels = moved.select("node", "root")
         if not moved.where("root != was").take(1):
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    return shared.join_back(marked, named, ["fp"], "inner").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -232,4 +232,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs without those of documents that are not the first of their component; a null doc_id stays."""
     gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(shared.written(gone, "copies").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(shared.written(gone, "copies").hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -305,6 +305,25 @@ def test_line_dedup_of_a_line_over_many_partitions(spark):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("copies", [3, 4, 5, 6, 40])
+def test_keys_at_the_ends_of_splits(spark, copies):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        rows = [(i, f"{i % 50:060d}\n{i % 50:060d}\n{i:070d}", "en", "s", 1) for i in range(50 * copies)]
+        found = sorted((r.doc_id, r.n_dropped) for r in linededup.digests(frame(spark, rows)).collect())
+        assert found == [(i, n - m) for i, n, m in ((i, 3, 3 if copies < 5 or i >= 50 * (copies - 1) else 1) for i in range(50 * copies))]
+    finally:
+        for k, v in (("spark.sql.shuffle.partitions", "4"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.files.maxPartitionBytes", "128m")):
+            spark.conf.set(k, v)
+
+
+def test_long_chains_settle(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(400)], "x bigint, y bigint")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
 def test_bitmaps_round_trip():
     for n in (1, 7, 8, 9, 64, 1000):
         gone = sorted(random.Random(n).sample(range(n), max(1, n // 3)))
