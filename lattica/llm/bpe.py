@@ -37,9 +37,9 @@ from lattica.llm import shared
 #: The pattern that pre-splits text for byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the tables of words, of arcs and of states at which they start anew.
-MAX_WORDS = 200_000
+MAX_WORDS = 120_000
 MAX_ARCS = 250_000
-MAX_STATES = 200_000
+MAX_STATES = 100_000
 
 
 #: Code points (hex, or ranges) that the regex module takes as letters or numbers of a later Unicode, while
@@ -203,11 +203,12 @@ class Automaton:
         self._states = {start: self._start}
 
     def forget(self) -> None:
-        """Empties the tables of words and arcs, which fill as they are asked for."""
+        """Empties the tables that fill as words are asked for."""
         for known in (self._words, self._first, self._next):
             known.clear()
             known._old = {}
         self._arcs.clear()
+        self._restart()
 
     def arc(self, p: int, t: int) -> bool:
         """Whether t may follow p (-1: the word's beginning)."""
