@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,16 +94,20 @@ def corrected(query: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def range_overlaps(query: DataFrame, projected: DataFrame, query_obs: DataFrame, var: DataFrame, regularization: float = 1e-5, quantile: float = 0.02, least: float = 0.5) -> DataFrame:
-    """var_id, overlaps: whether the middle ranges of the log fractions of query and projection overlap enough."""
+    """var_id, overlaps: whether the middle ranges of the log fractions of query and projection share at least `least` of the
+    query's own range; a range of zero counts as one."""
     n = query_obs.count()
     bounds = {}
+    base = math.log2(regularization)
     for name, x in (("a", query), ("b", projected)):
-        found = marginals.quantiles_per(x, var, "var_id", n, {"lo": quantile, "hi": 1 - quantile})
-        bounds[name] = found.select("var_id", *[F.log2(F.col(c) + regularization).alias(f"{name}_{c}") for c in ("lo", "hi")])
+        # logs above that of a zero, so that zeros stay implicit
+        logs = x.withColumn("value", F.log2(F.col("value") + regularization) - base)
+        found = marginals.quantiles_per(logs, var, "var_id", n, {"lo": quantile, "hi": 1 - quantile})
+        bounds[name] = found.select("var_id", *[F.col(c).alias(f"{name}_{c}") for c in ("lo", "hi")])
     joined = bounds["a"].join(bounds["b"], "var_id")
-    shared = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
-    smaller = F.least(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo"))
-    return joined.select("var_id", F.when(smaller <= 0, shared >= 0).otherwise(shared / F.when(smaller > 0, smaller) >= least).alias("overlaps"))
+    common = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
+    own = F.col("a_hi") - F.col("a_lo")
+    return joined.select("var_id", (common / F.when(own == 0, 1.0).otherwise(own) >= least).alias("overlaps"))
 
 
 def misfit_variables(folds: DataFrame, types: DataFrame, var: DataFrame, most_fold: float = 3.0, noisy_fold: float = 2.0, least_share: float = 0.5) -> DataFrame:

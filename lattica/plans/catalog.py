@@ -671,10 +671,9 @@ def projection_pipeline(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SB}, {_ATLAS}, b AS (SELECT qf.var_id, log2(quantile_cont(qf.value, 0.02) + 1e-5) AS a0, log2(quantile_cont(qf.value, 0.98) + 1e-5) AS a1,
-    log2(quantile_cont(pf.value, 0.02) + 1e-5) AS b0, log2(quantile_cont(pf.value, 0.98) + 1e-5) AS b1 FROM qf JOIN pf USING (obs_id, var_id) GROUP BY qf.var_id)
-    SELECT var_id, CASE WHEN least(a1 - a0, b1 - b0) <= 0 THEN least(a1, b1) >= greatest(a0, b0)
-    ELSE (least(a1, b1) - greatest(a0, b0)) / least(a1 - a0, b1 - b0) >= 0.5 END AS overlaps FROM b"""
+    f"""WITH {_SB}, {_ATLAS}, l AS (SELECT qf.var_id, log2(qf.value + 1e-5) AS a, log2(pf.value + 1e-5) AS b FROM qf JOIN pf USING (obs_id, var_id)),
+    r AS (SELECT var_id, quantile_cont(a, 0.02) AS a0, quantile_cont(a, 0.98) AS a1, quantile_cont(b, 0.02) AS b0, quantile_cont(b, 0.98) AS b1 FROM l GROUP BY var_id)
+    SELECT var_id, (least(a1, b1) - greatest(a0, b0)) / CASE WHEN a1 = a0 THEN 1 ELSE a1 - a0 END >= 0.5 AS overlaps FROM r"""
 )
 def range_overlaps(spark, sf_dir):
     _, _, q, query_obs, var = _atlas(spark, sf_dir)
