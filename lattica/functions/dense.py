@@ -39,6 +39,15 @@ def mass(x: float, low: float, high: float) -> float:
     return float(np.log2(x / low)) if low > x > 0 else float(np.log2(high / x)) if x > high > 0 else 0.0
 
 
+def masses(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """mass of each of many sizes; an empty community has none."""
+    x = np.asarray(x, dtype=float)
+    safe = np.maximum(x, 1e-300)
+    lacks = np.log2(safe / low) if low > 0 else 0.0
+    exceeds = np.log2(high / safe) if 0 < high < np.inf else 0.0
+    return np.where((x > 0) & (x < low), lacks, np.where((x > high) & (high > 0), exceeds, 0.0))
+
+
 def partition_score(weights: np.ndarray, of: np.ndarray, umis: np.ndarray, low: float, high: float) -> float:
     """The stability score of a whole partition, computed from scratch."""
     n = len(of)
@@ -68,13 +77,12 @@ def anneal(weights: np.ndarray, of: np.ndarray, umis: np.ndarray, low_umis: floa
     size = np.bincount(of[of >= 0], minlength=parts).astype(float)
     total = np.bincount(of[of >= 0], weights=umis[of >= 0], minlength=parts)
     heat, hot = 1.0, np.ones(n)
+    linked = [np.flatnonzero((weights[x] > 0) | (weights[:, x] > 0)) for x in range(n)]
 
-    def part_score(p: int, members: np.ndarray, o: np.ndarray, i: np.ndarray, u: float) -> float:
-        k = len(members)
-        if not k:
-            return 0.0
-        penalty = min(mass(u, low_umis, high_umis), mass(k, low_size, high_size))
-        return float((0.5 * np.log2(EPSILON + o * i)).sum() - k * np.log2(k) + k * penalty)
+    def bulk(k: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The part of a community's score that depends on its size and total only."""
+        penalty = np.minimum(masses(u, low_umis, high_umis), masses(k, low_size, high_size))
+        return k * (penalty - np.log2(np.maximum(k, 1)))
 
     for _ in range(min(60, int(4 / cooldown_pass))):
         moved = 0
@@ -84,27 +92,25 @@ def anneal(weights: np.ndarray, of: np.ndarray, umis: np.ndarray, low_umis: floa
             near = np.flatnonzero((out[node] + into[node] > 0) & (np.arange(parts) != here))
             if here < 0 or size[here] <= 1 or not len(near):
                 continue
-            stay = np.flatnonzero(of == here)
-            rest = stay[stay != node]
-            before = part_score(here, stay, out[stay, here], into[stay, here], total[here])
-            after = part_score(here, rest, out[rest, here] - weights[rest, node], into[rest, here] - weights[node, rest], total[here] - umis[node])
-            gains = np.empty(len(near))
-            for k, p in enumerate(near):
-                there = np.flatnonzero(of == p)
-                old = part_score(p, there, out[there, p], into[there, p], total[p])
-                joined = np.append(there, node)
-                o = np.append(out[there, p] + weights[there, node], out[node, p])
-                i = np.append(into[there, p] + weights[node, there], into[node, p])
-                gains[k] = after - before + part_score(p, joined, o, i, total[p] + umis[node]) - old
+            # only linked nodes change their own terms: those here lose the node, those there gain it
+            ends = linked[node][of[linked[node]] >= 0]
+            p = of[ends]
+            sign = np.where(p == here, -1.0, 1.0)
+            o, i = out[ends, p], into[ends, p]
+            change = np.log2(EPSILON + np.maximum((o + sign * weights[ends, node]) * (i + sign * weights[node, ends]), 0)) - np.log2(EPSILON + np.maximum(o * i, 0))
+            terms = 0.5 * np.bincount(p, change, minlength=parts)
+            own = 0.5 * np.log2(EPSILON + np.maximum(out[node] * into[node], 0))
+            leave = terms[here] - own[here] + bulk(size[here] - 1, total[here] - umis[node]) - bulk(size[here], total[here])
+            gains = leave + terms[near] + own[near] + bulk(size[near] + 1, total[near] + umis[node]) - bulk(size[near], total[near])
             best = int(gains.argmax())
             if gains[best] <= 1e-9 and not (hot[node] * heat > 0.05 and gains[best] > -hot[node] * heat * rng.random()):
                 continue
             to = near[best]
-            for p, sign in ((here, -1), (to, 1)):
-                out[:, p] += sign * weights[:, node]
-                into[:, p] += sign * weights[node]
-                size[p] += sign
-                total[p] += sign * umis[node]
+            for x, turn in ((here, -1), (to, 1)):
+                out[ends, x] += turn * weights[ends, node]
+                into[ends, x] += turn * weights[node, ends]
+                size[x] += turn
+                total[x] += turn * umis[node]
             of[node] = to
             hot[node] *= 1 - cooldown_node
             moved += gains[best] > 1e-9
@@ -201,7 +207,8 @@ def candidates(weights: np.ndarray, umis: np.ndarray, target_size: int, target_u
     if count == 1:
         return np.zeros(n, dtype=int)
     of = choose_seeds(weights, count, 0.85, 0.95, rng)
-    bounds = (low_factor * target_umis, high_factor * target_umis, least_size, high_factor * target_size)
+    high_umis = high_factor * target_umis or np.inf  # without a target the totals have no bound
+    bounds = (low_factor * target_umis, high_umis, least_size, high_factor * target_size)
     for _ in range(rounds):
         of = anneal(weights, of, umis, *bounds, rng)
         split = split_communities(weights, of, umis, 2 * bounds[1], 2 * bounds[3], least_size, most_strength, rng)
@@ -307,7 +314,7 @@ def represent(goal: np.ndarray, basis: np.ndarray, rounds: int = 200) -> tuple[f
 
 def bin_pack(sizes: list[float], most: float) -> list[int]:
     """A bin for each element, no bin over `most` (unless one element is): the largest first, each into the first bin
-    with room; then elements move to a fuller bin, or swap, where that evens the fill no further."""
+    with room; then elements move to emptier bins while that evens the fill."""
     bins: list[float] = []
     of = [0] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
@@ -351,59 +358,3 @@ def _improve(sizes: list[float], of: list[int], bins: list[float], fits) -> list
                     bins[b] += sizes[k]
                     of[k], changed = b, True
     return of
-
-
-# layout ----------------------------------------------------------------------------------------------------------
-
-
-def layout(distances: np.ndarray, dimensions: int, k: int, seed: int, min_dist: float = 0.5, spread: float = 1.0, epochs: int = 200) -> np.ndarray:
-    """Coordinates by a fuzzy neighbour graph: start from the leading directions of the distances, then neighbours attract
-    and random others repel; axes are ordered by extent."""
-    n = len(distances)
-    rng = np.random.default_rng(seed)
-    k = min(k, n - 1)
-    if n < 3 or k < 1:
-        return np.zeros((n, dimensions))
-    near = np.argsort(distances + np.where(np.eye(n, dtype=bool), np.inf, 0), axis=1, kind="stable")[:, :k]
-    d = np.take_along_axis(distances, near, axis=1)
-    rho = d[:, :1]
-    sigma = np.maximum((d - rho).mean(axis=1, keepdims=True), 1e-6)
-    p = np.zeros((n, n))
-    np.put_along_axis(p, near, np.exp(-np.maximum(d - rho, 0) / sigma), axis=1)
-    p = p + p.T - p * p.T
-    centred = -0.5 * (distances**2 - (distances**2).mean(axis=0) - (distances**2).mean(axis=1)[:, None] + (distances**2).mean())
-    values, vectors = np.linalg.eigh((centred + centred.T) / 2)
-    y = vectors[:, ::-1][:, :dimensions] * np.sqrt(np.maximum(values[::-1][:dimensions], 0))
-    if y.shape[1] < dimensions:
-        y = np.pad(y, ((0, 0), (0, dimensions - y.shape[1])))
-    y = 10 * y / max(np.abs(y).max(), 1e-9) + rng.normal(scale=1e-3, size=(n, dimensions))
-    curve = spread / max(min_dist, 1e-3)
-    for epoch in range(epochs):
-        gap = y[:, None, :] - y[None, :, :]
-        q = (gap**2).sum(axis=2)
-        pull = -2 * curve * p / (1 + curve * q)
-        push = (1 - p) / ((0.1 + q) * (1 + curve * q)) * (k / n)
-        force = np.clip(((pull + push)[:, :, None] * gap).sum(axis=1), -4, 4)
-        y = y + (1 - epoch / epochs) * 0.2 * force
-    return y[:, np.argsort(-(y.max(axis=0) - y.min(axis=0)), kind="stable")]
-
-
-def cover_diameter(points: int, area: float, fraction: float) -> float:
-    """The diameter at which so many points cover that fraction of the area."""
-    return float(np.sqrt(area * fraction / points) * 2 / np.sqrt(np.pi))
-
-
-def spread_points(xy: np.ndarray, fraction: float = 1 / 3, noise: float = 0.1, seed: int = 0, rounds: int = 200) -> np.ndarray:
-    """Points moved apart until none overlap as discs that cover the given fraction of their rectangle."""
-    rng = np.random.default_rng(seed)
-    extent = xy.max(axis=0) - xy.min(axis=0)
-    size = cover_diameter(len(xy), float(np.prod(np.maximum(extent, 1e-9))), fraction)
-    y = xy + rng.normal(scale=noise * size, size=xy.shape) * 0.5
-    for _ in range(rounds):
-        gap = y[:, None, :] - y[None, :, :]
-        far = np.sqrt((gap**2).sum(axis=2)) + np.eye(len(y)) * 1e9
-        over = np.maximum(size - far, 0) / np.maximum(far, 1e-9)
-        if not (over > 1e-3).any():
-            break
-        y = y + 0.5 * (over[:, :, None] * gap).sum(axis=1) / np.maximum((over > 0).sum(axis=1), 1)[:, None]
-    return y

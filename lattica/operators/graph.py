@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from math import sqrt
+from functools import reduce
+from math import pi, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.operators.ranking import prune_edges
+from lattica.sources.shared import checkpointed
 
 EPSILON = 1e-6
 
@@ -109,3 +112,85 @@ def cancel(nodes: DataFrame, partition: str, cancelled: DataFrame) -> DataFrame:
     gone = cancelled.select(partition).distinct().withColumn("gone", F.lit(True))
     marked = nodes.join(gone, partition, "left").withColumn(partition, F.when(F.col("gone"), -1).otherwise(F.col(partition))).drop("gone")
     return compress(marked, partition)
+
+
+# layout ----------------------------------------------------------------------------------------------------------
+
+
+def _uniform(seed: int, *columns) -> Column:
+    """A number from -1 to 1 that depends on the seed and the columns only."""
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(2_000_003)) / 1_000_001 - 1
+
+
+def layout(edges: DataFrame, nodes: DataFrame, labels: list[str], seed: int = 0, rounds: int = 12) -> DataFrame:
+    """obs_id and a coordinate for each label: the smoothest directions of the graph other than the constant one.
+
+    Each round moves every node half way to the weighted mean of its neighbours, twice, by joins over the edges; then the
+    coordinates are centred and made orthogonal again (by degree), with factors from one row of sums. Axes are ordered
+    by smoothness, each has a variance of 1; nodes without edges lie at 0."""
+    both = edges.select("src", "dst", "weight").union(_turned(edges).select("src", "dst", "weight")).where("src != dst")
+    both = checkpointed(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    degrees = both.groupBy(F.col("src").alias("obs_id")).agg(F.sum("weight").alias("degree"))
+    places = degrees.select("obs_id", "degree", *[_uniform(seed + i, "obs_id").alias(c) for i, c in enumerate(labels)])
+    for _ in range(rounds):
+        for _ in range(2):
+            ends = both.join(places.withColumnRenamed("obs_id", "dst"), "dst").groupBy(F.col("src").alias("obs_id"))
+            means = ends.agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(f"{c}_mean") for c in labels])
+            places = places.join(means, "obs_id").select("obs_id", "degree", *[((F.col(c) + F.col(f"{c}_mean")) / 2).alias(c) for c in labels])
+        places = checkpointed(places)
+        places = _orthogonal(places, labels)
+    found = nodes.select("obs_id").join(places, "obs_id", "left")
+    return found.select("obs_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in labels])
+
+
+def _orthogonal(places: DataFrame, labels: list[str]) -> DataFrame:
+    d = F.col("degree")
+    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[: i + 1]]
+    row = places.agg(
+        F.coalesce(F.sum(d), F.lit(0.0)).alias("all"),
+        *[F.coalesce(F.sum(d * F.col(c)), F.lit(0.0)).alias(f"s_{c}") for c in labels],
+        *[F.coalesce(F.sum(d * F.col(a) * F.col(b)), F.lit(0.0)).alias(f"p_{a}_{b}") for a, b in pairs],
+    ).first()  # one row of sums
+    whole = max(row["all"], EPSILON)
+    mean = np.array([row[f"s_{c}"] / whole for c in labels])
+    spread_ = np.zeros((len(labels), len(labels)))
+    for a, b in pairs:
+        i, j = labels.index(a), labels.index(b)
+        spread_[i, j] = spread_[j, i] = row[f"p_{a}_{b}"] / whole - mean[i] * mean[j]
+    scale = max(float(spread_.diagonal().max()), 1e-300)
+    factor = np.linalg.inv(np.linalg.cholesky(spread_ + 1e-12 * scale * np.eye(len(labels))))
+    centred = [F.col(c) - float(m) for c, m in zip(labels, mean, strict=True)]
+    turned = [reduce(lambda x, y: x + y, [float(factor[i, j]) * centred[j] for j in range(i + 1)]) for i in range(len(labels))]
+    return places.select("obs_id", "degree", *[x.alias(c) for x, c in zip(turned, labels, strict=True)])
+
+
+def cover_diameter(points: int, area: float, fraction: float) -> float:
+    """The diameter at which so many points cover that fraction of the area."""
+    return 2 * sqrt(area * fraction / points / pi)
+
+
+def spread(points: DataFrame, fraction: float = 1 / 3, noise: float = 0.1, seed: int = 0, rounds: int = 50) -> DataFrame:
+    """obs_id, x, y moved apart until none overlap as discs that cover the given fraction of their rectangle, in at most
+    `rounds` rounds. Only points in neighbouring cells of a grid as wide as a disc are compared."""
+    low = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
+    if low["n"] < 2:
+        return points.select("obs_id", "x", "y")
+    area = max(low["max_x"] - low["min_x"], 1e-9) * max(low["max_y"] - low["min_y"], 1e-9)
+    size = cover_diameter(low["n"], area, fraction)
+    moved = points.select("obs_id", *[(F.col(c) + 0.5 * noise * size * _uniform(seed + i, "obs_id")).alias(c) for i, c in enumerate("xy")])
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cell = [F.floor(F.col(c) / size).alias(f"cell_{c}") for c in "xy"]
+    for _ in range(rounds):
+        moved = checkpointed(moved)
+        there = moved.select(F.col("obs_id").alias("near"), F.col("x").alias("near_x"), F.col("y").alias("near_y"), *cell)
+        here = moved.select("obs_id", "x", "y", F.explode(steps).alias("step"), *cell)
+        here = here.withColumn("cell_x", F.col("cell_x") + F.col("step.i")).withColumn("cell_y", F.col("cell_y") + F.col("step.j"))
+        gap_x, gap_y = F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y")
+        far = F.greatest(F.sqrt(gap_x * gap_x + gap_y * gap_y), F.lit(1e-9))
+        close = here.join(there, ["cell_x", "cell_y"]).where("obs_id != near").withColumn("over", (F.lit(size) - far) / far).where("over > 1e-3")
+        push = close.groupBy("obs_id").agg((F.avg(F.col("over") * gap_x) / 2).alias("dx"), (F.avg(F.col("over") * gap_y) / 2).alias("dy"))
+        push = checkpointed(push)
+        if push.isEmpty():
+            break
+        moved = moved.join(push, "obs_id", "left").select("obs_id", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("y"))
+    return moved

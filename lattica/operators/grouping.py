@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.functions import dense
+from lattica.operators.marginals import other
+
 
 def members(obs: DataFrame, group: str) -> DataFrame:
     return obs.where(F.col(group) >= 0).select("obs_id", F.col(group).alias("group_id"))
@@ -68,8 +72,9 @@ def highest_weight(rows: DataFrame, group: str, weight: str, value: str) -> Data
 
 def compress(rows: DataFrame, group: str) -> DataFrame:
     """rows with the groups renumbered from 0 in their order; -1 stays."""
-    ids = rows.where(F.col(group) >= 0).select(group).distinct()
-    new = ids.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("compressed"))  # one row a group
+    from lattica.operators.ranking import positions
+
+    new = positions(rows.where(F.col(group) >= 0).select(group).distinct(), [group]).select(group, F.col("position").cast("int").alias("compressed"))
     return rows.join(new, group, "left").withColumn(group, F.coalesce("compressed", F.lit(-1))).drop("compressed")
 
 
@@ -107,3 +112,17 @@ def profile(layer: DataFrame, obs: DataFrame, group: str, regularization: float
     )
     norm = raw.groupBy("group_id").agg(F.sum("g").alias("all"))
     return raw.join(norm, "group_id").select("group_id", "var_id", F.try_divide("g", "all").alias("value")).where("value > 0")
+
+
+def binned(layer: DataFrame, per: str, bound: float, fill: bool = False) -> DataFrame:
+    """obs_id, var_id, bin: each row's (or column's) entries in bins of at most `bound`, or, with fill, of at least `bound`.
+    A task has one row or column, whose entries are bounded by the other axis."""
+    far = other(per)
+    kinds = dict(layer.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(far, kind="stable")
+        sizes = part["value"].tolist()
+        return part[[per, far]].assign(bin=dense.bin_fill(sizes, bound) if fill else dense.bin_pack(sizes, bound))
+
+    return layer.groupBy(per).applyInPandas(run, f"{per} {kinds[per]}, {far} {kinds[far]}, bin int")

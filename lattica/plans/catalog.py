@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import dense, scalars
+from lattica.functions import scalars
 from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
 from lattica.plans import pipelines
 from lattica.sources import tables
@@ -795,8 +795,9 @@ def direct_groups(spark, sf_dir):
 def divide_and_conquer_groups(spark, sf_dir):
     data = tables.customer_brand(spark, sf_dir)
     p = pipelines.Direct(target_size=20, least_size=5, target_umis=0, least_genes=10, top3=1, least_total=1, least_k=10, window=9)
-    piles = pipelines.Piles(least=200, most=400, groups=10, most_levels=2)
-    return pipelines.divide_and_conquer(data, p, piles, with_rare=False, quick=True).obs.select("obs_id", "cluster", "cluster_level")
+    piles = pipelines.Piles(least=200, most=400, groups=10)
+    rare_options = {"least_genes": 2, "least_cells": 1, "most_fraction": 0.9, "least_total": 50, "related_fold": 1}
+    return pipelines.divide_and_conquer(data, p, piles, **rare_options).obs.select("obs_id", "cluster", "cluster_level")
 
 
 @query()
@@ -822,6 +823,11 @@ def group_coordinates(spark, sf_dir):
 
 @query()
 def packed_bins(spark, sf_dir):
-    sizes = tables.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 8 + 1).alias("size")).orderBy("size")
-    found = [r[0] for r in sizes.collect()]  # a row a nation
-    return spark.createDataFrame([(float(s), b) for s, b in zip(found, dense.bin_pack(found, 220), strict=True)], "size double, bin int")
+    _, x, _, _ = _sb(spark, sf_dir)
+    return grouping.binned(x, "obs_id", 2000.0)
+
+
+@query()
+def filled_bins(spark, sf_dir):
+    _, x, _, _ = _sb(spark, sf_dir)
+    return grouping.binned(x, "obs_id", 2000.0, fill=True)

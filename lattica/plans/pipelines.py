@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lattica.dataset import MAIN, Dataset
 from lattica.functions import dense
 from lattica.operators import deviants, graph, grouping, masks, quality, rare, sampling, similarity
-from lattica.operators.marginals import reduce_per, whole
+from lattica.operators.marginals import reduce_per
+from lattica.operators.ranking import positions
 from lattica.sources.shared import checkpointed
 
 
@@ -161,10 +162,11 @@ def groups_of_piles(data: Dataset, piles: DataFrame, layer: DataFrame, selected:
     return checkpointed(deviants.dissolve(data.layer(), named, "cluster", gone, p.target_size, p.least_size, p.target_umis))
 
 
-def direct(data: Dataset, p: Direct = Direct()) -> Dataset:
-    """All observations as one pile. Adds cluster and selected_gene."""
+def direct(data: Dataset, p: Direct = Direct(), most: int = 8000) -> Dataset:
+    """All observations as one pile, or, if they are more than `most` (a pile is one task), as random piles of about that
+    size without the levels of divide and conquer. Adds cluster and selected_gene."""
     layer, selected = select_variables(data, p)
-    piles = data.obs.select("obs_id", F.lit(0).alias("pile"))
+    piles = checkpointed(sampling.random_piles(data.obs, most, p.seed))
     found = groups_of_piles(data, piles, layer, selected, p)
     chosen = selected.select("var_id", F.lit(True).alias("selected_gene"))
     return data.with_obs(found, {"cluster": -1}).with_var(chosen, {"selected_gene": False})
@@ -185,7 +187,7 @@ def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles
         data = data.with_obs(cells.withColumnRenamed("module", "cells_rare_gene_module"), {"cells_rare_gene_module": -1})
         if cells.take(1):
             both = selected.union(genes.select("var_id")).distinct()
-            found = groups_of_piles(data, cells.withColumnRenamed("module", "pile"), layer, both, p)
+            found = groups_of_piles(data, checkpointed(_cut(cells, ["module"], piles.most, p.seed)), layer, both, p)
             results.append(found.where("cluster >= 0").withColumn("level", F.lit(0)))
             todo = todo.join(results[-1].select("obs_id"), "obs_id", "left_anti")
     size = sampling.target_pile_size(data.layer(), data.obs, p.target_size, p.target_umis, piles.least, piles.most, piles.groups)
@@ -206,28 +208,41 @@ def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles
     for part in results[1:]:
         joined = joined.union(part.select("obs_id", "cluster", "level"))
     ids = joined.select("level", "cluster").distinct()
-    from pyspark.sql.window import Window
-
-    ids = ids.select("level", "cluster", (F.row_number().over(Window.orderBy("level", "cluster")) - 1).alias("id"))  # a row a group
+    ids = positions(ids, ["level", "cluster"]).withColumnRenamed("position", "id")
     named = joined.join(ids, ["level", "cluster"]).select("obs_id", F.col("id").cast("bigint").alias("cluster"), F.col("level").alias("cluster_level"))
     chosen = selected.select("var_id", F.lit(True).alias("selected_gene"))
     return data.with_obs(checkpointed(named), {"cluster": -1, "cluster_level": -1}).with_var(chosen, {"selected_gene": False})
 
 
+def _cut(rows: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """obs_id, pile: a pile for each key, those of more than `most` dealt by hash into parts of about that size."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts"))
+    cut = rows.join(parts, keys).withColumn("dealt_to", F.pmod(F.xxhash64("obs_id", F.lit(seed)), "parts"))
+    keys = [*keys, "dealt_to"]
+    ids = positions(cut.select(*keys).distinct(), keys).select(*keys, F.col("position").cast("int").alias("pile"))
+    return cut.join(ids, keys).select("obs_id", "pile")
+
+
 def _regrouped(data: Dataset, found: DataFrame, layer: DataFrame, selected: DataFrame, p: Direct, size: int) -> DataFrame:
-    """Final groups of one level: the preliminary groups' sums are grouped, and each group of groups is a pile."""
+    """Final groups of one level: the preliminary groups' sums are grouped, in random piles of bounded size where they are
+    many, and each group of groups is a pile."""
     sums = grouping.sum_groups(data.layer(), found, "cluster").withColumnRenamed("group_id", "obs_id")
     groups = sums.select("obs_id").distinct()
     small = Dataset(groups, data.var, {MAIN: checkpointed(sums)})
-    count = max(1, groups.count() // max(1, size // p.target_size))
-    q = Direct(target_size=max(2, groups.count() // count), least_size=2, target_umis=0, least_genes=p.least_genes, seed=p.seed)
-    one = groups.select("obs_id", F.lit(0).alias("pile"))
+    n = groups.count()
+    count = max(1, n // max(1, size // p.target_size))
+    q = Direct(target_size=max(2, n // count), least_size=2, target_umis=0, least_genes=p.least_genes, seed=p.seed)
+    dealt = sampling.random_piles(groups, size, p.seed)
     totals = small.obs_values(MAIN, total=True).withColumnRenamed(MAIN, "u")
-    rows = one.join(totals, "obs_id").join(sums.join(selected, "var_id", "left_semi"), "obs_id").select("pile", "obs_id", F.col("var_id").cast("string").alias("var_id"), "value", "u")
+    chosen = small.layer().join(selected, "var_id", "left_semi")
+    rows = dealt.join(totals, "obs_id").join(chosen, "obs_id", "left").select("pile", "obs_id", F.col("var_id").cast("string").alias("var_id"), "value", "u")
     kind = dict(groups.dtypes)["obs_id"]
-    super_groups = rows.groupBy("pile").applyInPandas(lambda part: _pile_groups(part, q), f"obs_id {kind}, candidate bigint")
-    piles = found.where("cluster >= 0").join(super_groups.withColumnRenamed("obs_id", "cluster"), "cluster")
-    piles = piles.select("obs_id", F.when(F.col("candidate") >= 0, F.col("candidate")).otherwise(0).cast("int").alias("pile"))
+    run = lambda part: _pile_groups(part, q)
+    super_groups = rows.groupBy("pile").applyInPandas(lambda key, part: run(part).assign(pile=key[0]), f"obs_id {kind}, candidate bigint, pile int")
+    # those in no group of groups stay with others of their pile; each group of groups is cut to piles of a bounded size
+    bases = super_groups.select(F.col("obs_id").alias("cluster"), F.col("pile").alias("dealt"), F.greatest("candidate", F.lit(0)).alias("candidate"))
+    joined = checkpointed(found.where("cluster >= 0").join(bases, "cluster").select("obs_id", "dealt", "candidate"))
+    piles = _cut(joined, ["dealt", "candidate"], 2 * size, p.seed)
     return groups_of_piles(data, checkpointed(piles), layer, selected, p)
 
 
@@ -308,28 +323,12 @@ def knn_by_markers(groups: Dataset, markers: DataFrame, k: int, method: str = "a
     return edges, graph.knn_graph(edges, groups.obs.count(), k)
 
 
-def coordinates(groups: Dataset, markers: DataFrame, dimensions: int = 2, k: int = 15, seed: int = 0, most: int = 10000) -> DataFrame:
-    """obs_id, x, y (or u, v, w): a layout of the groups by their distances; they are bounded by `most`."""
-    names = [r[0] for r in groups.obs.select("obs_id").orderBy("obs_id").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"a layout takes {most} groups at most")
-    edges, _ = knn_by_markers(groups, markers, k)
-    sim = rare.matrix_of(edges, names)
-    xy = dense.layout(1 - sim, dimensions, k, seed)
-    labels = ("x", "y") if dimensions == 2 else ("u", "v", "w")
-    kind = dict(groups.obs.dtypes)["obs_id"]
-    rows = [(n, *(float(c) for c in p)) for n, p in zip(names, xy, strict=True)]
-    return groups.obs.sparkSession.createDataFrame(rows, f"obs_id {kind}, " + ", ".join(f"{c} double" for c in labels))
-
-
-def spread(points: DataFrame, fraction: float = 1 / 3, noise: float = 0.1, seed: int = 0, most: int = 10000) -> DataFrame:
-    """obs_id, x, y moved apart; the points are groups, bounded by `most`."""
-    rows = points.orderBy("obs_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a layout takes {most} groups at most")
-    moved = dense.spread_points(np.array([[r["x"], r["y"]] for r in rows]).reshape(-1, 2), fraction, noise, seed) if rows else []
-    kind = dict(points.dtypes)["obs_id"]
-    return points.sparkSession.createDataFrame([(r["obs_id"], float(x), float(y)) for r, (x, y) in zip(rows, moved, strict=True)], f"obs_id {kind}, x double, y double")
+def coordinates(groups: Dataset, markers: DataFrame, dimensions: int = 2, k: int = 15, seed: int = 0) -> DataFrame:
+    """obs_id, x, y (or u, v, w): the groups laid out by their nearest-neighbour graph over the markers, so that neighbours
+    lie close (see graph.layout)."""
+    _, near = knn_by_markers(groups, markers, k)
+    labels = ["x", "y"] if dimensions == 2 else ["u", "v", "w"][:dimensions]
+    return graph.layout(near, groups.obs, labels, seed)
 
 
 def project_outliers(atlas: Dataset, outliers: Dataset, regularization: float = 1e-5, least: float = 40) -> tuple[DataFrame, DataFrame]:
@@ -340,8 +339,3 @@ def project_outliers(atlas: Dataset, outliers: Dataset, regularization: float =
     matches = checkpointed(quality.outlier_matches(outliers.layer(), odd, outliers.var, totals, named(atlas.obs.select("obs_id")), "g", regularization))
     folds = quality.deviant_folds(outliers.layer(), odd, named(atlas.layer()), totals, "g", matches, least)
     return matches, folds.select("obs_id", "var_id", "value")
-
-
-def excluded_share(data: Dataset) -> DataFrame:
-    """One row: the whole matrix' statistics, for a report."""
-    return whole(data.layer(), data.obs.count(), data.var.count())

@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of our own in local sessions and an error on a cluster, whose
+    executors cannot read the driver's folders."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lattica-")
+    context.setCheckpointDir(found)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table written once in the shared folder and read again: its size is known to later joins, also after many
+    rounds, and it survives lost executors."""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

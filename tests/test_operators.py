@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.dataset import MAIN
 from lattica.functions import dense
 from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
+from lattica.plans import pipelines
 from lattica.sources import tables
 
 
@@ -214,6 +215,8 @@ def test_annealing_finds_blocks():
     of = dense.candidates(weights, np.full(40, 100.0), 10, 1000.0, 3, seed=1)
     for b in range(4):
         assert len(set(of[10 * b : 10 * b + 10])) == 1
+    free = dense.candidates(weights, np.full(40, 100.0), 10, 0, 3, seed=1)  # no bound on totals
+    assert sorted(np.bincount(free)) == [10, 10, 10, 10]
     side, strength = dense.min_cut(block)
     assert side.sum() in (10, 20, 30) and strength < 0.1
 
@@ -291,3 +294,106 @@ def test_dataset_parts(spark, matrix, tmp_path):
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "w"), header=True).collect()] == [("n0", "n1", "0.5")]
     with pytest.raises(KeyError):
         data.layer("gone")
+
+
+def test_related_variables_by_rounds_and_pieces(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(10, 3, 300)
+    chain = [base]
+    for _ in range(4):
+        chain.append(chain[-1] + rng.normal(0, 1.5, 300))
+    apart = rng.normal(10, 3, (300, 4))
+    m = np.abs(np.column_stack([*chain, apart]))
+    layer, obs, var = long(spark, m)
+    marked = var.withColumn("lateral_gene", F.col("var_id") == 0)
+    corr = np.abs(np.corrcoef(m.T))
+    want, added = {0}, {0}
+    while added:
+        added = {j for i in added for j in range(9) if corr[i, j] >= 0.5} - want
+        want |= added
+    found = {r.var_id: r.module for r in rare.related_variables(layer, obs, marked, 300, least_correlation=0.5, most=3).collect()}
+    assert set(found) == want and len(want) >= 4
+    sizes = np.bincount(list(found.values()))
+    assert sizes.max() <= 3 and sizes.min() >= 1
+    small = rare.related_variables(layer, obs, marked, 300, least_correlation=0.5, most=3, most_piece=2).collect()
+    assert {r.var_id for r in small} == want and np.bincount([r.module for r in small]).max() <= 2
+
+
+def test_components_of_a_long_chain(spark):
+    n = 40
+    nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "var_id bigint")
+    ends = [(i, i + 1, 1.0) for i in range(n - 1)]
+    edges = spark.createDataFrame(ends + [(b, a, w) for a, b, w in ends], "src bigint, dst bigint, weight double")
+    found = {r.var_id: r.component for r in rare.components(nodes, edges).collect()}
+    assert found == {i: 0 if i < n else i for i in range(n + 2)}
+    cut = rare.bounded_components(nodes, edges, 0.5, 15).collect()  # equal weights: in the order of ids
+    sizes = {}
+    for r in cut:
+        sizes[r.component] = sizes.get(r.component, 0) + 1
+    assert sorted(sizes.values()) == [1, 1, 10, 15, 15]
+
+
+def test_layout_parts_two_cliques(spark):
+    pairs = [(i, j, 1.0) for b in (0, 6) for i in range(b, b + 6) for j in range(b, b + 6) if i != j] + [(5, 6, 0.05), (6, 5, 0.05)]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint, weight double")
+    nodes = spark.createDataFrame([(i,) for i in range(13)], "obs_id bigint")
+    xy = {r.obs_id: (r.x, r.y) for r in graph.layout(edges, nodes, ["x", "y"]).collect()}
+    left, right = [xy[i][0] for i in range(6)], [xy[i][0] for i in range(6, 12)]
+    assert max(left) < min(right) or max(right) < min(left)
+    assert xy[12] == (0.0, 0.0) and abs(np.mean(left + right)) < 0.2
+    nothing = graph.layout(edges.limit(0), nodes.limit(2), ["x", "y"]).collect()
+    assert [(r.x, r.y) for r in nothing] == [(0.0, 0.0)] * 2
+
+
+def test_spread_points_do_not_overlap(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(float, rng.uniform(0, 1, 2))) for i in range(12)]
+    points = spark.createDataFrame(rows, "obs_id bigint, x double, y double")
+    gap = lambda rows: min(np.hypot(a[1] - b[1], a[2] - b[2]) for a in rows for b in rows if a[0] < b[0])
+    found = [tuple(r) for r in graph.spread(points, fraction=0.2, rounds=6).collect()]
+    assert len(found) == 12 and gap(found) > gap(rows)
+    assert graph.spread(points.limit(1)).count() == 1
+
+
+def test_gaps_of_a_group_dealt_into_parts(spark):
+    x = np.full((60, 4), 20.0)
+    x[3, 2] = 900.0
+    layer, obs, var = long(spark, x)
+    one = obs.withColumn("cluster", F.lit(0))
+    for most in (2000, 30):
+        rows = deviants.gaps(layer, one, var, "cluster", 3.0, most_members=most).collect()
+        assert len(rows) == 60 and [r.obs_id for r in rows if r.deviant] == [3]
+
+
+def test_direct_deals_what_is_too_much_for_a_pile(spark):
+    rng = np.random.default_rng(13)
+    kinds = rng.integers(5, 60, (3, 8))
+    layer, obs, var = long(spark, rng.poisson(kinds[np.arange(60) % 3]))
+    data = tables.from_parts(obs, var, layer, "m")
+    p = pipelines.Direct(target_size=6, least_size=2, target_umis=0, least_genes=4, top3=1, least_total=1, least_k=4, window=3)
+    for most in (8000, 25):
+        found = pipelines.direct(data, p, most=most).obs.select("obs_id", "cluster").collect()
+        assert len(found) == 60 and max(r.cluster for r in found) >= 1
+    whole = pipelines.divide_and_conquer(data, p, pipelines.Piles(least=10, most=20, groups=3), with_rare=False).obs.collect()
+    assert len(whole) == 60 and max(r.cluster for r in whole) >= 1
+
+
+def test_bins_of_each_row(spark):
+    m = np.array([[8 * j + 1 for j in range(10)], [200.0] + [0.0] * 9])
+    layer, _, _ = long(spark, m)
+    rows = grouping.binned(layer, "obs_id", 106.0).collect()
+    fills = {}
+    for r in rows:
+        fills[r.obs_id, r.bin] = fills.get((r.obs_id, r.bin), 0) + m[r.obs_id, r.var_id]
+    assert len(rows) == 11 and fills[1, 0] == 200 and all(v <= 106 for k, v in fills.items() if k[0] == 0) and len(fills) == 5
+    assert {r.bin for r in grouping.binned(layer, "obs_id", 106.0, fill=True).where("obs_id = 0").collect()} == {0, 1, 2}
+
+
+def test_annealing_raises_the_whole_score():
+    rng = np.random.default_rng(14)
+    weights = rng.random((30, 30)) * (rng.random((30, 30)) < 0.4)
+    np.fill_diagonal(weights, 0)
+    weights /= np.maximum(weights.sum(axis=1, keepdims=True), 1e-300)
+    umis, of = np.full(30, 10.0), rng.integers(0, 3, 30)
+    cold = dense.anneal(weights, of, umis, 0, np.inf, 0, np.inf, rng, cooldown_pass=0.9, cooldown_node=1.0)
+    assert dense.partition_score(weights, cold, umis, 0, 0) >= dense.partition_score(weights, of, umis, 0, 0)
