@@ -152,13 +152,13 @@ def groups_of_piles(data: Dataset, piles: DataFrame, layer: DataFrame, selected:
         "pile", "obs_id", F.col("var_id").cast("string").alias("var_id"), "value", "u"
     )
     run = lambda part: _pile_groups(part, p)
-    found = rows.groupBy("pile").applyInPandas(
-        lambda key, part: run(part).assign(pile=key[0]), f"obs_id {kind}, candidate bigint, pile int"
+    found = checkpointed(
+        rows.groupBy("pile").applyInPandas(lambda key, part: run(part).assign(pile=key[0]), f"obs_id {kind}, candidate bigint, pile int")
     )
     top = found.agg((F.max("candidate") + 1).alias("k"))
     named = found.crossJoin(F.broadcast(top)).select("obs_id", F.when(F.col("candidate") >= 0, F.col("pile") * F.col("k") + F.col("candidate")).otherwise(-1).alias("cluster"))  # one row
     named = checkpointed(grouping.compress(named, "cluster").select("obs_id", F.col("cluster").cast("bigint").alias("cluster")))
-    gone = deviants.gaps(data.layer(), named, data.var, "cluster", p.least_fold).where("deviant")
+    gone = checkpointed(deviants.gaps(data.layer(), named, data.var, "cluster", p.least_fold).where("deviant"))
     return checkpointed(deviants.dissolve(data.layer(), named, "cluster", gone, p.target_size, p.least_size, p.target_umis))
 
 
@@ -178,6 +178,8 @@ def divide_and_conquer(data: Dataset, p: Direct = Direct(), piles: Piles = Piles
     cluster_level, selected_gene and, with rare modules, rare_gene_module and cells_rare_gene_module."""
     layer, selected = select_variables(data, p)
     n = data.obs.count()
+    selected = checkpointed(selected)
+    data = data.with_layer(MAIN, checkpointed(data.layer()))
     results: list[DataFrame] = []
     todo = data.obs.select("obs_id")
     if with_rare:
