@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Five small transducers read the classes of a clause's words (insult, threat, target, negation, report, other): one
-remembers an insult, one a threat, one a target, one a negation for the next few words, one reported speech. They are
-composed into one table of states and classes; an insult or threat passes with its weight times the factor of the state,
-and the clause's end adds a factor for those that meet a target. A document's clause scores are summed and calibrated by
-a logistic curve; only clauses with a matched insult or threat can score.
+Five small transducers read the classes of a clause's words (insult, threat, target, negation, report, intent, other):
+one passes insults; one passes threats, with their whole weight only after a word of intent ("will kill"); one remembers
+whether a target and a match met, which the clause's end rewards; one weakens what a negation reaches; one weakens what
+follows reported speech. They are composed into one table of states and classes, whose weights are the products of the
+parts' weights. A document's clause scores are summed and calibrated by a logistic curve; only clauses with a matched
+insult or threat can score.
 
 Insults are learned: words and word beginnings that stand out in labelled toxic texts, with their log odds as weights.
 They and the curve are learned on a bounded sample (MAX_TRAINING_ROWS labelled rows, those with the smallest hash of
@@ -18,8 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -42,35 +43,59 @@ TARGETS = (
     "vous votre il ils elle elles usted ustedes ellos ellas tú él"
 ).split()
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
+INTENTS = "will going gonna want must should werde werden wirst wollen muss vais vas allons veux dois voy vas vamos quiero debo".split()
 REPORTS = "said says wrote told called claims sagte schrieb nannte dit écrit appelle dijo escribió llamó".split()
 
 _THREATS = frozenset(THREATS)
-_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT, _OTHER = range(6)
+_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT, _INTENT, _OTHER = range(7)
+_CLASSES = 7
+_MATCHES = (_INSULT, _THREAT)
 _WINDOW = 3  # words that a negation reaches
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
-def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(next state, factor, factor at the clause's end) of the composed transducers; state 0 begins a clause."""
-    parts = list(product(range(_WINDOW + 1), (0, 1), (0, 1), (0, 1)))  # negation left, reported, target, matched
-    index = {s: k for k, s in enumerate(parts)}
-    after = np.zeros((len(parts), 6), dtype=np.int32)
-    factor = np.zeros((len(parts), 6))
-    final = np.ones(len(parts))
-    for (negated, reported, target, matched), k in index.items():
-        for c in range(6):
-            after[k, c] = index[
-                _WINDOW if c == _NEGATION else max(0, negated - 1),
-                int(reported or c == _REPORT),
-                int(target or c == _TARGET),
-                int(matched or c in (_INSULT, _THREAT)),
-            ]
-            if c in (_INSULT, _THREAT):
-                factor[k, c] = (0.4 if negated else 1.0) * (0.7 if reported else 1.0)
-        if matched and target:
-            final[k] = 1.25
-    return after, factor, final
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted machine over word classes that begins in state 0. step gives the next state and the factor of the word
+    read (which counts for words with a weight), final the factor at the clause's end."""
+
+    step: Callable[[int, int], tuple[int, float]]
+    final: Callable[[int], float] = lambda state: 1.0
+
+
+#: Every insult passes whole.
+INSULT = Transducer(lambda state, c: (0, 1.0))
+#: State 1 after a word of intent; a threat without one is weak ("they kill time").
+THREAT = Transducer(lambda state, c: (int(state or c == _INTENT), 0.4 if c == _THREAT and not state else 1.0))
+#: Bit 1 for a target, bit 2 for a match; both together aim the clause at somebody, in either order.
+TARGET = Transducer(lambda state, c: (state | (c == _TARGET) | 2 * (c in _MATCHES), 1.0), lambda state: 1.25 if state == 3 else 1.0)
+#: The state counts the words that the last negation still reaches.
+NEGATION = Transducer(lambda state, c: (_WINDOW if c == _NEGATION else max(0, state - 1), 0.4 if state else 1.0))
+#: State 1 after reported speech has begun.
+REPORT = Transducer(lambda state, c: (int(state or c == _REPORT), 0.7 if state else 1.0))
+PARTS = (INSULT, THREAT, TARGET, NEGATION, REPORT)
+
+
+def compose(parts: tuple[Transducer, ...] = PARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next state, factor, factor at the clause's end) of the transducers read side by side, over the states that can be
+    reached from the start; factors are the products of the parts' factors. State 0 begins a clause."""
+    states = [(0,) * len(parts)]
+    index = {states[0]: 0}
+    after, factor = [], []
+    for state in states:  # grows while it is read
+        steps = [[part.step(s, c) for part, s in zip(parts, state, strict=True)] for c in range(_CLASSES)]
+        row = []
+        for ends in steps:
+            new = tuple(int(s) for s, _ in ends)
+            if new not in index:
+                index[new] = len(states)
+                states.append(new)
+            row.append(index[new])
+        after.append(row)
+        factor.append([float(np.prod([w for _, w in ends])) for ends in steps])
+    final = [float(np.prod([part.final(s) for part, s in zip(parts, state, strict=True)])) for state in states]
+    return np.array(after, dtype=np.int32), np.array(factor), np.array(final)
 
 
 @dataclass
@@ -86,7 +111,7 @@ class Grammar:
 
     def _tables(self):
         if self._parts is None:
-            fixed = {w: _TARGET for w in TARGETS} | {w: _NEGATION for w in NEGATIONS} | {w: _REPORT for w in REPORTS}
+            fixed = {w: _TARGET for w in TARGETS} | {w: _NEGATION for w in NEGATIONS} | {w: _REPORT for w in REPORTS} | {w: _INTENT for w in INTENTS}
             begins = sorted({x.rstrip("*") for x in self.weights} | set(THREATS))
             shortest: list[str] = []
             for x in begins:
@@ -128,6 +153,10 @@ class Grammar:
             state = after[state][c]
         return total * final[state]
 
+    def full_total(self, text: str | None) -> float:
+        """The same as total, by reading every clause."""
+        return sum(self.clause(_WORD.findall(clause)) for clause in _CLAUSE_END.split((text or "").lower()))
+
     def total(self, text: str | None) -> float:
         """The sum of the clauses' scores over the whole text."""
         text = (text or "").lower()

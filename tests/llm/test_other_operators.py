@@ -379,6 +379,38 @@ def test_the_grammar_weighs_clauses():
     assert grammar.total("Those morons.") == pytest.approx(2.0)
     assert grammar.total("An idiotic phrase; the oxymoron.") == 0
     assert grammar.total("idiot. idiot.") == pytest.approx(6.0)
+    assert grammar.total("I will kill you.") > grammar.total("They kill time.") > 0
+    assert grammar.total("I will not kill you.") < grammar.total("I will kill you.")
+    assert grammar.total("She said I will kill you.") < grammar.total("I will kill you.")
+
+
+def test_the_composed_table_equals_its_transducers():
+    after, factor, final = toxicity.compose()
+    rng = random.Random(15)
+    for _ in range(300):
+        word = [rng.randrange(7) for _ in range(rng.randint(0, 9))]
+        parts, whole = [0] * len(toxicity.PARTS), 0
+        for c in word:
+            want = 1.0
+            for k, part in enumerate(toxicity.PARTS):
+                parts[k], weight = part.step(parts[k], c)
+                want *= weight
+            assert factor[whole][c] == pytest.approx(want)
+            whole = after[whole][c]
+        want = 1.0
+        for part, state in zip(toxicity.PARTS, parts, strict=True):
+            want *= part.final(state)
+        assert final[whole] == pytest.approx(want)
+
+
+def test_the_string_automaton_skips_no_clause():
+    rng = random.Random(16)
+    grammar = toxicity.Grammar({"idiot": 3.0, "moron*": 2.0, "zorg*": 1.5, "zorgface": 4.0})
+    words = ["idiot", "idiotic", "morons", "oxymoron", "zorgling", "zorgface", "kill", "killing", "will", "you", "not", "said", "x1idiot", "Émoron", "a", "is"]
+    for _ in range(500):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "!", "\n", ";", ", ", "-", "_", "'"]) for _ in range(rng.randint(0, 25)))
+        assert grammar.total(text) == pytest.approx(grammar.full_total(text)), text
+    assert grammar.total(None) == grammar.full_total(None) == grammar.total("") == 0
 
 
 # the pipeline
