@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, decontam, langid, linededup, quality, secrets, simhash, sql, toxicity, urlfilter
+from lattica.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontam,
+    importance,
+    langid,
+    licenses,
+    linededup,
+    quality,
+    secrets,
+    simhash,
+    sql,
+    toxicity,
+    urlfilter,
+)
 from lattica.llm.shared import table
 
 
@@ -54,6 +69,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.digests(table(spark, sf_dir, "documents"), alignment.load(a, b))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -65,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -72,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": sql.URL_FILTERS,
     "op7_secret_scan": sql.SECRET_SCAN,
     "op9_benchmark_decontamination": sql.DECONTAMINATION,
+    "op12_license_scan": sql.LICENSE_SCAN,
+    "op13_importance_resampling": sql.IMPORTANCE,
 }

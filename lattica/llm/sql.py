@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import secrets, urlfilter
+from lattica.llm import licenses, secrets, urlfilter
 
 #: The six characters that the contracts strip or split at.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -161,3 +161,93 @@ SELECT page_id, r.host, path, rule, CASE WHEN coalesce(rule IN ({_BLOCKED}), pur
        g.template, CAST(purity AS DOUBLE) AS purity
 FROM ruled r JOIN tree{_LEVELS} p ON r.host = p.host AND r.shape = p.shape JOIN stats g ON p.host = g.host AND p.t = g.template
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASCII_PARTED = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: n, label, base, k, length, near of each template, and its words.
+_TEMPLATES = ", ".join(
+    f"({n}, '{t.label}', {t.base}, {t.k}, {len(t.words)}, {t.near}, '{' '.join(t.words)}')" for n, t in enumerate(licenses.TEMPLATES)
+)
+
+LICENSE_SCAN = f"""
+WITH template(n, label, base, k, length, near, text) AS (VALUES {_TEMPLATES}),
+gram AS (
+  SELECT n, k, t, array_to_string(list_slice(string_split(text, ' '), t + 1, t + k), ' ') AS gram
+  FROM (SELECT *, unnest(range(length - k + 1)) AS t FROM template)
+), worded AS (
+  SELECT row_number() OVER () AS row, doc_id, {_ASCII_PARTED} AS words FROM documents
+), window_ AS (
+  SELECT row, k, p, array_to_string(list_slice(words, p + 1, p + k), ' ') AS gram
+  FROM (SELECT row, words, k, unnest(range(greatest(len(words) - k + 1, 0))) AS p
+        FROM worded, (VALUES ({licenses.SHORT}), ({licenses.LONG})) AS size(k))
+), hit AS (
+  SELECT row, n, p, t, p - t AS diagonal FROM window_ JOIN gram USING (k, gram)
+), diagonal AS (
+  SELECT row, n, diagonal, min(p) AS start, max(p) + any_value(k) AS stop, list(t) AS ts
+  FROM hit JOIN template USING (n) GROUP BY row, n, diagonal
+), stepped AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY row, n ORDER BY diagonal) AS step FROM diagonal
+), islanded AS (
+  SELECT s.*, sum(CASE WHEN step <= near THEN 0 ELSE 1 END) OVER (PARTITION BY row, n ORDER BY diagonal) AS island
+  FROM stepped s JOIN template USING (n) WHERE near > 0
+), candidate AS (
+  SELECT row, n, start, stop, ts FROM diagonal
+  UNION ALL
+  SELECT row, n, min(start), max(stop), flatten(list(ts)) FROM islanded GROUP BY row, n, island HAVING count(*) > 1
+), rated AS (
+  SELECT row, n, start, label, base, length, near,
+         len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + k))))) AS matched,
+         greatest(length, stop - start) AS longer
+  FROM candidate JOIN template USING (n)
+), span AS (
+  SELECT row, label, base, start, (matched::DOUBLE / longer) * matched / (matched + {licenses.HALF}) AS score
+  FROM rated WHERE CASE WHEN near = 0 THEN matched = length ELSE matched::DOUBLE / longer >= {licenses.LEAST} END
+)
+SELECT doc_id, any_value(len(words))::BIGINT AS n_words, count(start) FILTER (WHERE base) AS n_base,
+       (min(start) FILTER (WHERE base))::BIGINT AS first_word, (max(start) FILTER (WHERE base))::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0) AS score
+FROM worded LEFT JOIN span USING (row) GROUP BY row, doc_id
+"""
+
+#: The table of CRC-32 comes from its polynomial; the words of both tables are summed up once each.
+IMPORTANCE = f"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) AS r(i)
+), document AS (
+  SELECT row_number() OVER () AS row, doc_id, {_ASCII_PARTED} AS words FROM documents
+), source AS (
+  SELECT row, unnest(words) AS word FROM document
+), target AS (
+  SELECT unnest({_ASCII_PARTED}) AS word FROM benchmark
+), bytes AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM source UNION SELECT word FROM target)
+), hashed AS (
+  SELECT word, xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT)),
+           lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc
+), s AS (
+  SELECT bucket, count(*) AS n FROM source JOIN hashed USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM target JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM source) + 10000)::DOUBLE
+                     / ((s.n + 1.0::DOUBLE) * ((SELECT count(*) FROM target) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weighed AS (
+  SELECT row, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM source JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY row
+), scored AS (
+  SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM document LEFT JOIN weighed USING (row)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
