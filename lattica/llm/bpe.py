@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import pickle
 import re
 from collections.abc import Iterable
 from functools import lru_cache
@@ -40,6 +41,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MAX_WORDS = 120_000
 MAX_ARCS = 250_000
 MAX_STATES = 100_000
+#: Bytes of text that are encoded before their results go on.
+MOST = 2 << 20
 
 
 #: Code points (hex, or ranges) that the regex module takes as letters or numbers of a later Unicode, while
@@ -123,7 +126,6 @@ class Automaton:
     def __setstate__(self, state):
         self.labels, self.merges, self.special = state
         self._compile()
-        gc.freeze()  # the tables stay; the collector need not walk them again and again
 
     @classmethod
     def from_json(cls, text: str) -> Automaton:
@@ -140,6 +142,8 @@ class Automaton:
 
     def _compile(self) -> None:
         count = max(self.labels, default=0) + 1
+        if count > 1 << 20:
+            raise ValueError("ids must lie below 2^20: the keys of pairs hold twenty bits of each")
         self._split: dict[int, int] = {}  # u << 20 | v -> time at which the state after u lost the arc v
         # token -> time of the gadget that made it (-1: a byte, -2: no gadget), and its parts
         self._made = [-1 if len(self.labels.get(i, b"")) == 1 else -2 for i in range(count)]
@@ -202,14 +206,6 @@ class Automaton:
         self._start = _State(start, self._step)
         self._states = {start: self._start}
 
-    def forget(self) -> None:
-        """Empties the tables that fill as words are asked for."""
-        for known in (self._words, self._first, self._next):
-            known.clear()
-            known._old = {}
-        self._arcs.clear()
-        self._restart()
-
     def arc(self, p: int, t: int) -> bool:
         """Whether t may follow p (-1: the word's beginning)."""
         if p < 0:
@@ -314,18 +310,34 @@ def load(path: str) -> Automaton:
         return Automaton.from_json(file.read())
 
 
+#: The one automaton of this worker process, by the hash of what it was made from. It outlives the tasks and queries that
+#: use it, with its tables, which are bounded; another vocabulary takes its place.
+_kept: dict[bytes, Automaton] = {}
+
+
+def kept(key: bytes, pickled: bytes) -> Automaton:
+    """The automaton of this process, made if it is another one."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()  # an automaton and its states refer to each other
+        _kept[key] = pickle.loads(pickled)
+    return _kept[key]
+
+
 def _rows(docs: DataFrame, automaton: Automaton, ddl: str, row, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)  # as large as the vocabulary, whatever the input
+    pickled = pickle.dumps(automaton)
+    # as large as the vocabulary, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(pickled).digest(), pickled))
 
     def rows(values):
-        machine = sent.value
+        machine = kept(*sent.value)
         gc.disable()  # what encoding makes has no cycles
         try:
             return [row(machine, *v) for v in zip(*values, strict=True)]
         finally:
             gc.enable()
 
-    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows, end=lambda: sent.value.forget())
+    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows, most=MOST)
 
 
 def encode_documents(docs: DataFrame, automaton: Automaton) -> DataFrame:

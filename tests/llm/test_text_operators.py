@@ -334,3 +334,26 @@ def test_bitmaps_round_trip():
         packed = zlib.compress(np.packbits(bits).tobytes() + bytes([len(bits) % 8]))
         assert (linededup.unpacked(packed) == bits.astype(bool)).all()
     assert SCHEMA
+
+
+def test_a_worker_keeps_one_automaton_and_drops_the_others():
+    import gc
+    import pickle
+    import weakref
+
+    machine = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    pickled = pickle.dumps(machine)
+    first = bpe.kept(b"first", pickled)
+    first.encode("some words, and some others; über")
+    assert bpe.kept(b"first", pickled) is first
+    gone = weakref.ref(first)
+    del first
+    bpe.kept(b"second", pickled)
+    assert gone() is None and list(bpe._kept) == [b"second"]
+    bpe._kept.clear()
+    gc.collect()
+
+
+def test_ids_that_do_not_fit_the_keys_are_refused():
+    with pytest.raises(ValueError, match="2\\^20"):
+        bpe.Automaton({1 << 20: b"a"}, [], {})
