@@ -10,16 +10,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.operators import similarity
 from lattica.operators.ranking import prune_edges
 from lattica.sources.shared import checkpointed
 
 EPSILON = 1e-6
 
 
-def outgoing_ranks(similarity: DataFrame) -> DataFrame:
+def outgoing_ranks(edges: DataFrame) -> DataFrame:
     """src, dst, weight: the rank of dst for src, 1 for the most similar; never itself."""
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
-    return similarity.where("src != dst").select("src", "dst", place.cast("double").alias("weight"))
+    return edges.where("src != dst").select("src", "dst", place.cast("double").alias("weight"))
+
+
+def nearest_ranks(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame, k: int, factor: float = sqrt(10), absolute: bool = True) -> DataFrame:
+    """src, dst, weight: outgoing ranks, in both directions, of all pairs that balance() can keep for k, without a row for
+    each pair of the axis. Each member's K = k * factor + 1 most similar are searched, and the ranks of these pairs the other
+    way are counted. A pair with both ranks above K has a product above K^2, so it matters only to a member without any pair
+    of a smaller product: for these few, all their pairs are ranked."""
+    score = similarity.score_absolute if absolute else similarity.score_pearson
+    rows, sizes = similarity.packed_rows(layer, axis, per, variables)
+    most = int(k * factor) + 2
+    near = checkpointed(similarity.top(rows, rows, sizes, most, score))
+    found = near.select("src", "dst", F.col("place").cast("bigint").alias("rank"), F.col("weight").alias("x"))
+
+    def both_ways(known: DataFrame) -> DataFrame:
+        """known(src, dst, rank, x) with the pairs the other way, whose ranks are counted unless they are known."""
+        back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "x").join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        asked = back.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct(F.col("dst").alias("id"), "x")).alias("asked"))
+        counted = similarity.ranks_of(rows.join(asked, "id").select("key", "id", "x", "asked"), rows, sizes, score)
+        return checkpointed(known.select("src", "dst", "rank").union(counted.select("src", "dst", "rank")))
+
+    ranks = both_ways(found)
+    products = ranks.join(ranks.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("rank").alias("back")), ["src", "dst"])
+    far = checkpointed(products.groupBy("src").agg(F.min(F.col("rank") * F.col("back")).alias("p")).where(F.col("p") > most * most).select("src"))
+    if far.take(1):
+        some = rows.join(far.select(F.col("src").alias("id")), "id", "left_semi").select("key", "id", "x")
+        whole = similarity.top(some, rows, sizes, axis.count(), score)
+        theirs = both_ways(whole.select("src", "dst", F.col("place").cast("bigint").alias("rank"), F.col("weight").alias("x")))
+        ranks = checkpointed(ranks.union(theirs).distinct())
+    return ranks.select("src", "dst", F.col("rank").cast("double").alias("weight"))
+
+
+def nearest_graph(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame, k: int, factor: float = sqrt(10), incoming: float = 3.0, outgoing: float = 1.0, least_degree: int = 2, absolute: bool = True) -> DataFrame:
+    """knn_graph() of an axis' own (absolute) correlations, without a table of all pairs."""
+    n = axis.count()
+    while True:
+        balanced, best = balance(nearest_ranks(layer, axis, per, variables, k, factor, absolute), k, factor)
+        edges = checkpointed(weigh(prune(balanced, best, k, n, incoming, outgoing)))
+        least = edges.groupBy("src").count().agg(F.min("count")).first()[0]
+        if least is None or least >= min(least_degree, n - 1):
+            return edges
+        k += max(1, k // 10)
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -55,9 +97,9 @@ def weigh(pruned: DataFrame) -> DataFrame:
     return pruned.select("src", "dst", (F.col("weight") / total).alias("weight"))
 
 
-def knn_graph(similarity: DataFrame, n: int, k: int, factor: float = sqrt(10), incoming: float = 3.0, outgoing: float = 1.0, least_degree: int = 2) -> DataFrame:
+def knn_graph(edges: DataFrame, n: int, k: int, factor: float = sqrt(10), incoming: float = 3.0, outgoing: float = 1.0, least_degree: int = 2) -> DataFrame:
     """The weighted graph; k grows until every node has enough outgoing edges."""
-    ranks = outgoing_ranks(similarity)
+    ranks = outgoing_ranks(edges)
     while True:
         balanced, best = balance(ranks, k, factor)
         edges = weigh(prune(balanced, best, k, n, incoming, outgoing))

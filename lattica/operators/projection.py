@@ -14,10 +14,6 @@ from lattica.functions.dense import represent
 from lattica.operators import convey, marginals, quality, similarity
 
 
-def common_variables(atlas_var: DataFrame, query_var: DataFrame) -> DataFrame:
-    return atlas_var.select("var_id").intersect(query_var.select("var_id"))
-
-
 def candidates(atlas: DataFrame, atlas_obs: DataFrame, query: DataFrame, query_obs: DataFrame, var: DataFrame, count: int = 50, regularization: float = 1e-5) -> DataFrame:
     """src (query), dst (atlas), place: the atlas members with the most correlated log fractions, the anchor first."""
     mine = quality.log_fractions(query, query_obs, var, regularization)
@@ -29,9 +25,10 @@ def candidates(atlas: DataFrame, atlas_obs: DataFrame, query: DataFrame, query_o
 
 def weights(atlas: DataFrame, atlas_obs: DataFrame, query: DataFrame, query_obs: DataFrame, var: DataFrame, log: bool = True, regularization: float = 1e-5, least_umis: float = 40, most_fold: float = 2.0, count: int = 50, least_share: float = 1 / 3, least_weight: float = 1e-5) -> DataFrame:
     """src (query), dst (atlas), weight. Each query member has its own task of at most `count` candidates: those whose
-    log fractions are off the anchor's by more than the fold (for variables with enough in both) are dropped, the worst
-    first, down to a third; what is left represents the member by least squares on the simplex."""
-    near = candidates(atlas, atlas_obs, query, query_obs, var, count, regularization)
+    log fractions are off the anchor's by more than the fold (for variables with enough in both; those without any are no
+    candidates) are dropped, the worst first, down to a third of `count`; what is left represents the member by least squares on the simplex."""
+    # a candidate without a significant variable gives its place to the next
+    near = candidates(atlas, atlas_obs, query, query_obs, var, 2 * count, regularization)
     row = lambda x, name: x.groupBy("obs_id").agg(F.collect_list(F.struct(F.col("var_id").cast("string").alias("v"), F.col("value").cast("double").alias("x"))).alias(name))
     joined = near.join(row(atlas, "a").withColumnRenamed("obs_id", "dst"), "dst").join(row(query, "q").withColumnRenamed("obs_id", "src"), "src")
     kinds = dict(query_obs.dtypes)["obs_id"], dict(atlas_obs.dtypes)["obs_id"]
@@ -47,9 +44,10 @@ def weights(atlas: DataFrame, atlas_obs: DataFrame, query: DataFrame, query_obs:
         total = dense.sum(axis=1, keepdims=True)
         fraction = dense / np.maximum(total, 1e-300)
         level = np.log2(fraction + regularization)
-        live = list(range(len(part)))
-        off = np.array([np.abs(level[i] - level[0])[dense[i] + dense[0] >= least_umis].max(initial=0.0) for i in live])
-        while len(live) > max(1, len(part) * least_share):
+        enough = dense[:-1] + dense[0] >= least_umis
+        live = [i for i in range(len(part)) if i == 0 or enough[i].any()][:count]
+        off = np.array([np.abs(level[i] - level[0])[enough[i]].max(initial=0.0) for i in range(len(part))])
+        while len(live) > max(1, count * least_share):
             worst = max(live, key=lambda i: off[i])
             if off[worst] <= most_fold:
                 break

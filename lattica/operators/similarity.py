@@ -2,7 +2,8 @@
 
 Relational forms join the non-zeros on the other axis, so a pair meets once for each value that both have; Pearson needs
 no more than these sums and each side's own sums. Logistics needs the zeros as well: for them, blocks of dense rows are
-multiplied in numpy, one pair of blocks a task, and all pairs are dealt over the tasks.
+multiplied in numpy, one pair of blocks a task, and all pairs are dealt over the tasks. Where only the most similar few
+are asked for, the pairs of blocks keep these, and a table of all pairs never exists.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.operators.marginals import other
+from lattica.operators.ranking import positions
+from lattica.sources.shared import checkpointed
 
 BLOCK = 256
 METHODS = ("pearson", "abs_pearson", "repeated_pearson", "repeated_abs_pearson", "logistics", "logistics_pearson", "logistics_abs_pearson")
@@ -159,8 +163,6 @@ def similarity(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame
 
 def ends(edges: DataFrame, top: int | None, bottom: int | None) -> DataFrame:
     """The edges of the `top` largest and `bottom` smallest weights of each src."""
-    from pyspark.sql.window import Window
-
     per = Window.partitionBy("src")
     high = F.row_number().over(per.orderBy(F.col("weight").desc(), "dst"))
     low = F.row_number().over(per.orderBy("weight", "dst"))
@@ -172,3 +174,151 @@ def nearest(edges: DataFrame) -> DataFrame:
     """src, dst of the largest weight; ties go to the smaller dst."""
     return edges.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("weight"), F.col("dst"))).alias("dst"))
 
+
+
+# the most similar few -------------------------------------------------------------------------------------------
+
+#: Cells of a block's dense rows, and its rows at most.
+CELLS, ROWS = 1 << 22, 512
+#: Decimal places to which correlations are rounded, so that ties are ties.
+PLACES = 12
+
+
+def correlations(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Pearson's correlations of the rows of x with those of y, n being the number of variables (those left out are zeros);
+    zero where a row does not vary."""
+    spread = []
+    for a in (x, y):
+        q = (a * a).sum(axis=1)
+        v = n * q - a.sum(axis=1) ** 2
+        spread.append(np.where(v <= 1e-12 * n * q, np.inf, v))
+    p = n * (x @ y.T) - np.outer(x.sum(axis=1), y.sum(axis=1))
+    return np.round(p / np.sqrt(spread[0])[:, None] / np.sqrt(spread[1])[None, :], PLACES)
+
+
+def dense(cells: pd.Series, columns: np.ndarray) -> np.ndarray:
+    """Rows of lists of (v, x) as a matrix over the given sorted values of v."""
+    out = np.zeros((len(cells), len(columns)))
+    for i, row in enumerate(cells):
+        if row is not None and len(row):
+            out[i, np.searchsorted(columns, [c["v"] for c in row])] = [c["x"] for c in row]
+    return out
+
+
+def columns_of(*cells: pd.Series) -> np.ndarray:
+    """All values of v in lists of (v, x), sorted."""
+    found = [c["v"] for series in cells for row in series if row is not None for c in row]
+    return np.unique(np.array(found, dtype=np.int64))
+
+
+def packed(rows: DataFrame, members: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row for each of members(*keys): for each name in values, a list of (v, x) of the rows(*keys, v, name...)."""
+    cells = [F.collect_list(F.struct("v", F.col(c).cast("double").alias("x"))).alias(c) for c in values]
+    return members.select(*keys).join(rows.groupBy(*keys).agg(*cells), keys, "left")
+
+
+def _blocked(first: DataFrame, second: DataFrame, sizes: DataFrame):
+    """Pairs of blocks, grouped: rows of first have src, those of second dst; n counts their key's variables."""
+    widest = sizes.agg(F.max("n")).first()[0] or 1
+    rows = max(32, min(ROWS, CELLS // max(widest, 1)))
+    kinds = {name: dict(df.dtypes)["id"] for name, df in (("src", first), ("dst", second))}
+    extra = [c for c in first.columns if c not in ("key", "id")]
+    counted = [df.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias(name)) for df, name in ((first, "i"), (second, "j"))]
+    grid = checkpointed(counted[0].join(counted[1], "key").join(sizes, "key"))  # a row a key
+
+    def dealt(df: DataFrame, own: str, other_: str, name: str) -> DataFrame:
+        placed = df.join(grid, "key").withColumn(f"own_{own}", F.pmod(F.xxhash64("id"), own).cast("int"))
+        cells = [F.col(c) if c in df.columns else F.lit(None).cast(first.schema[c].dataType).alias(c) for c in extra]
+        ids = [F.col("id").alias(c) if c == name else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]
+        return placed.withColumn(f"own_{other_}", F.explode(F.sequence(F.lit(0), F.col(other_) - 1))).select("key", "n", "own_i", "own_j", *ids, *cells)
+
+    pairs = dealt(first, "i", "j", "src").unionByName(dealt(second, "j", "i", "dst"))
+    return pairs.groupBy("key", "own_i", "own_j"), f"key {dict(first.dtypes)['key']}, src {kinds['src']}, dst {kinds['dst']}", kinds
+
+
+def _sides(part: pd.DataFrame, kinds: dict[str, str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of first and those of second, each in the order of its ids."""
+    return tuple(
+        part[part[c].notna()].astype({c: object if kinds[c] == "string" else np.int64}).sort_values(c) for c in ("src", "dst")
+    )
+
+
+def top(first: DataFrame, second: DataFrame, sizes: DataFrame, k: int, score=None, apart: bool = True) -> DataFrame:
+    """key, src, dst, weight, place (from 1): for each src of first the k dst of second, of the same key, of the largest
+    weight; ties go to the smaller dst. first(key, id, x, ...) and second(key, id, x) are packed, x being what is compared;
+    ids are integers or strings. sizes(key, n) counts the variables of a key. Both sides are dealt into blocks by hash, and
+    each pair of blocks of a key is one task's work. score(first's rows, second's rows, n) gives the weights, correlations
+    if it is left out; apart leaves out pairs of one id."""
+    blocks, schema, kinds = _blocked(first, second, sizes)
+    score = score or score_pearson
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = _sides(part, kinds)
+        weight = score(mine, theirs, int(part["n"].iloc[0]))
+        src, dst = mine["src"].to_numpy(), theirs["dst"].to_numpy()
+        if apart:
+            weight = np.where(src[:, None] == dst[None, :], -np.inf, weight)
+        best = np.argsort(-weight, axis=1, kind="stable")[:, :k]
+        i, j = np.repeat(np.arange(len(src)), best.shape[1]), best.ravel()
+        out = pd.DataFrame({"key": part["key"].iloc[0], "src": src[i], "dst": dst[j], "weight": weight[i, j]})
+        return out[np.isfinite(out["weight"])]
+
+    found = blocks.applyInPandas(run, f"{schema}, weight double")
+    place = F.row_number().over(Window.partitionBy("key", "src").orderBy(F.col("weight").desc(), "dst"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def ranks_of(first: DataFrame, second: DataFrame, sizes: DataFrame, score=None) -> DataFrame:
+    """key, src, dst, rank: first has a list of (id, x) named asked; the rank of a pair with weight x among all of its src,
+    1 for the largest weight, ties to the smaller dst. Counted block by block, without a row for each pair."""
+    blocks, schema, kinds = _blocked(first, second, sizes)
+    score = score or score_pearson
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = _sides(part, kinds)
+        weight = score(mine, theirs, int(part["n"].iloc[0]))
+        dst = theirs["dst"].to_numpy()
+        out = {"src": [], "dst": [], "before": []}
+        for src, asked, w in zip(mine["src"], mine["asked"], weight, strict=True):
+            ids, x = np.array([a["id"] for a in asked], dtype=dst.dtype), np.array([a["x"] for a in asked])
+            w = np.where(dst == src, -np.inf, w)
+            order = np.argsort(-w, kind="stable")
+            falling, name = -w[order], dst[order]
+            low, high = np.searchsorted(falling, -x, "left"), np.searchsorted(falling, -x, "right")
+            tied = [int(np.searchsorted(name[a:b], i)) if b > a else 0 for a, b, i in zip(low, high, ids, strict=True)]
+            out["src"] += [src] * len(ids)
+            out["dst"] += ids.tolist()
+            out["before"] += (low + np.array(tied, dtype=np.int64)).tolist()
+        return pd.DataFrame(out).assign(key=part["key"].iloc[0])[["key", "src", "dst", "before"]]
+
+    found = blocks.applyInPandas(run, f"{schema}, before bigint")
+    return found.groupBy("key", "src", "dst").agg((F.sum("before") + 1).alias("rank"))
+
+
+def score_pearson(mine: pd.DataFrame, theirs: pd.DataFrame, n: int) -> np.ndarray:
+    columns = columns_of(mine["x"], theirs["x"])
+    return correlations(dense(mine["x"], columns), dense(theirs["x"], columns), n)
+
+
+def score_absolute(mine: pd.DataFrame, theirs: pd.DataFrame, n: int) -> np.ndarray:
+    return np.abs(score_pearson(mine, theirs, n))
+
+
+def numbered(axis: DataFrame, key: str) -> DataFrame:
+    """key and v, a number from 0, of an axis' different ids."""
+    return positions(axis.select(key).distinct(), [key]).select(key, F.col("position").cast("int").alias("v"))
+
+
+def packed_rows(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, x) of an axis under the one key 0, written, and its sizes(key, n)."""
+    on = other(per)
+    codes = checkpointed(numbered(variables, on))
+    rows = layer.join(codes, on).select(F.lit(0).alias("key"), F.col(per).alias("id"), "v", F.col("value").alias("x"))
+    members = axis.select(F.lit(0).alias("key"), F.col(per).alias("id"))
+    return checkpointed(packed(rows, members, ["key", "id"], ["x"])), codes.groupBy(F.lit(0).alias("key")).agg(F.count("*").alias("n"))
+
+
+def top_pearson(layer: DataFrame, axis: DataFrame, per: str, variables: DataFrame, k: int, absolute: bool = False) -> DataFrame:
+    """src, dst, weight: the k members of the axis with the largest (absolute) correlation with each."""
+    rows, sizes = packed_rows(layer, axis, per, variables)
+    return top(rows, rows, sizes, k, score_absolute if absolute else None).select("src", "dst", "weight")

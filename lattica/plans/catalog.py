@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.functions import scalars
+from lattica.operators import atlas as atlases
 from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
 from lattica.plans import pipelines
 from lattica.sources import tables
@@ -511,8 +513,7 @@ pr AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM outg UNION ALL SELECT *
 @query(f"WITH {_SB}, {_KNN} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM pr")
 def knn_graph(spark, sf_dir):
     _, x, obs, var = _sb(spark, sf_dir)
-    edges = similarity.similarity(x, obs, "obs_id", var, "abs_pearson")
-    balanced, best = graph.balance(graph.outgoing_ranks(rounded(edges, 12)), 5)
+    balanced, best = graph.balance(graph.nearest_ranks(x, obs, "obs_id", var, 5), 5)
     return graph.weigh(graph.prune(balanced, best, 5, obs.count()))
 
 
@@ -699,6 +700,106 @@ def least_essential(spark, sf_dir):
     return projection.least_essential(masks.mark_by_type(_sb(spark, sf_dir)[3], _ESSENTIAL))
 
 
+# an atlas that lacks the variables that end in 3, and a query that lacks those that end in 5
+
+_TWO = """
+av AS (SELECT var_id FROM v WHERE var_id NOT LIKE '%3'), qv AS (SELECT var_id FROM v WHERE var_id NOT LIKE '%5'), cv AS (SELECT var_id FROM av JOIN qv USING (var_id)),
+es AS (SELECT type, var_id AS name FROM (SELECT type, var_id, row_number() OVER (PARTITION BY type ORDER BY t DESC, var_id) AS k
+       FROM (SELECT type, var_id, sum(value) AS t FROM x JOIN o USING (obs_id) WHERE obs_id % 5 <> 0 AND var_id IN (SELECT var_id FROM av) GROUP BY ALL)) WHERE k <= 6)
+"""
+
+
+def _two(spark, sf_dir):
+    """(atlas, query) as datasets."""
+    data = _sb(spark, sf_dir)[0]
+    mine = F.col("obs_id") % 5 == 0
+    atlas = data.keep(data.obs.where(~mine), data.var.where(~F.col("var_id").endswith("3")))
+    return atlas, data.keep(data.obs.where(mine), data.var.where(~F.col("var_id").endswith("5")))
+
+
+def _essential(atlas):
+    """type, name: the six variables with the largest totals of a type."""
+    totals = atlas.layer().join(atlas.obs, "obs_id").groupBy("type", F.col("var_id").alias("name")).agg(F.sum("value").alias("t"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("t"), "name"))
+    return totals.withColumn("place", place).where("place <= 6").select("type", "name")
+
+
+@query(
+    f"""WITH {_SB}, {_TWO} SELECT coalesce(a.var_id, q.var_id) AS name, a.var_id AS atlas_id, q.var_id AS query_id, a.var_id IS NOT NULL AS in_atlas,
+    q.var_id IS NOT NULL AS in_query, a.var_id IS NOT NULL AND q.var_id IS NOT NULL AS common FROM av a FULL JOIN qv q ON a.var_id = q.var_id"""
+)
+def aligned_variables(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    return atlases.align_variables(atlas.var, mine.var)
+
+
+@query(f"WITH {_SB}, {_TWO} SELECT type, name FROM es WHERE name NOT IN (SELECT var_id FROM cv)")
+def missing_essentials(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    return atlases.missing_essentials(_essential(atlas), atlases.align_variables(atlas.var, mine.var))
+
+
+@query(
+    f"""WITH {_SB}, {_TWO}, c AS (SELECT type, count(*) AS n FROM es JOIN cv ON name = var_id GROUP BY type),
+    p AS (SELECT a.type, b.type AS other, count(DISTINCT name) AS u FROM c a JOIN c b ON a.type <= b.type
+          JOIN (SELECT es.* FROM es JOIN cv ON name = var_id) e ON e.type IN (a.type, b.type) GROUP BY ALL)
+    SELECT type, other, CAST(ceil(u * 0.75) AS BIGINT) AS least FROM p"""
+)
+def least_common_essential(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    common = atlases.align_variables(atlas.var, mine.var).where("common").select("name", F.col("query_id").alias("var_id"))
+    return projection.least_essential(_essential(atlas).join(common, "name").select("type", "var_id", F.lit(True).alias("mask")))
+
+
+@query(
+    f"""WITH {_SB}, {_TWO}, t AS (SELECT var_id, sum(value) AS t FROM x JOIN cv USING (var_id) GROUP BY var_id)
+    SELECT var_id FROM t WHERE var_id NOT LIKE '%1' AND t >= (SELECT quantile_cont(t, 0.2) FROM t)"""
+)
+def fitted_variables(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    aligned = atlases.align_variables(atlas.var, mine.var)
+    a, q = atlases.to_query_ids(atlas.layer(), aligned), mine.layer().join(aligned.where("common").select(F.col("query_id").alias("var_id")), "var_id", "left_semi")
+    least = a.unionByName(q).groupBy("var_id").agg(F.sum("value").alias("t")).agg(F.percentile("t", 0.2)).first()[0]
+    var = mine.var.withColumn("lateral_gene", F.col("var_id").endswith("1"))
+    return atlases.fitted_variables(a, q, var, least, never=("lateral_gene",))
+
+
+@query(
+    f"""WITH {_SB}, {_TWO}, t AS (SELECT var_id, sum(value) AS t FROM x JOIN qv USING (var_id) WHERE obs_id % 5 = 0 GROUP BY var_id)
+    SELECT n.var_id AS name, n.var_id IN (SELECT var_id FROM av) AS in_atlas, n.var_id IN (SELECT var_id FROM qv) AS in_query, coalesce(t, 0.0) AS t
+    FROM (SELECT var_id FROM av UNION SELECT var_id FROM qv) n LEFT JOIN t ON n.var_id = t.var_id"""
+)
+def scattered_totals(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    totals = mine.layer().groupBy("var_id").agg(F.sum("value").alias("t"))
+    return atlases.scattered(totals, atlases.align_variables(atlas.var, mine.var))
+
+
+def _masked(spark, sf_dir):
+    """Each type's mask lacks the variables that leave the type's number as the rest of their own by five."""
+    _, x, obs, var = _sb(spark, sf_dir)
+    mine = F.col("obs_id") % 5 == 0
+    number = F.regexp_extract("var_id", r"(\d+)$", 1).cast("int")
+    masks_ = obs.select(F.col("type").alias("key")).distinct().crossJoin(var.select("var_id")).where(number % 5 != F.col("key"))  # a row a type and variable
+    a, q = marginals.fraction_by(x.where(~mine), "obs_id"), marginals.fraction_by(x.where(mine), "obs_id")
+    return atlases.Masked.of(a, x.where(~mine), obs.where(~mine), q, obs.where(mine).select("obs_id", F.col("type").alias("key")), masks_)
+
+
+@query(
+    f"""WITH {_SB}, {_ATLAS}, k AS (SELECT type AS key, var_id FROM (SELECT DISTINCT type FROM o) CROSS JOIN v WHERE CAST(regexp_extract(var_id, '\\d+$') AS INT) % 5 <> type),
+    c AS (SELECT key, a.obs_id AS src, b.obs_id AS dst, round(corr(a.value, b.value), 12) AS w FROM ql a JOIN o ON o.obs_id = a.obs_id JOIN k ON key = o.type AND k.var_id = a.var_id JOIN al b ON a.var_id = b.var_id GROUP BY ALL)
+    SELECT key, src, dst, place FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM c) WHERE place <= 3"""
+)
+def nearest_by_type(spark, sf_dir):
+    return _masked(spark, sf_dir).nearest(3, 1e-5).select("key", "src", "dst", "place")
+
+
+@query()
+def projection_by_type(spark, sf_dir):
+    atlas, mine = _two(spark, sf_dir)
+    return pipelines.project_datasets(atlas, mine, essential=_essential(atlas))["types"]
+
+
 @query(f"WITH {_CB} SELECT obs_id, var_id, round(log2(value + 1), 6) AS plus_one, round(CASE WHEN value > 0 THEN ln(value) END, 6) AS positive, round(coalesce(log10(nullif(value, 0)), log10(1.0) - 1), 6) AS below FROM d")
 def log_values(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)

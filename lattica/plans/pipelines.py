@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lattica.dataset import MAIN, Dataset
 from lattica.functions import dense
-from lattica.operators import deviants, graph, grouping, masks, quality, rare, sampling, similarity
+from lattica.operators import atlas as atlases
+from lattica.operators import deviants, graph, grouping, marginals, masks, projection, quality, rare, sampling, similarity
 from lattica.operators.marginals import reduce_per
 from lattica.operators.ranking import positions
 from lattica.sources.shared import checkpointed
@@ -341,3 +342,32 @@ def project_outliers(atlas: Dataset, outliers: Dataset, regularization: float =
     matches = checkpointed(quality.outlier_matches(outliers.layer(), odd, outliers.var, totals, named(atlas.obs.select("obs_id")), "g", regularization))
     folds = quality.deviant_folds(outliers.layer(), odd, named(atlas.layer()), totals, "g", matches, least)
     return matches, folds.select("obs_id", "var_id", "value")
+
+
+def project_datasets(atlas: Dataset, query: Dataset, p: atlases.Fit | None = None, type_name: str = "type", name: str = "var_id", never: tuple[str, ...] = ("lateral_gene", "ignored_gene"), ignored: DataFrame | None = None, essential: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A query projected onto an atlas of other variables: alignment by name, a first projection over the common variables
+    that fit (with corrections), the projection by type, and a second region for what is not similar.
+
+    ignored(type, var_id of the query) are never fitted for a type, essential(type, name) are what a type needs. Returns what
+    atlas.project() does, and variables (name, in_atlas, in_query, factor, fitted), missing_essentials(type, name)."""
+    p = p or atlases.Fit()
+    aligned = checkpointed(atlases.align_variables(atlas.var, query.var, name))
+    common = aligned.where("common").select(F.col("query_id").alias("var_id"))
+    theirs, mine = checkpointed(atlases.to_query_ids(atlas.layer(), aligned)), checkpointed(query.layer().join(common, "var_id", "left_semi"))
+    var = checkpointed(query.var.join(common, "var_id", "left_semi"))
+    start = checkpointed(atlases.fitted_variables(theirs, mine, var, p.least_umis, never=never))
+    within = lambda x: x.join(start, "var_id", "left_semi")
+    first = projection.project(within(theirs), atlas.obs, within(mine), query.obs, within(var), type_name, p.rounds)
+    factors = checkpointed(var.select("var_id").join(first["factors"], "var_id", "left").select("var_id", F.coalesce("factor", F.lit(1.0)).alias("factor")))
+    corrected = checkpointed(projection.corrected(marginals.fraction_by(mine, "obs_id"), factors))
+    fractions = checkpointed(marginals.fraction_by(theirs, "obs_id"))
+    types = checkpointed(first["projected_type"].select("obs_id", F.col(type_name).alias("type")))
+    masks_ = atlases.masks_by_type(atlas.obs.select(F.col(type_name).alias("type")), first["fitted"], ignored)
+    needed = None
+    if essential is not None:
+        needed = essential.join(aligned.where("common").select("name", F.col("query_id").alias("var_id")), "name").select("type", "var_id")
+    found = atlases.project(fractions, theirs, atlas.obs, corrected, mine, types, masks_, var, p, type_name, needed)
+    of_variables = factors.join(first["fitted"].select("var_id", F.lit(True).alias("fitted")), "var_id", "left").fillna({"fitted": False})
+    variables = atlases.scattered(of_variables, aligned, {"factor": 1.0, "fitted": False})
+    missing = {} if essential is None else {"missing_essentials": atlases.missing_essentials(essential, aligned)}
+    return found | {"variables": variables} | missing
