@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,17 +18,33 @@ def draw(seed: int, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
-def downsample(layer: DataFrame, samples: int, seed: int) -> DataFrame:
-    """Each observation's counts cut down to `samples` units, drawn without replacement; those with fewer stay."""
-    totals = layer.groupBy("obs_id").agg(F.sum("value").alias("total"))
-    marked = layer.join(totals, "obs_id")
-    whole = marked.where(F.col("total") <= samples).select("obs_id", "var_id", F.col("value").cast("double").alias("value"))
-    units = marked.where(F.col("total") > samples).select(
-        "obs_id", "var_id", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))).alias("unit")
-    )
-    place = F.row_number().over(Window.partitionBy("obs_id").orderBy(draw(seed, "obs_id", "var_id", "unit"), "var_id", "unit"))
-    kept = units.withColumn("place", place).where(F.col("place") <= samples)
-    return whole.union(kept.groupBy("obs_id", "var_id").agg(F.count("*").cast("double").alias("value")))
+def downsample(layer: DataFrame, samples: int | DataFrame, seed: int) -> DataFrame:
+    """Each observation's counts cut down to `samples` units (a number, or one for each in samples(obs_id, samples)), drawn
+    without replacement; those with fewer stay. No unit has a row of its own: a row's values are drawn one after the other,
+    each from a hypergeometric distribution given what is left, with a generator seeded by the hash of the observation. Row
+    totals that are cut must lie below 10^9."""
+    cells = F.sort_array(F.collect_list(F.struct("var_id", F.col("value").cast("double").alias("value"))))
+    rows = layer.groupBy("obs_id").agg(cells.alias("cells"), F.sum("value").cast("double").alias("total"))
+    rows = rows.withColumn("samples", F.lit(samples).cast("bigint")) if isinstance(samples, int) else rows.join(samples, "obs_id")
+    rows = rows.select("obs_id", "cells", "total", F.col("samples").cast("bigint").alias("samples"), F.xxhash64(F.lit(seed), F.col("obs_id").cast("string")).alias("h"))
+    kinds = dict(layer.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            values = flat.field("value").to_numpy().copy()
+            for i, (total, most, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                if total > most:
+                    part = slice(cuts[i], cuts[i + 1])
+                    random = np.random.Generator(np.random.PCG64(h & (1 << 64) - 1))
+                    values[part] = random.multivariate_hypergeometric(values[part].astype(np.int64), most, method="marginals")
+            drawn = pa.StructArray.from_arrays([flat.field("var_id"), pa.array(values)], names=["var_id", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), drawn)], names=["obs_id", "cells"])
+
+    found = rows.mapInArrow(run, f"obs_id {kinds['obs_id']}, cells array<struct<var_id: {kinds['var_id']}, value: double>>")
+    return found.select("obs_id", F.explode("cells").alias("c")).select("obs_id", "c.var_id", "c.value").where("value > 0")
 
 
 def downsample_size(layer: DataFrame, obs: DataFrame, least: int = 750, low: float = 0.05, high: float = 0.5) -> int:

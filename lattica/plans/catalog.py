@@ -402,12 +402,17 @@ def top_distinct_variables(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SB}, t AS (SELECT x.obs_id, var_id, value, u FROM x JOIN u ON x.obs_id = u.obs_id),
-    k AS (SELECT obs_id, var_id, unnest(range(1, CAST(value AS INTEGER) + 1)) AS unit FROM t WHERE u > 750),
-    r AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY md5(concat_ws(':', '7', obs_id, var_id, unit)), var_id, unit) AS place FROM k)
-    SELECT obs_id, var_id, CAST(count(*) AS DOUBLE) AS value FROM r WHERE place <= 750 GROUP BY obs_id, var_id
-    UNION ALL SELECT obs_id, var_id, value FROM t WHERE u <= 750"""
+    f"""WITH {_SB} SELECT obs_id, least(u, 750.0) AS total, u <= 750 AS whole, CAST(0 AS BIGINT) AS above FROM u"""
 )
+def downsampled_totals(spark, sf_dir):
+    """Totals, whether all stays, and how many values are above what they were (or are not whole numbers)."""
+    x = _sb(spark, sf_dir)[1]
+    both = x.join(sampling.downsample(x, 750, 7).withColumnRenamed("value", "now"), ["obs_id", "var_id"], "full")
+    now, was = F.coalesce("now", F.lit(0.0)), F.coalesce("value", F.lit(0.0))
+    return both.groupBy("obs_id").agg(F.sum(now).alias("total"), F.bool_and(now == was).alias("whole"), F.count_if((now > was) | (now != F.floor(now))).alias("above"))
+
+
+@query()
 def downsampled(spark, sf_dir):
     return sampling.downsample(_sb(spark, sf_dir)[1], 750, 7)
 

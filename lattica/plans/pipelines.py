@@ -277,15 +277,10 @@ def zeros(layer: DataFrame, obs: DataFrame, var: DataFrame, group: str, quantile
     """group_id, var_id, value: members without the variable, each member cut down to the group's quantile of totals."""
     own = grouping.members(obs, group)
     totals = layer.groupBy("obs_id").agg(F.sum("value").alias("u")).join(own, "obs_id")
-    sizes = totals.groupBy("group_id").agg(F.bround(F.percentile("u", quantile)).alias("s"))
+    sizes = totals.groupBy("group_id").agg(F.bround(F.percentile("u", quantile)).cast("bigint").alias("samples"))
     counts = grouping.group_sizes(obs, group)
-    marked = layer.join(own, "obs_id").join(totals.select("obs_id", "u"), "obs_id").join(sizes, "group_id")
-    units = marked.where(F.col("u") > F.col("s")).select("group_id", "obs_id", "var_id", "s", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))).alias("unit"))
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("obs_id").orderBy(sampling.draw(seed, "obs_id", "var_id", "unit"), "var_id", "unit"))
-    kept = units.withColumn("place", place).where(F.col("place") <= F.col("s")).select("group_id", "obs_id", "var_id").distinct()
-    seen = kept.union(marked.where(F.col("u") <= F.col("s")).select("group_id", "obs_id", "var_id"))
+    cut = sampling.downsample(layer, own.join(sizes, "group_id").select("obs_id", "samples"), seed)
+    seen = cut.join(own, "obs_id").select("group_id", "obs_id", "var_id")
     have = seen.groupBy("group_id", "var_id").agg(F.count("*").alias("k"))
     return counts.crossJoin(var.select("var_id")).join(have, ["group_id", "var_id"], "left").select(
         "group_id", "var_id", (F.col("grouped") - F.coalesce("k", F.lit(0))).cast("double").alias("value")

@@ -159,6 +159,8 @@ def test_samples(spark):
     layer, obs, var = long(spark, m)
     cut = back(sampling.downsample(layer, 10, 5), m.shape)
     assert list(cut.sum(axis=1)) == [min(10, s) for s in m.sum(axis=1)] and (cut <= m).all()
+    each = spark.createDataFrame([(i, 3 + i) for i in range(m.shape[0])], "obs_id bigint, samples bigint")
+    assert list(back(sampling.downsample(layer, each, 5), m.shape).sum(axis=1)) == [min(3 + i, s) for i, s in enumerate(m.sum(axis=1))]
     mixed = back(sampling.shuffle(layer, var, 5), m.shape)
     assert (np.sort(mixed, axis=1) == np.sort(m, axis=1)).all() and (mixed != m).any()
     many = spark.range(1000).withColumnRenamed("id", "obs_id")
@@ -167,6 +169,22 @@ def test_samples(spark):
     assert sampling.sample_obs(obs, 3, 1).count() == 3
 
 
+def test_downsampling_is_hypergeometric(spark):
+    """Means and variances of many equal rows, those of draws without replacement; results don't depend on the partitions."""
+    counts, n, samples = np.array([40, 25, 10, 5, 0, 20]), 3000, 30
+    layer = spark.range(n).select(F.col("id").alias("obs_id"), F.explode(F.array(*[F.struct(F.lit(v).alias("var_id"), F.lit(float(c)).alias("value")) for v, c in enumerate(counts) if c])).alias("c"))
+    layer = layer.select("obs_id", "c.var_id", "c.value")
+    found = back(sampling.downsample(layer, samples, 1), (n, len(counts)))
+    assert (found == back(sampling.downsample(layer.repartition(7), samples, 1), found.shape)).all()
+    assert (found.sum(axis=1) == samples).all() and (found <= counts).all()
+    total, share = counts.sum(), counts / counts.sum()
+    variance = samples * share * (1 - share) * (total - samples) / (total - 1)
+    assert np.allclose(found.mean(axis=0), samples * share, atol=5 * np.sqrt(variance.max() / n))
+    assert np.allclose(found.var(axis=0), variance, rtol=0.15)
+    cov = np.cov(found.T)
+    assert np.allclose(cov[0, 1], -samples * share[0] * share[1] * (total - samples) / (total - 1), rtol=0.15)
+
+
 def test_similarities(spark):
     rng = np.random.default_rng(4)
     m = rng.random((9, 20)) * (rng.random((9, 20)) < 0.5)
