@@ -122,10 +122,10 @@ def _levels() -> str:
             ), grp{k} AS (
               SELECT *, sum(begins::INT) OVER (PARTITION BY host, t ORDER BY bad / labels, seg) AS g FROM begin{k}
             ), merged{k} AS (
-              SELECT host, t, seg, min(seg) OVER w AS first, count(*) OVER w AS size FROM grp{k} WINDOW w AS (PARTITION BY host, t, g)
+              SELECT host, t, seg, min(seg) OVER w AS first, count(*) OVER w AS size, sum(('0x' || substr(md5(seg), 1, 8))::BIGINT) OVER w AS code FROM grp{k} WINDOW w AS (PARTITION BY host, t, g)
             ), named{k} AS (
-              SELECT l.host, l.t, l.seg, CASE WHEN l.seg = '' THEN '/' WHEN size > 1 THEN '/' || first || '+' || (size - 1)
-                WHEN literal THEN '/' || l.seg ELSE '/*' END AS step
+              SELECT l.host, l.t, l.seg, CASE WHEN l.seg = '' THEN '/' WHEN size > 1 THEN '/{{' || first || '+' || (size - 1) || '~' || code || '}}'
+                WHEN literal THEN '/' || CASE WHEN l.seg[1] IN ('{{', '*', chr(92)) THEN chr(92) ELSE '' END || l.seg ELSE '/*' END AS step
               FROM lit{k} l LEFT JOIN merged{k} m ON l.host = m.host AND l.t = m.t AND l.seg = m.seg
             ), tree{k + 1} AS (
               SELECT a.host, shape, a.pages, a.labels, a.bad, s, a.t || coalesce(step, '') AS t
@@ -152,12 +152,14 @@ WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, s
 ), {_levels()},
 single AS (SELECT host, t AS template, sum(labels) AS labels, sum(bad) AS bad FROM tree{_LEVELS} GROUP BY ALL
 ), overall AS (SELECT coalesce(sum(bad) / nullif(sum(labels), 0), 0) AS prior FROM single
-), pool AS (SELECT template, (sum(bad) + {urlfilter.PRIOR_WEIGHT} * any_value(prior)) / (sum(labels) + {urlfilter.PRIOR_WEIGHT}) AS share
-  FROM single, overall GROUP BY template
+), site AS (SELECT template, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS site, sum(bad) / sum(labels) AS share FROM single WHERE labels > 0 GROUP BY ALL
+), pool AS (SELECT template, count(*) AS sites, sum(share) AS total FROM site GROUP BY template
 ), stats AS (
-  SELECT host, template, (bad + {urlfilter.PRIOR_WEIGHT} * share) / (labels + {urlfilter.PRIOR_WEIGHT}) AS purity FROM single JOIN pool USING (template)
+  SELECT host, template, round((bad + {urlfilter.PRIOR_WEIGHT}::DOUBLE * (coalesce(total, 0) + prior) / (coalesce(sites, 0) + 1)) / (labels + {urlfilter.PRIOR_WEIGHT}::DOUBLE), 9) AS purity,
+         labels > 0 OR coalesce(sites, 0) >= {urlfilter.MIN_SITES} AS evident
+  FROM single LEFT JOIN pool USING (template), overall
 )
-SELECT page_id, r.host, path, rule, CASE WHEN coalesce(rule IN ({_BLOCKED}), purity >= {urlfilter.MIN_PURITY}) THEN 'block' ELSE 'allow' END AS verdict,
+SELECT page_id, r.host, path, rule, CASE WHEN coalesce(rule IN ({_BLOCKED}), evident AND purity >= {urlfilter.MIN_PURITY}) THEN 'block' ELSE 'allow' END AS verdict,
        g.template, CAST(purity AS DOUBLE) AS purity
 FROM ruled r JOIN tree{_LEVELS} p ON r.host = p.host AND r.shape = p.shape JOIN stats g ON p.host = g.host AND p.t = g.template
 """

@@ -7,13 +7,16 @@ shapes. The tree grows from the host down, to the end of every path. At each nod
 
 * a segment stays literal if it has no digits, at least MIN_PAGES pages, and either MIN_SHARE of the pages of its parent or
   a share of bad labels that differs significantly from its parent's; all others share the wildcard `*`;
-* literal siblings with enough labels are merged into one branch (named by the first of them and the number of others)
-  where, in the order of their share of bad labels, none differs significantly from the one before it.
+* literal siblings with enough labels are merged into one branch where, in the order of their share of bad labels, none
+  differs significantly from the one before it. A branch is named {first+others~sum}: its first segment, the number of the
+  others, and a sum over the hashes of all, so branches of equal names on two hosts are branches of equal members. A
+  segment that begins like a branch or a wildcard is escaped by a backslash.
 
-A template is rejected if its smoothed share of bad labels is at least MIN_PURITY. It is smoothed in two steps: the share
-of all labels is the prior, of weight PRIOR_WEIGHT, of the pool of equal templates of all hosts, and the pool's share is the
-prior of each of its templates. So labels reach the templates of hosts that have none, through the hosts that are built
-alike.
+A template is rejected if its smoothed share of bad labels is at least MIN_PURITY and there is evidence of it: labels of its
+own host, or labels of the same template on at least MIN_SITES sites (the last two names of a host). It is smoothed in two
+steps: the share of all labels is the prior, of the weight of one site, of the share over sites, each site counting once
+however many pages it has; this is the prior, of weight PRIOR_WEIGHT, of each host's own template. So one foreign site
+never decides about a host without labels.
 
 Labels are given as a column of judge(); without one, the fixed rules label the pages that they fit.
 
@@ -35,6 +38,7 @@ MIN_SHARE = 0.02
 MIN_LABELS = 5
 MAX_Z = 2.0
 PRIOR_WEIGHT = 20.0
+MIN_SITES = 3
 MIN_PURITY = 0.9
 
 #: Rule (host/path) -> verdict.
@@ -89,12 +93,13 @@ def _steps(nodes: DataFrame) -> DataFrame:
     error = F.sqrt((both * (1 - both) + 1 / (F.col("labels") + n + 4)) * (1 / F.col("labels") + 1 / n))
     begins = F.coalesce(F.abs(F.col("bad") / F.col("labels") - b / n) > MAX_Z * error, F.lit(True))
     groups = labelled.withColumn("begins", begins).withColumn("group", F.sum(F.col("begins").cast("int")).over(in_order))
-    sizes = groups.groupBy("host", "template", "group").agg(F.min("segment").alias("first"), F.count("*").alias("size")).where("size > 1")
-    merged = groups.join(sizes, ["host", "template", "group"]).select("host", "template", "segment", "first", "size")
+    code = F.conv(F.substring(F.md5("segment"), 1, 8), 16, 10).cast("bigint")
+    sizes = groups.groupBy("host", "template", "group").agg(F.min("segment").alias("first"), F.count("*").alias("size"), F.sum(code).alias("code")).where("size > 1")
+    merged = groups.join(sizes, ["host", "template", "group"]).select("host", "template", "segment", "first", "size", "code")
     step = (
         F.when(F.col("segment") == "", "/")
-        .when(F.col("size").isNotNull(), F.concat(F.lit("/"), "first", F.lit("+"), F.col("size") - 1))
-        .when(F.col("literal"), F.concat(F.lit("/"), "segment"))
+        .when(F.col("size").isNotNull(), F.concat(F.lit("/{"), "first", F.lit("+"), F.col("size") - 1, F.lit("~"), "code", F.lit("}")))
+        .when(F.col("literal"), F.concat(F.lit("/"), F.when(F.substring("segment", 1, 1).isin("{", "*", "\\"), "\\").otherwise(""), "segment"))
         .otherwise("/*")
     )
     return named.join(merged, ["host", "template", "segment"], "left").select("host", "template", "segment", step.alias("step"))
@@ -132,15 +137,18 @@ def templates(shapes: DataFrame) -> DataFrame:
 
 
 def rated(placed: DataFrame) -> DataFrame:
-    """host, template, purity of placed(host, template, labels, bad)."""
+    """host, template, purity, evident of placed(host, template, labels, bad); evident: enough is known to reject it."""
     single = shared.written(placed.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "rated")
     overall = single.agg(F.sum("labels").alias("n"), F.sum("bad").alias("b")).first()
     prior = overall["b"] / overall["n"] if overall["n"] else 0.0
-    weight = F.lit(PRIOR_WEIGHT)
-    pool = single.groupBy("template").agg(F.sum("labels").alias("n"), F.sum("bad").alias("b"))
-    pool = pool.select("template", ((F.col("b") + weight * prior) / (F.col("n") + weight)).alias("share"))
-    purity = (F.col("bad") + weight * F.col("share")) / (F.col("labels") + weight)
-    return shared.join_back(single, shared.written(pool, "pool"), ["template"]).select("host", "template", purity.alias("purity"))
+    site = F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)
+    sites = single.where("labels > 0").groupBy("template", site.alias("site")).agg((F.sum("bad") / F.sum("labels")).alias("share"))
+    pool = sites.groupBy("template").agg(F.count("*").alias("sites"), F.sum("share").alias("sum"))
+    known = shared.join_back(single, shared.written(pool, "pool"), ["template"])
+    n = F.coalesce("sites", F.lit(0))
+    share = (F.coalesce("sum", F.lit(0.0)) + prior) / (n + 1)
+    purity = (F.col("bad") + PRIOR_WEIGHT * share) / (F.col("labels") + PRIOR_WEIGHT)
+    return known.select("host", "template", F.round(purity, 9).alias("purity"), ((F.col("labels") > 0) | (n >= MIN_SITES)).alias("evident"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, bad: Column | None = None) -> DataFrame:
@@ -161,7 +169,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, bad: Column | None =
     placed = shared.written(templates(shapes), "placed")
     by_shape = placed.select("host", "shape", "template").join(rated(placed), ["host", "template"])
     by_shape = shared.written(by_shape, "by-shape")
-    verdict = F.when(F.coalesce("by_rule", F.col("purity") >= MIN_PURITY), "block").otherwise("allow")
+    verdict = F.when(F.coalesce("by_rule", F.col("evident") & (F.col("purity") >= MIN_PURITY)), "block").otherwise("allow")
     return shared.join_small(ruled, by_shape, ["host", "shape"], "inner").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"
     )
