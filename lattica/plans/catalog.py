@@ -878,16 +878,54 @@ def outlier_matches(spark, sf_dir):
     return quality.outlier_matches(x, marked, var, sums, sums.select("group_id").distinct(), "cluster")
 
 
+_LEVELS = """
+own AS (SELECT o.obs_id, o.g, coalesce(u.u, 0.0) AS u FROM o LEFT JOIN u ON u.obs_id = o.obs_id WHERE o.g >= 0),
+base AS (SELECT g, greatest(quantile_cont(u, 0.25), 1.0) AS base FROM own GROUP BY g),
+can AS (SELECT g, var_id FROM x JOIN own USING (obs_id) GROUP BY ALL HAVING max(value) >= 4),
+levels AS (SELECT own.g, can.var_id, own.obs_id, coalesce(x.value, 0.0) AS x,
+    log2(CASE WHEN own.u > 0 THEN coalesce(x.value, 0.0) / own.u ELSE 0 END + 1 / greatest(own.u, base)) AS l
+    FROM own JOIN base ON base.g = own.g JOIN can ON can.g = own.g LEFT JOIN x ON x.obs_id = own.obs_id AND x.var_id = can.var_id)
+"""
+
+
+@query(
+    f"""WITH {_CB}, {_LEVELS},
+    p AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY g, var_id) AS n, lead(l, 1) OVER w AS l1, lead(l, 2) OVER w AS l2, lead(x, 2) OVER w AS x2
+          FROM levels WINDOW w AS (PARTITION BY g, var_id ORDER BY l, obs_id)),
+    q AS (SELECT *, l2 - l - 1 AS gap, least((n - 1) // 2, n - 2, greatest(3, floor(0.1 * n + 0.5))) AS most, CASE WHEN 2 * (l1 - l) - 1 < l2 - l - 1 THEN 1 ELSE 0 END AS early FROM p),
+    wide AS (SELECT * FROM q WHERE n >= 4 AND gap > 0 AND x + x2 >= 8),
+    beyond AS (SELECT p.obs_id, gap FROM wide JOIN p ON p.g = wide.g AND p.var_id = wide.var_id AND p.at <= wide.at + wide.early WHERE wide.at < most
+               UNION ALL SELECT p.obs_id, gap FROM wide JOIN p ON p.g = wide.g AND p.var_id = wide.var_id AND p.at > wide.at + wide.early WHERE wide.at >= wide.n - 2 - most)
+    SELECT o.obs_id, o.g AS group_id, round(max(gap), 6) AS gap FROM beyond JOIN o ON o.obs_id = beyond.obs_id GROUP BY ALL"""
+)
+def gap_marks(spark, sf_dir):
+    """The members beyond gaps of the first round."""
+    _, x, obs, var = _cb(spark, sf_dir)
+    return deviants.gap_marks(deviants.gap_levels(x, obs, var, "cluster", 1.0))
+
+
 @query()
 def gap_deviants(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
-    return deviants.gaps(x, obs, var, "cluster", 1.0)
+    return deviants.find(x, obs, var, "cluster", "gaps", least_fold=1.0)
 
 
 @query()
 def vote_deviants(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
-    return deviants.by_policy(deviants.fold_factors(x, obs, "cluster", 2.0), var.count(), obs.count(), "votes", 0.5)
+    return deviants.find(x, obs, var, "cluster", "votes", least_fold=2.0, most_variables=0.5)
+
+
+@query(
+    f"""WITH {_CB}, h AS (SELECT DISTINCT g, var_id FROM x JOIN o USING (obs_id)),
+    c AS (SELECT o.obs_id, o.g, h.var_id, coalesce(x.value, 0) AS v, u.u FROM o JOIN u ON u.obs_id = o.obs_id JOIN h ON h.g = o.g LEFT JOIN x ON x.obs_id = o.obs_id AND x.var_id = h.var_id),
+    f AS (SELECT obs_id, abs(log2((v + 1) / (u * median(v / u) OVER (PARTITION BY g, var_id) + 1))) - 2 AS value FROM c),
+    m AS (SELECT o.obs_id, greatest(coalesce(max(value), 0), 0) AS m FROM o LEFT JOIN f ON f.obs_id = o.obs_id GROUP BY ALL)
+    SELECT obs_id, m > (SELECT quantile_cont(m, 0.9) FROM m) AS deviant FROM m"""
+)
+def largest_fold_deviants(spark, sf_dir):
+    _, x, obs, var = _cb(spark, sf_dir)
+    return deviants.find(x, obs, var, "cluster", "max", least_fold=2.0, most_cells=0.1)
 
 
 @query()

@@ -264,13 +264,6 @@ def test_bins():
     assert group(dense.bin_fill(sizes, 106)) == [[3, 4, 9], [2, 5, 8], [0, 1, 6, 7]]
 
 
-def test_gaps_find_the_odd_member():
-    x = np.full((12, 4), 20.0)
-    x[3, 2] = 900.0
-    out = deviants.gap_deviants(x, x.sum(axis=1), np.full(4, 3.0))
-    assert list(np.flatnonzero(out)) == [3]
-
-
 def test_projection_finds_its_own_atlas(spark):
     rng = np.random.default_rng(7)
     atlas = rng.integers(50, 500, (6, 12))
@@ -373,16 +366,6 @@ def test_spread_points_do_not_overlap(spark):
     assert graph.spread(points.limit(1)).count() == 1
 
 
-def test_gaps_of_a_group_dealt_into_parts(spark):
-    x = np.full((60, 4), 20.0)
-    x[3, 2] = 900.0
-    layer, obs, var = long(spark, x)
-    one = obs.withColumn("cluster", F.lit(0))
-    for most in (2000, 30):
-        rows = deviants.gaps(layer, one, var, "cluster", 3.0, most_members=most).collect()
-        assert len(rows) == 60 and [r.obs_id for r in rows if r.deviant] == [3]
-
-
 def test_direct_deals_what_is_too_much_for_a_pile(spark):
     rng = np.random.default_rng(13)
     kinds = rng.integers(5, 60, (3, 8))
