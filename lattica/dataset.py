@@ -58,6 +58,40 @@ class Dataset:
         wide = self.layer(name).groupBy("obs_id").pivot("var_id").agg(F.sum("value"))
         return self.obs.select("obs_id").join(wide, "obs_id", "left").fillna(0.0)
 
+    def names(self, axis: str, label: str | None = None) -> DataFrame:
+        """axis o or v: the id and the name of each observation or variable, from the column `label` (default obs_name or
+        var_name; where there is none, the id as text)."""
+        table, key, default = (self.obs, "obs_id", "obs_name") if axis == "o" else (self.var, "var_id", "var_name")
+        if label is not None and label not in table.columns:
+            raise KeyError(f"no annotation {label!r}")
+        column = label or (default if default in table.columns else key)
+        return table.select(key, F.col(column).cast("string").alias("name"))
+
+    def maybe_obs_values(self, name: str | None, total: bool = False) -> DataFrame | None:
+        """obs_values(), or None if no name is given (a name that is given must exist)."""
+        return None if name is None else self.obs_values(name, total)
+
+    def maybe_var_values(self, name: str | None, total: bool = False) -> DataFrame | None:
+        return None if name is None else self.var_values(name, total)
+
+    def annotation(self, axis: str, name: str) -> DataFrame:
+        """Long rows of axis oo or vv: (src, dst, weight), oa or va: (obs_id or var_id, rank, value)."""
+        found = {"oo": self.obs_pairs, "vv": self.var_pairs, "oa": self.obs_arrays, "va": self.var_arrays}[axis]
+        if name not in found:
+            raise KeyError(f"no annotation {name!r} of {axis}")
+        return found[name]
+
+    def annotation_frame(self, axis: str, name: str) -> DataFrame:
+        """The same with one row for each observation or variable of the axis and one column for each other end (pairs
+        without an edge are 0) or rank (null where there are fewer); for few columns only."""
+        rows = self.annotation(axis, name)
+        table, key = (self.obs, "obs_id") if axis[0] == "o" else (self.var, "var_id")
+        if axis[1] == "a":
+            wide = rows.groupBy(key).pivot("rank").agg(F.first("value"))
+            return table.select(key).join(wide, key, "left")
+        wide = rows.withColumnRenamed("src", key).groupBy(key).pivot("dst").agg(F.sum("weight"))
+        return table.select(key).join(wide, key, "left").fillna(0.0, [c for c in wide.columns if c != key])
+
     def has(self, axis: str, name: str) -> bool:
         """axis: m, o, v, vo, oo, vv, oa or va."""
         where = {
@@ -87,6 +121,13 @@ class Dataset:
     def with_var_pairs(self, name: str, edges: DataFrame) -> Dataset:
         return replace(self, var_pairs=self.var_pairs | {name: edges})
 
+    def with_obs_array(self, name: str, rows: DataFrame) -> Dataset:
+        """rows(obs_id, rank, value)."""
+        return replace(self, obs_arrays=self.obs_arrays | {name: rows.select("obs_id", "rank", "value")})
+
+    def with_var_array(self, name: str, rows: DataFrame) -> Dataset:
+        return replace(self, var_arrays=self.var_arrays | {name: rows.select("var_id", "rank", "value")})
+
     def named(self, name: str) -> Dataset:
         """A leading dot appends to the present name."""
         return self.with_scalar("name", str(self.meta.get("name", "")) + name if name.startswith(".") else name)

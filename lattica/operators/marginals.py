@@ -61,6 +61,12 @@ def nan_reduce_per(values: DataFrame, per: str) -> DataFrame:
     return values.groupBy(per).agg(F.avg(v).alias("nanmean"), F.max(v).alias("nanmax"), F.min(v).alias("nanmin"))
 
 
+def nan_whole(values: DataFrame) -> DataFrame:
+    """One row: nanmean, nanmax, nanmin of all explicit values; NaN and NULL are ignored, and of nothing all three are NULL."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    return values.agg(F.avg(v).alias("nanmean"), F.max(v).alias("nanmax"), F.min(v).alias("nanmin"))
+
+
 def values_at_ranks(layer: DataFrame, axis: DataFrame, per: str, n: int, ranks: dict[str, int]) -> DataFrame:
     """Values at ascending 0-based ranks, zeros included: the zeros lie between negative and positive values."""
     order = Window.partitionBy(per).orderBy("value", other(per))

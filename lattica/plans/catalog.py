@@ -123,6 +123,21 @@ def nan_reduce(spark, sf_dir):
     return marginals.nan_reduce_per(tables.embeddings(spark, sf_dir).layer(), "obs_id")
 
 
+def _holes(spark, sf_dir):
+    """The embeddings with NaN for what is negative."""
+    return tables.embeddings(spark, sf_dir).layer().withColumn("value", F.when(F.col("value") < 0, float("nan")).otherwise(F.col("value")))
+
+
+@query(f"WITH {_E} SELECT var_id, round(avg(value) FILTER (WHERE value >= 0), 6) AS nanmean, round(max(value) FILTER (WHERE value >= 0), 6) AS nanmax, round(min(value) FILTER (WHERE value >= 0), 6) AS nanmin FROM e GROUP BY var_id")
+def nan_reduce_with_holes(spark, sf_dir):
+    return marginals.nan_reduce_per(_holes(spark, sf_dir), "var_id")
+
+
+@query(f"WITH {_E} SELECT round(avg(value), 6) AS nanmean, round(max(value), 6) AS nanmax, round(min(value), 6) AS nanmin FROM e WHERE value >= 0")
+def nan_whole_matrix(spark, sf_dir):
+    return marginals.nan_whole(_holes(spark, sf_dir))
+
+
 @query(f"WITH {_CB} SELECT var_id, round(sum(value) / (SELECT sum(value) FROM x), 6) AS fraction FROM d GROUP BY var_id")
 def fraction_per_variable(spark, sf_dir):
     _, x, _, var = _cb(spark, sf_dir)
