@@ -885,7 +885,17 @@ def viewer_folds(spark, sf_dir):
 # sequential algorithms -------------------------------------------------------------------------------------------
 
 
-@query()
+_MATCHES = """
+t AS (SELECT g AS group_id, var_id, sum(value) AS t FROM x JOIN o USING (obs_id) WHERE balance >= 0 AND g >= 0 GROUP BY ALL),
+tf AS (SELECT *, t / sum(t) OVER (PARTITION BY group_id) AS f FROM t),
+gl AS (SELECT k.group_id, v.var_id, log2(coalesce(f, 0) + 1e-5) AS l FROM (SELECT DISTINCT group_id FROM t) k CROSS JOIN v LEFT JOIN tf ON tf.group_id = k.group_id AND tf.var_id = v.var_id),
+ol AS (SELECT d.obs_id, d.var_id, log2(coalesce(value / u.u, 0) + 1e-5) AS l FROM d JOIN o ON o.obs_id = d.obs_id LEFT JOIN u ON u.obs_id = d.obs_id WHERE balance < 0),
+r AS (SELECT ol.obs_id, gl.group_id, corr(ol.l, gl.l) AS w FROM ol JOIN gl ON gl.var_id = ol.var_id GROUP BY ALL),
+m AS (SELECT obs_id, group_id FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY CASE WHEN isnan(w) OR w IS NULL THEN 0 ELSE round(w, 12) END DESC, group_id) AS k FROM r) WHERE k = 1)
+"""
+
+
+@query(f"WITH {_CB}, {_MATCHES} SELECT obs_id, group_id FROM m")
 def outlier_matches(spark, sf_dir):
     _, x, obs, var = _cb(spark, sf_dir)
     marked = obs.withColumn("cluster", F.when(F.col("balance") < 0, -1).otherwise(F.col("cluster")))
@@ -893,6 +903,18 @@ def outlier_matches(spark, sf_dir):
     return quality.outlier_matches(x, marked, var, sums, sums.select("group_id").distinct(), "cluster")
 
 
+@query(
+    f"""WITH {_CB}, {_MATCHES} SELECT m.obs_id, tf.var_id, round(log2(coalesce(x.value, 0) + 1) - log2(u.u * f + 1), 6) AS value
+    FROM m JOIN u ON u.obs_id = m.obs_id JOIN tf ON tf.group_id = m.group_id LEFT JOIN x ON x.obs_id = m.obs_id AND x.var_id = tf.var_id
+    WHERE coalesce(x.value, 0) + 1 + t >= 40"""
+)
+def outlier_projection_folds(spark, sf_dir):
+    """Customers in debt as outliers, projected onto the groups of the others."""
+    data = tables.customer_brand(spark, sf_dir)
+    atlas = pipelines.collect(data.keep(obs=data.obs.where("balance >= 0")), geometric=False, zeros_quantile=None)
+    return pipelines.project_outliers(atlas, data.keep(obs=data.obs.where("balance < 0")))[1]
+
+
 _LEVELS = """
 own AS (SELECT o.obs_id, o.g, coalesce(u.u, 0.0) AS u FROM o LEFT JOIN u ON u.obs_id = o.obs_id WHERE o.g >= 0),
 base AS (SELECT g, greatest(quantile_cont(u, 0.25), 1.0) AS base FROM own GROUP BY g),
