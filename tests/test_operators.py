@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.dataset import MAIN
 from lattica.functions import dense
-from lattica.operators import convey, deviants, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
+from lattica.operators import convey, graph, grouping, marginals, masks, projection, quality, ranking, rare, sampling, similarity
 from lattica.plans import pipelines
 from lattica.sources import tables
 
