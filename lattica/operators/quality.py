@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lattica.operators import grouping, marginals, similarity
+from lattica.operators import grouping, marginals, ranking, similarity, sparse
+from lattica.sources.shared import checkpointed
+
+
+def expected_fractions(layer: DataFrame, var: DataFrame) -> DataFrame:
+    """var_id, e: each variable's share of the grand total."""
+    return marginals.fraction_per(layer, var, "var_id").withColumnRenamed("fraction", "e")
+
+
+def _fold(fraction: Column, normalization: float) -> Column:
+    """log2 of a fraction over the expected one (both plus normalization); without an expected one, 0."""
+    return F.when(F.col("e") == 0, F.lit(0.0)).otherwise(F.log2((fraction + normalization) / (F.col("e") + normalization)))
 
 
 def distinct_folds(layer: DataFrame, obs: DataFrame, var: DataFrame, normalization: float) -> DataFrame:
     """obs_id, var_id, value: log2 of each fraction over the variable's overall fraction (both plus normalization);
     variables without any total have 0. One row for each pair, zeros included, unless normalization is 0: then a zero
-    has no finite fold and no row."""
+    has no finite fold and no row. top_distinct() finds the largest without a row for each pair."""
+    expected = expected_fractions(layer, var)
+    if not normalization:
+        return _entry_folds(layer, expected, normalization)
     rows = layer.groupBy("obs_id").agg(F.sum("value").alias("r"))
-    columns = layer.groupBy("var_id").agg(F.sum("value").alias("c"))
-    total = columns.groupBy().agg(F.sum("c").alias("all"))
-    expected = var.select("var_id").join(columns, "var_id", "left").crossJoin(F.broadcast(total)).select(  # one row
-        "var_id", F.coalesce(F.try_divide("c", "all"), F.lit(0.0)).alias("e")
-    )
-    if normalization:
-        cells = obs.select("obs_id").join(rows, "obs_id", "left").crossJoin(expected)
-        cells = cells.join(layer, ["obs_id", "var_id"], "left")
-    else:
-        cells = layer.join(rows, "obs_id").join(expected, "var_id")
-    f = F.coalesce(F.try_divide("value", "r"), F.lit(0.0)) + normalization
-    fold = F.when(F.col("e") == 0, F.lit(0.0)).otherwise(F.log2(f / (F.col("e") + normalization)))
-    return cells.select("obs_id", "var_id", fold.alias("value"))
+    cells = obs.select("obs_id").join(rows, "obs_id", "left").crossJoin(expected).join(layer, ["obs_id", "var_id"], "left")
+    f = F.coalesce(F.try_divide("value", "r"), F.lit(0.0))
+    return cells.select("obs_id", "var_id", _fold(f, normalization).alias("value"))
+
+
+def _entry_folds(layer: DataFrame, expected: DataFrame, normalization: float, *more: str) -> DataFrame:
+    rows = layer.groupBy("obs_id").agg(F.sum("value").alias("r"))
+    f = F.coalesce(F.try_divide("value", "r"), F.lit(0.0))
+    return layer.join(rows, "obs_id").join(expected, "var_id").select("obs_id", "var_id", _fold(f, normalization).alias("value"), *more)
+
+
+def top_distinct(layer: DataFrame, obs: DataFrame, var: DataFrame, normalization: float, count: int = 20) -> DataFrame:
+    """obs_id, rank, var_id, value: the `count` variables with the largest absolute distinct_folds() of each observation,
+    ties to the smaller id. A zero's fold depends on its variable only, so the variables are put in the order of it once,
+    and an observation's own zeros are the first places there that it does not hold: rows grow with the non-zeros."""
+    expected = expected_fractions(layer, var)
+    if not normalization:
+        return ranking.distinct_variables(_entry_folds(layer, expected, normalization), count)
+    zeros = expected.withColumn("zero", _fold(F.lit(0.0), normalization)).withColumn("order", -F.abs("zero"))
+    placed = checkpointed(ranking.positions(zeros, ["order", "var_id"]))
+    entries = _entry_folds(layer, placed, normalization, "position")
+    missing = sparse.first_missing(obs.select("obs_id", F.lit(var.count()).alias("n")), entries, ["obs_id"], count)
+    of_zeros = missing.join(placed, "position").select("obs_id", "var_id", F.col("zero").alias("value"))
+    return ranking.distinct_variables(entries.drop("position").join(obs.select("obs_id"), "obs_id", "left_semi").unionByName(of_zeros), count)
 
 
 def stdev_logs(layer: DataFrame, obs: DataFrame, group: str, least: float = 40) -> DataFrame:
@@ -63,11 +89,27 @@ def deviant_folds(layer: DataFrame, obs: DataFrame, profiles: DataFrame, group_t
     return cells.where(enough).select("obs_id", "group_id", "var_id", fold.alias("value"), "outlier")
 
 
-def inner_folds(folds: DataFrame) -> DataFrame:
-    """group_id, var_id, value: the members' fold of largest size, with its sign."""
-    return folds.where(~F.col("outlier")).groupBy("group_id", "var_id").agg(
-        F.max_by("value", F.struct(F.abs("value"), F.col("value"))).alias("value")
-    )
+def inner_folds(layer: DataFrame, obs: DataFrame, profiles: DataFrame, group_totals: DataFrame, group: str, least: float = 40) -> DataFrame:
+    """group_id, var_id, value: the members' deviant_folds() of largest size, with its sign (of +x and -x, +x).
+
+    A member without the variable has -log2(total * expected + 1), which is largest for the largest total. So the members
+    are ranked by their totals, and the first rank that does not hold the variable stands for all zeros."""
+    falling = Window.partitionBy("group_id").orderBy(F.desc("u"), "obs_id")
+    totals = layer.groupBy("obs_id").agg(F.sum("value").alias("u"))
+    members = grouping.members(obs, group).join(totals, "obs_id")
+    members = checkpointed(members.withColumn("position", (F.row_number().over(falling) - 1).cast("bigint")))
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    expected = group_totals.where(F.col("value") >= least).select("group_id", "var_id")
+    expected = expected.join(profiles.withColumnRenamed("value", "f"), ["group_id", "var_id"], "left").fillna({"f": 0.0})
+    expected = checkpointed(expected.join(sizes, "group_id"))
+    keys = ["group_id", "var_id"]
+    held = layer.join(members, "obs_id").join(expected.select(*keys, "f"), keys)
+    fold = F.log2(F.col("value") + 1) - F.log2(F.col("u") * F.col("f") + 1)
+    most = held.groupBy(*keys).agg(F.max_by(fold, F.struct(F.abs(fold), fold)).alias("entry"))
+    missing = sparse.first_missing(expected, held, keys).join(members.select("group_id", "position", "u"), ["group_id", "position"])
+    both = expected.join(most, keys, "left").join(missing.select(*keys, "u"), keys, "left").withColumn("zero", -F.log2(F.col("u") * F.col("f") + 1))
+    larger = F.col("entry").isNull() | (F.abs("zero") > F.abs("entry"))
+    return both.select(*keys, F.when(larger, F.col("zero")).otherwise(F.col("entry")).alias("value"))
 
 
 def significant_inner_folds(folds: DataFrame, var: DataFrame, least: float = 3.0) -> DataFrame:

@@ -410,7 +410,7 @@ def distinct_folds(spark, sf_dir):
 )
 def top_distinct_variables(spark, sf_dir):
     _, x, obs, var = _sb(spark, sf_dir)
-    return ranking.distinct_variables(quality.distinct_folds(x, obs, var, 1e-4), 5)
+    return quality.top_distinct(x, obs, var, 1e-4, 5)
 
 
 # sampling --------------------------------------------------------------------------------------------------------
@@ -578,12 +578,19 @@ df AS (SELECT o.obs_id, gt.group_id, gt.var_id, log2(coalesce(x.value, 0) + 1) -
 
 def _deviant(spark, sf_dir):
     _, x, obs, _ = _cb(spark, sf_dir)
-    return quality.deviant_folds(x, obs, grouping.profile(x, obs, "cluster"), grouping.sum_groups(x, obs, "cluster"), "cluster")
+    return x, obs, grouping.profile(x, obs, "cluster"), grouping.sum_groups(x, obs, "cluster"), "cluster"
 
 
 @query(f"WITH {_CB}, {_DEVIANT} SELECT obs_id, group_id, var_id, round(value, 6) AS value FROM df")
 def deviant_folds(spark, sf_dir):
-    return _deviant(spark, sf_dir).drop("outlier")
+    return quality.deviant_folds(*_deviant(spark, sf_dir)).drop("outlier")
+
+
+@query(
+    f"""WITH {_CB}, {_DEVIANT} SELECT group_id, var_id, round(arg_max(value, {{'a': abs(value), 'v': value}}), 6) AS value FROM df GROUP BY ALL"""
+)
+def inner_folds(spark, sf_dir):
+    return quality.inner_folds(*_deviant(spark, sf_dir))
 
 
 @query(
@@ -591,7 +598,7 @@ def deviant_folds(spark, sf_dir):
     SELECT v.var_id, count(*) FILTER (WHERE value >= 3) AS count FROM v LEFT JOIN i ON v.var_id = i.var_id AND k = 1 GROUP BY v.var_id"""
 )
 def significant_inner_folds(spark, sf_dir):
-    return quality.significant_inner_folds(quality.inner_folds(_deviant(spark, sf_dir)), _cb(spark, sf_dir)[3])
+    return quality.significant_inner_folds(quality.inner_folds(*_deviant(spark, sf_dir)), _cb(spark, sf_dir)[3])
 
 
 @query(

@@ -298,8 +298,8 @@ def for_viewer(data: Dataset, groups: Dataset, group: str = "cluster", regulariz
     totals = groups.layer("total_umis").withColumnRenamed("obs_id", "group_id")
     profile = groups.layer().withColumnRenamed("obs_id", "group_id")
     matches = quality.outlier_matches(data.layer(), data.obs, data.var, totals, groups.obs.select(F.col("obs_id").alias("group_id")), group, regularization)
-    folds = checkpointed(quality.deviant_folds(data.layer(), data.obs, profile, totals, group, matches))
-    inner = quality.inner_folds(folds)
+    folds = quality.deviant_folds(data.layer(), data.obs, profile, totals, group, matches)
+    inner = checkpointed(quality.inner_folds(data.layer(), data.obs, profile, totals, group))
     edges = similarity.similarity(quality.log_fractions(groups.layer(), groups.obs, groups.var, regularization), groups.var, "var_id", groups.obs, "pearson")
     return {
         "markers": markers,
