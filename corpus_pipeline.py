@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontam, jaccard, linededup, quality, shared
+from lattica.llm import bpe, decontam, jaccard, linededup, quality, shared, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (five words, a similarity of 0.8), that with the smallest doc_id."""
-    return jaccard.keep(docs)
+    """One document of each component of near-duplicates, that with the smallest doc_id. Links are those of op2's fingerprints
+    and, as these miss most texts that differ by more than a few words, those of an exact similarity (five words, 0.8)."""
+    close = simhash.near_duplicates(docs).select("doc_id", "component_id")
+    links = close.union(jaccard.near_duplicates(docs)).where("doc_id != component_id")
+    roots = simhash.components(links.select(F.col("doc_id").alias("x"), F.col("component_id").alias("y")))
+    gone = shared.written(roots.where("node != root").select(F.col("node").alias("doc_id")), "copies")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,15 +311,20 @@ def load(path: str) -> Automaton:
 
 
 #: The one automaton of this worker process, by the hash of what it was made from. It outlives the tasks and queries that
-#: use it, with its tables, which are bounded; another vocabulary takes its place.
+#: use it, with its tables, which are bounded; another vocabulary takes its place, and other work in the process ends it.
 _kept: dict[bytes, Automaton] = {}
 
 
+def _drop() -> None:
+    _kept.clear()
+    gc.collect()  # an automaton and its states refer to each other
+
+
 def kept(key: bytes, pickled: bytes) -> Automaton:
     """The automaton of this process, made if it is another one."""
+    shared.keeps("bpe", _drop)
     if key not in _kept:
-        _kept.clear()
-        gc.collect()  # an automaton and its states refer to each other
+        _drop()
         _kept[key] = pickle.loads(pickled)
     return _kept[key]
 
@@ -337,7 +342,7 @@ def _rows(docs: DataFrame, automaton: Automaton, ddl: str, row, columns: tuple[s
         finally:
             gc.enable()
 
-    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows, most=MOST)
+    return shared.rows_by_batch(docs, list(columns), T.StructType.fromDDL(ddl), rows, most=MOST, owner="bpe")
 
 
 def encode_documents(docs: DataFrame, automaton: Automaton) -> DataFrame:

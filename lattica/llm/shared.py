@@ -94,13 +94,27 @@ def cleanup(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What this worker process keeps between tasks: an owner's name and how to drop it.
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _keepers[owner] = drop
+
+
+def drop_others(owner: str) -> None:
+    """Drops what other owners keep in this process, which now does other work."""
+    for other in [o for o in _keepers if o != owner]:
+        _keepers.pop(other)()
+
+
 def rows_by_batch(
     df: DataFrame, columns: list[str], schema: T.StructType, rows: Callable[[list[list]], Iterable[tuple]], end: Callable[[], None] | None = None,
-    most: int = 8 << 20,
+    most: int = 8 << 20, owner: str = "",
 ) -> DataFrame:
     """mapInArrow over some columns: rows() gets each batch's columns as Python lists (text as bytes) and returns tuples
     of the given schema. Batches are cut so that one holds at most some `most` bytes of text, but always whole rows. end() is
-    called after a task's last batch."""
+    called after a task's last batch. owner names what rows() keeps in the process (see keeps()); that of others is dropped."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -108,6 +122,7 @@ def rows_by_batch(
     selected = df.select(*[F.col(c).cast("binary").alias(c) if types[c] == "string" else F.col(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(owner)
         try:
             for batch in batches:
                 for part in small(batch, most):

@@ -61,3 +61,34 @@ def test_stage_drops_copies_at_the_similarity(spark):
         rows += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join([*base[:30], f"else{g}", *base[31:]]), "en", "s", 1)]
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, frame(spark, rows), "").collect()} == set(range(0, 40, 2))
+
+
+def test_stage_links_by_fingerprints_and_by_similarity(spark):
+    """b has the fingerprint of a but is less than 0.8 similar to it, and c is similar to b only: all three are one component."""
+    import corpus_pipeline
+    from lattica.llm import simhash
+
+    rng = random.Random(9)
+    while True:  # a short text's shingles are few, so that a change in one often moves few bits
+        base = words(rng, 60)
+        other = [*base[:20], "x", *base[21:40], "y", *base[41:]]
+        a, b = " ".join(base), " ".join(other)
+        near = (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= simhash.RADIUS
+        if near:
+            break
+    c = " ".join([*other[:10], "z", *other[11:]])
+    rows = [(3, a, "en", "s", 1), (2, b, "en", "s", 1), (1, c, "en", "s", 1), (9, " ".join(words(rng, 60)), "en", "s", 1)]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r.doc_id for r in stage(spark, frame(spark, rows), "").collect()} == {1, 9}
+
+
+def test_other_work_drops_what_a_process_keeps():
+    from lattica.llm import shared
+
+    dropped = []
+    shared.keeps("one", lambda: dropped.append("one"))
+    shared.drop_others("one")
+    assert not dropped
+    shared.drop_others("")
+    shared.drop_others("")
+    assert dropped == ["one"]
