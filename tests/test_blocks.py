@@ -46,3 +46,9 @@ def test_candidates_make_no_row_for_each_pair(spark):
     _, (first, first_obs, _), (second, second_obs, _), _, var = tables(spark, 40, 10, 6, 4)
     plan = projection.candidates(second, second_obs, first, first_obs, var, 3)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Join Cross" not in plan
+
+
+def test_all_pairs_are_not_summed_over_each_shared_variable(spark):
+    _, _, _, (layer, obs), var = tables(spark, 40, 10, 6, 5)
+    plan = similarity.similarity(layer, obs, "obs_id", var, "abs_pearson")._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Join Cross" not in plan
