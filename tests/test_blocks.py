@@ -52,3 +52,23 @@ def test_all_pairs_are_not_summed_over_each_shared_variable(spark):
     _, _, _, (layer, obs), var = tables(spark, 40, 10, 6, 5)
     plan = similarity.similarity(layer, obs, "obs_id", var, "abs_pearson")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Join Cross" not in plan
+
+
+def test_far_members_search_no_more_than_they_need(spark, monkeypatch):
+    """Among many copies the last ones are no one's nearest: their pairs are found without ranking all of them."""
+    from lattica.operators import graph
+
+    n = 160
+    kinds = np.random.default_rng(6).integers(1, 9, (n // 80, 6)).astype(float)
+    layer = spark.createDataFrame([(i, f"v{j}", float(kinds[i % len(kinds), j])) for i in range(n) for j in range(6)], "obs_id bigint, var_id string, value double")
+    obs = spark.range(n).withColumnRenamed("id", "obs_id")
+    var = spark.createDataFrame([(f"v{j}",) for j in range(6)], "var_id string")
+    asked = []
+    top = similarity.top
+    monkeypatch.setattr(similarity, "top", lambda first, second, sizes, k, *a, **b: asked.append(k) or top(first, second, sizes, k, *a, **b))
+    near = graph.nearest_ranks(layer, obs, "obs_id", var, 1)
+    plain = lambda df: sorted((r.src, r.dst, round(r.weight, 9)) for r in df.collect())
+    ranks = graph.outgoing_ranks(similarity.pearson(layer, obs, "obs_id", 6).selectExpr("src", "dst", "abs(weight) AS weight"))
+    for whole, found in zip(graph.balance(ranks, 1), graph.balance(near, 1), strict=True):
+        assert plain(found) == plain(whole)
+    assert len(asked) > 1 and max(asked) < n
