@@ -1,10 +1,13 @@
-"""A pile's nearest-neighbour weights: memory beside the similarity, and strips that change nothing."""
+"""A pile's nearest-neighbour weights: memory beside the similarity, and strips that change nothing; a task for each pile."""
 
 import tracemalloc
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 
 from lattica.functions import dense
+from lattica.plans import pipelines
 
 
 def test_knn_weights_hold_few_square_matrices(monkeypatch):
@@ -19,3 +22,11 @@ def test_knn_weights_hold_few_square_matrices(monkeypatch):
     tracemalloc.stop()
     assert np.array_equal(found, whole)
     assert peak < 3 * similarity.nbytes
+
+
+def test_piles_are_not_put_together_in_few_tasks(spark):
+    piles = spark.range(80).selectExpr("id AS obs_id", "CAST(id % 20 AS int) AS pile")
+    where = lambda part: pd.DataFrame({"n": [len(part)], "task": [TaskContext.get().partitionId()]})
+    found = pipelines._by_pile(piles, piles).applyInPandas(where, "n bigint, task int").collect()
+    assert len(found) == 20 and all(r.n == 4 for r in found)
+    assert len({r.task for r in found}) > 8  # small partitions were one task
