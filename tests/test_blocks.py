@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lattica.operators import projection, similarity
+from lattica.plans import catalog
 
 
 def tables(spark, n, m, width, seed):
@@ -72,3 +73,8 @@ def test_far_members_search_no_more_than_they_need(spark, monkeypatch):
     for whole, found in zip(graph.balance(ranks, 1), graph.balance(near, 1), strict=True):
         assert plain(found) == plain(whole)
     assert len(asked) > 1 and max(asked) < n
+
+
+def test_misfits_read_a_written_matrix(spark):
+    plan = catalog.QUERIES["misfit_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan  # query and atlas joined the lines anew in each step
