@@ -75,6 +75,14 @@ def test_far_members_search_no_more_than_they_need(spark, monkeypatch):
     assert len(asked) > 1 and max(asked) < n
 
 
+def test_rows_go_to_few_blocks_in_plain_lists(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS", 32)
+    rows = spark.range(2000).selectExpr("0 AS key", "id", "array(named_struct('v', 0, 'x', id / 7)) AS x")
+    dealt = similarity._blocked(rows, rows, spark.createDataFrame([(0, 1)], "key int, n bigint"))[0]._df
+    assert dealt.count() <= 8 * 2 * 2000  # each row went to 16 blocks
+    assert not any("struct" in kind for _, kind in dealt.dtypes)
+
+
 def test_misfits_read_a_written_matrix(spark):
     plan = catalog.QUERIES["misfit_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan  # query and atlas joined the lines anew in each step
