@@ -83,6 +83,18 @@ def test_rows_go_to_few_blocks_in_plain_lists(spark, monkeypatch):
     assert not any("struct" in kind for _, kind in dealt.dtypes)
 
 
+def test_weights_send_the_row_of_a_query_member_once(spark):
+    cells = lambda rows: spark.createDataFrame([(i, v, float(x)) for i, row in rows.items() for v, x in row.items()], "obs_id bigint, var_id string, value double")
+    ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "obs_id bigint")
+    atlas = {1: {"a": 300, "b": 100, "c": 50}, 2: {"a": 100, "b": 300}, 3: {"c": 400}}
+    query = {7: {"a": 200, "b": 200, "c": 25}, 8: {"c": 80}, 9: {}}
+    var = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "var_id string")
+    found = projection.weights(cells(atlas), ids(atlas), cells(query), ids(query), var, log=False, most_fold=99.0)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()  # it went beside each candidate's row
+    rows = {(r.src, r.dst): round(r.weight, 9) for r in found.collect()}
+    assert {s for s, _ in rows} == {7, 8} and rows[8, 3] == 1.0 and abs(sum(w for (s, _), w in rows.items() if s == 7) - 1) < 1e-8
+
+
 def test_misfits_read_a_written_matrix(spark):
     plan = catalog.QUERIES["misfit_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan  # query and atlas joined the lines anew in each step
