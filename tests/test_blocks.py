@@ -95,6 +95,11 @@ def test_weights_send_the_row_of_a_query_member_once(spark):
     assert {s for s, _ in rows} == {7, 8} and rows[8, 3] == 1.0 and abs(sum(w for (s, _), w in rows.items() if s == 7) - 1) < 1e-8
 
 
+def test_types_read_written_candidates(spark):
+    plan = catalog.QUERIES["projected_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+
+
 def test_misfits_read_a_written_matrix(spark):
     plan = catalog.QUERIES["misfit_variables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan  # query and atlas joined the lines anew in each step
