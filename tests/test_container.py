@@ -6,7 +6,7 @@ import pytest
 
 from lattica.dataset import MAIN
 from lattica.operators import marginals
-from lattica.sources import tables
+from lattica.sources import shared, tables
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +56,31 @@ def test_nan_over_the_whole(spark):
     values = lambda *v: spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "obs_id bigint, var_id bigint, value double")
     assert tuple(marginals.nan_whole(values(1.0, float("nan"), None, 4.0)).first()) == (2.5, 4.0, 1.0)
     assert tuple(marginals.nan_whole(values(float("nan"))).first()) == (None, None, None)
+
+
+def test_suppliers_lines_stay_where_they_are(spark, monkeypatch):
+    path, found = "/root/testdata/sf0.001", []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (2_000_000, 10):
+            monkeypatch.setattr(tables, "BROADCAST_ROWS", most, raising=False)
+            layer = tables.supplier_brand(spark, path).layer()
+            plan = layer._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(l_partkey" in plan) == (most == 10)  # else each line was sent to its part
+            found.append(rows(layer))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1] and found[0]
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    shuffles = lambda: {str(k) for k in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet())}
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = shuffles(), spark.conf.get(conf)
+    cells = spark.range(1000).selectExpr("id % 7 AS k", "id AS x")
+    summed = cells.groupBy("k").sum("x").repartition(3, "k")
+    written = shared.checkpointed(summed)
+    assert shuffles() <= before  # they stayed until the driver's garbage was collected
+    assert spark.conf.get(conf) == held
+    assert rows(written) == rows(summed) and len(rows(written)) == 7  # the plan itself can run again
