@@ -83,6 +83,20 @@ def test_rows_go_to_few_blocks_in_plain_lists(spark, monkeypatch):
     assert not any("struct" in kind for _, kind in dealt.dtypes)
 
 
+def test_all_pairs_send_a_row_to_few_blocks_and_come_in_batches(spark, monkeypatch):
+    sent, real = [], similarity._blocked
+    monkeypatch.setattr(similarity, "_blocked", lambda *a: sent.append(a[3] if len(a) > 3 else similarity.MOST_ROWS) or real(*a))
+    monkeypatch.setattr(similarity, "PAIRS", 400)
+    x, _, _, (layer, obs), var = tables(spark, 160, 70, 12, 9)
+    pairs = similarity.pearson(layer, obs, "obs_id", 12).collect()
+    r = brute(x)
+    assert len({(p.src, p.dst) for p in pairs}) == len(pairs) == len(x) * (len(x) - 1)
+    assert max(abs(p.weight - r[p.src, p.dst]) for p in pairs) < 1e-8
+    weight = {(p.src, p.dst): p.weight for p in pairs}
+    assert all(weight[d, s] == w for (s, d), w in weight.items())
+    assert sent and min(sent) * similarity.BLOCKS >= 260_000  # 1024 rows a block sent each row of a large table to ever more blocks
+
+
 def test_weights_send_the_row_of_a_query_member_once(spark):
     cells = lambda rows: spark.createDataFrame([(i, v, float(x)) for i, row in rows.items() for v, x in row.items()], "obs_id bigint, var_id string, value double")
     ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "obs_id bigint")
