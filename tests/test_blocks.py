@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lattica.operators import projection, similarity
+from lattica.operators import convey, projection, similarity
 from lattica.plans import catalog
 
 
@@ -97,6 +98,18 @@ def test_all_pairs_send_a_row_to_few_blocks_and_come_in_batches(spark, monkeypat
     assert sent and min(sent) * similarity.BLOCKS >= 260_000  # 1024 rows a block sent each row of a large table to ever more blocks
 
 
+def test_pairs_are_conveyed_to_groups_without_a_row_for_each(spark):
+    x, _, _, (layer, obs), var = tables(spark, 80, 10, 7, 10)
+    layer = layer.where("obs_id != 3")  # one without any value, and tables() has one that does not vary
+    obs = obs.withColumn("cluster", F.when(F.col("obs_id") == 5, 9).when(F.col("obs_id") < 3, -1).otherwise(F.col("obs_id") % 4).cast("int"))
+    plain = lambda df: {(r.src, r.dst): r.weight for r in df.collect()}
+    want = plain(convey.pairs_to_group_pairs(similarity.similarity(layer, obs, "obs_id", var, "pearson"), obs, "cluster"))
+    found = convey.pearson_to_group_pairs(layer, obs, "cluster", 7)
+    assert plain(found) == pytest.approx(want, abs=1e-9) and (9, 9) not in want and len(want) == 24
+    plan = catalog.QUERIES["convey_pairs_to_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan  # all pairs were rows
+
+
 def test_weights_send_the_row_of_a_query_member_once(spark):
     cells = lambda rows: spark.createDataFrame([(i, v, float(x)) for i, row in rows.items() for v, x in row.items()], "obs_id bigint, var_id string, value double")
     ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "obs_id bigint")
