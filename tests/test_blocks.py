@@ -110,6 +110,31 @@ def test_pairs_are_conveyed_to_groups_without_a_row_for_each(spark):
     assert "FlatMapGroupsInArrow" not in plan  # all pairs were rows
 
 
+def test_neighbours_grow_until_each_supplier_has_two(spark, tmp_path):
+    """One supplier is unlike all others, so no one but its best is near it for a small k."""
+    import duckdb
+
+    n, rng = 330, np.random.default_rng(11)
+    sums = np.hstack([rng.integers(30, 60, (n, 8)), np.ones((n, 4), dtype=int)])
+    sums[7] = [1] * 8 + [50, 40, 30, 45]
+    sums[:, 3] = 1 + np.arange(n) % 17
+    frames = {
+        "supplier": spark.createDataFrame([(i, f"s{i}", i % 3) for i in range(n)], "s_suppkey bigint, s_name string, s_nationkey int"),
+        "nation": spark.createDataFrame([(i, i) for i in range(3)], "n_nationkey int, n_regionkey int"),
+        "part": spark.createDataFrame([(j, f"b{j:02}") for j in range(12)], "p_partkey bigint, p_brand string"),
+        "lineitem": spark.createDataFrame([(i, j, float(sums[i, j])) for i in range(n) for j in range(12)], "l_suppkey bigint, l_partkey bigint, l_quantity double"),
+    }
+    con = duckdb.connect()
+    for name, df in frames.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = {(r.src, r.dst): r.weight for r in catalog.QUERIES["knn_graph"](spark, str(tmp_path)).collect()}
+    want = {(s, d): w for s, d, w in con.execute(f"SELECT src, dst, weight FROM ({catalog.ORACLE_SQL['knn_graph']})").fetchall()}
+    degrees = np.bincount([s for s, _ in found], minlength=n)
+    assert degrees.min() >= 2 and np.median(degrees) > 5  # with k = 5 the odd one had one
+    assert found == want
+
+
 def test_weights_send_the_row_of_a_query_member_once(spark):
     cells = lambda rows: spark.createDataFrame([(i, v, float(x)) for i, row in rows.items() for v, x in row.items()], "obs_id bigint, var_id string, value double")
     ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "obs_id bigint")
